@@ -1,0 +1,48 @@
+"""Tags and attributes of HTML text by regular expression."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+ATTRS = r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)"""
+_NOT_SHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+# fixed values: character references found in practice
+_REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+
+
+def visible_markup(html: Column) -> Column:
+    """Markup without comments, scripts and styles."""
+    return F.regexp_replace(html, _NOT_SHOWN, " ")
+
+
+def unescape(text: Column) -> Column:
+    """Resolve the common character references."""
+    out = text
+    for reference, char in _REFERENCES:
+        out = F.replace(out, F.lit(reference), F.lit(char))
+    return F.when(text.contains("&"), out).otherwise(text)
+
+
+def tags(html: Column, name: str) -> Column:
+    """Attribute text of every opening tag with this name, in document order."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b{ATTRS}>"), F.lit(1))
+
+
+def has_attr(attrs: Column, name: str) -> Column:
+    return attrs.rlike(rf"(?is)(?:^|[\s\"'/]){name}(?:\s*=|[\s/]|$)")
+
+
+def attr(attrs: Column, name: str) -> Column:
+    """Value of an attribute, unescaped; NULL when the attribute is absent, '' when it has no value."""
+    value = F.regexp_extract(
+        attrs, rf"""(?is)(?:^|[\s"'/]){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1
+    )
+    bare = F.regexp_replace(value, r"""^["']|["']$""", "")
+    return F.when(has_attr(attrs, name), unescape(bare))
+
+
+def inner_text(markup: Column) -> Column:
+    """Text of a fragment: block tags part words, other tags vanish."""
+    blocks = F.regexp_replace(markup, r"(?is)</?(?:br|div|p|li|ul|ol|h[1-6]|td|tr|section)\b[^>]*>", " ")
+    return unescape(F.regexp_replace(blocks, r"(?s)<[^>]*>", ""))
