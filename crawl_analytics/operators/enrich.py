@@ -34,7 +34,7 @@ def _one_per_url(rows: DataFrame, kept: DataFrame) -> DataFrame:
     # session, so what the join leaves is one row per seed and URL already.
     order = [c for c in ("timestamp", "request_id") if c in rows.columns]
     single = first_rows(rows, [*SESSION, "url"], order)
-    out = salted_join(single, _kept_keys(kept), SESSION, "inner", spread=["url"], hot_rows=rows.select(*SESSION, "url"))
+    out = salted_join(single, _kept_keys(kept), SESSION, "inner", spread=["url"], hot_rows=rows)
     return out.select(*rows.columns)
 
 

@@ -37,15 +37,18 @@ def _bucket(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def hot_buckets(rows: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """Hash buckets of the key that hold more than 1/64 of the rows: fewer than 64 rows, always.
+def hot_buckets(rows: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> list[int]:
+    """Hash buckets of the key that hold more than 1/64 of the rows: fewer than 64 numbers, always.
 
     Counting buckets instead of keys keeps the map-side state and the shuffle
-    bounded, however many keys there are. A hot key makes its bucket hot.
+    bounded, however many keys there are. A hot key makes its bucket hot. The job
+    reads the key columns only; its result is a constant of the plan, so all tasks
+    agree on it and the plan does not grow.
     """
-    counts = rows.select(_bucket(keys).alias("__bucket")).groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.filter((F.col("n") * HOT_SHARE > total) & (F.col("n") >= min_rows)).select("__bucket")
+    counts = rows.select(_bucket(keys).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    large = F.collect_list(F.when(F.col("n") >= min_rows, F.struct("b", "n")))
+    found = counts.agg(F.sum("n").alias("total"), large.alias("large")).first()
+    return sorted(r["b"] for r in found["large"] if r["n"] * HOT_SHARE > found["total"])
 
 
 def salted_join(
@@ -59,33 +62,24 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join of a large side with a side that may be large too.
 
-    Fact rows of hot buckets get a salt from a hash of ``spread`` (all columns by
-    default), and the other side's rows of these buckets are repeated once per
-    salt. Salts come from the row's content, so a recomputed task sends every row
-    to the same place again. ``hot_rows`` names a cheaper table with the same key
-    frequencies. Works for inner, left, left_semi and left_anti.
+    Without hot buckets this is a plain join. Else fact rows of hot buckets get a
+    salt from a hash of ``spread`` (all columns by default), and the other side's
+    rows of these buckets are repeated once per salt. Salts come from the row's
+    content, so a recomputed task sends every row to the same place again.
+    ``hot_rows`` names a cheaper table with the same key frequencies, best a stored
+    one. Works for inner, left, left_semi and left_anti.
     """
     kinds = {c: facts.schema[c].dataType for c in on}
     dim = dim.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in dim.columns])
     source = facts if hot_rows is None else hot_rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in on])
-    hot = F.broadcast(hot_buckets(source, on, min_rows).withColumn("__hot", F.lit(True)))
-    spread = spread or facts.columns
-    left = (
-        facts.withColumn("__bucket", _bucket(on))
-        .join(hot, "__bucket", "left")
-        .withColumn(
-            "__salt",
-            F.when(F.col("__hot"), F.pmod(F.xxhash64(F.lit(7), *spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)),
-        )
-        .drop("__bucket", "__hot")
-    )
-    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = (
-        dim.withColumn("__bucket", _bucket(on))
-        .join(hot, "__bucket", "left")
-        .withColumn("__salt", F.explode(salts))
-        .drop("__bucket", "__hot")
-    )
+    hot = hot_buckets(source, on, min_rows)
+    if not hot:
+        return facts.join(dim, on, how)
+    is_hot = _bucket(on).isin(hot)
+    salt = F.pmod(F.xxhash64(F.lit(7), *(spread or facts.columns)), F.lit(SALTS)).cast("int")
+    left = facts.withColumn("__salt", F.when(is_hot, salt).otherwise(F.lit(0)))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = dim.withColumn("__salt", F.explode(salts))
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 

@@ -98,6 +98,6 @@ def label_requests(requests: DataFrame, rules: DataFrame, as_array: bool = False
     found = blocking_lists(requests, rules).select(*[F.coalesce(c, F.lit("\0")).alias(f"__{c}") for c in TRIPLE], "lists")
     keyed = requests.select("*", *[F.coalesce(c, F.lit("\0")).alias(f"__{c}") for c in TRIPLE])
     keys = [f"__{c}" for c in TRIPLE]
-    joined = salted_join(keyed, found, keys, "left", spread=[c for c in keyed.columns if c not in keys], hot_rows=keyed.select(*keys))
+    joined = salted_join(keyed, found, keys, "left", spread=[c for c in keyed.columns if c not in keys])
     out = joined.select(*requests.columns, jsontext.json_list(F.col("lists")).alias("blocked_by"), "lists")
     return out.withColumnRenamed("lists", "blocked_by_lists") if as_array else out.drop("lists")

@@ -168,7 +168,7 @@ def walk(tasks: DataFrame, page_links: DataFrame, max_depth: int) -> DataFrame:
     ).distinct()
     levels = []
     for depth in range(max_depth + 1):
-        here = salted_join(front, known, ["url"], "left", spread=["experiment_id", "seed"], hot_rows=front.select("url"))
+        here = salted_join(front, known, ["url"], "left", spread=["experiment_id", "seed"])
         following = choose_link(F.col("links"), F.col("seed"), F.lit(depth)) if depth < max_depth else F.lit(None).cast("string")
         step = here.select(
             "experiment_id", "seed", "url", "visited", F.coalesce("found", F.lit(False)).alias("ok"), following.alias("following")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +58,9 @@ _SEPARATOR = r"(?:[^a-zA-Z0-9_.%-]|$)"
 _AFTER_HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:[^/?#:]*\.)?"
 
 
-@F.pandas_udf("boolean")
-def _compiles(patterns: pd.Series) -> pd.Series:
-    def ok(text: str) -> bool:
-        try:
-            re.compile(text)
-        except (re.error, OverflowError):
-            return False
-        return re.search(r"\[[^\]]*\[|\(\?P|\(\?<?[a-zA-Z]*\d", text) is None
-
-    return patterns.map(ok)
+def _compiles(pattern: Column) -> Column:
+    """Whether the JVM takes the text as a regular expression."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
 
 
 def _mapped(values: dict, key: Column) -> Column:

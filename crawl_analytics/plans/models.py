@@ -20,6 +20,7 @@ from ..constants import (
     ZONE_UK,
 )
 from ..functions import times, urls
+from ..operators.enrich import dedup_workers
 from ..operators.joins import first_rows, lookup_join, repeat_rows, salted_join
 from ..operators.ranking import running_number
 
@@ -78,27 +79,25 @@ def site_summary_weighted(
         "experiment_id", "request_id", "worker_id", "crawl_session_id", "crawled_url", "url", "resource_type", "crawl_depth", "blocked_by"
     )
     if strict:
-        from ..operators.enrich import dedup_workers
-
         wm = dedup_workers(workers, strict=True).select("worker_id", "country_code", "is_residential").withColumn("wm_n", F.lit(1))
         res_on = ["experiment_id", "crawl_session_id", "request_id"]
         res = first_rows(responses.select(*res_on, "status"), res_on, ["status"]).withColumn("res_n", F.lit(1))
-        ck_on = ["experiment_id", "crawl_session_id"]
+        session = ["experiment_id", "crawl_session_id"]
     else:
         wm = _with_copies(workers.select("worker_id", "country_code", "is_residential"), "wm_n")
         res_on = ["request_id"]
         res = _with_copies(responses.select("request_id", "status"), "res_n")
-        ck_on = ["crawl_session_id"]
-    ck = consents.select(*ck_on).distinct().withColumn("clicked", F.lit(True))
-
-    joined = lookup_join(req, wm, ["worker_id"], hot_rows=req.select("worker_id"))
-    joined = salted_join(joined, res, res_on, hot_rows=req.select(*res_on))
-    if strict:
-        joined = joined.withColumn("sm_n", F.lit(1))
-    else:
-        sm = _with_copies(site_metadata.select("crawl_session_id"), "sm_n")
-        joined = salted_join(joined, sm, ["crawl_session_id"], hot_rows=req.select("crawl_session_id"))
-    joined = salted_join(joined, ck, ck_on, hot_rows=req.select(*ck_on))
+        session = ["crawl_session_id"]
+    marks = consents.select(*session, F.lit(None).cast("int").alias("sm"), F.lit(True).alias("ck"))
+    if not strict:
+        # both session tables meet the requests in one join
+        left = site_metadata.select(*session, F.lit(1).alias("sm"), F.lit(None).cast("boolean").alias("ck"))
+        marks = marks.unionByName(left)
+    sessions = marks.groupBy(*session).agg(F.count("sm").alias("sm_n"), F.max("ck").alias("clicked"))
+
+    joined = lookup_join(req, wm, ["worker_id"], hot_rows=req)
+    joined = salted_join(joined, res, res_on, hot_rows=req)
+    joined = salted_join(joined, sessions, session, hot_rows=req)
 
     meta = metadata.select(
         F.col("exp_id").alias("experiment_id"),
@@ -107,13 +106,13 @@ def site_summary_weighted(
         F.col("params.browser_type").alias("experiment_browser_type"),
         F.col("params.headless").alias("experiment_headless"),
     )
-    inside = lookup_join(joined, meta, ["experiment_id"], "inner", hot_rows=req.select("experiment_id"))
+    inside = lookup_join(joined, meta, ["experiment_id"], "inner", hot_rows=req)
     empty = meta.join(req.select("experiment_id").distinct(), "experiment_id", "left_anti")
     rows = inside.unionByName(empty, allowMissingColumns=True)
     one = F.lit(1).cast("bigint")
     copies = one
     for n in ("wm_n", "res_n", "sm_n"):
-        copies = copies * F.coalesce(F.col(n).cast("bigint"), one)
+        copies = copies * F.greatest(F.coalesce(F.col(n).cast("bigint"), one), one)
     return rows.select(
         "experiment_id",
         "experiment_navigate_subpages",
@@ -210,8 +209,8 @@ def site_summary_enriched(summary: DataFrame, tranco: DataFrame, regions: DataFr
         "min_depth",
         "browser_signature",
     )
-    ranked = add_rank(base, tranco, hot_rows=base.select("seed_domain"))
-    placed = add_region(ranked, regions, hot_rows=base.select("website_tld"))
+    ranked = add_rank(base, tranco, hot_rows=base)
+    placed = add_region(ranked, regions, hot_rows=base)
     on = ["request_base_url", "request_requested_domain"]
-    out = salted_join(placed, signed, on, hot_rows=base.select(*on))
+    out = salted_join(placed, signed, on, hot_rows=base)
     return out.select(*placed.columns, "cookie_request_class", "min_depth", "browser_signature")

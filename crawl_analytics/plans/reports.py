@@ -17,7 +17,7 @@ from ..constants import (
     TARGET_SEEDS,
 )
 from ..functions import times
-from ..operators.joins import latest_rows, salted_join
+from ..operators.joins import latest_rows
 
 SESSION = ["experiment_id", "crawl_session_id"]
 
@@ -74,10 +74,11 @@ def successful_sessions(site_metadata: DataFrame) -> DataFrame:
 
 
 def _in_sessions(rows: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Distinct rows whose session is among the given ones; reduced before the join."""
-    reduced = rows.distinct()
-    spread = [c for c in reduced.columns if c not in SESSION]
-    return salted_join(reduced, sessions, SESSION, "left_semi", spread=spread or None, hot_rows=rows.select(*SESSION))
+    """Distinct rows whose session is among the given ones.
+
+    Reduced before the join: what is left of a session is one row per depth and seed.
+    """
+    return rows.distinct().join(sessions, SESSION, "left_semi")
 
 
 def cookie_warnings(requests: DataFrame, consents: DataFrame, site_metadata: DataFrame) -> DataFrame:
