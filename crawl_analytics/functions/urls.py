@@ -107,27 +107,38 @@ def _no_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.regexp_replace(F.concat(joined, tail), "^//$", "/")).otherwise(path)
 
 
-def resolve_links(base: Column, hrefs: Column) -> Column:
-    """Absolute http(s) URLs of an array of hrefs, as a browser reports them; others are NULL.
-
-    Every stage is one array transform, so no expression is evaluated twice.
-    """
+def base_parts(base: Column) -> Column:
+    """What relative links are resolved against, as a struct."""
     scheme = F.lower(F.regexp_extract(base, _SPLIT, 1))
     authority = F.regexp_extract(base, _SPLIT, 2)
     path = F.regexp_extract(base, _SPLIT, 3)
-    query = F.regexp_extract(base, _SPLIT, 4)
     origin = F.concat(scheme, F.lit("://"), authority)
-    folder = F.concat(origin, F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", "")))
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    return F.struct(
+        scheme.alias("scheme"),
+        origin.alias("origin"),
+        F.concat(origin, folder).alias("folder"),
+        F.concat(origin, path).alias("page"),
+        F.concat(origin, path, F.regexp_extract(base, _SPLIT, 4)).alias("full"),
+    )
+
+
+def resolve_links(base: Column, hrefs: Column) -> Column:
+    """Absolute http(s) URLs of an array of hrefs, as a browser reports them; others drop out.
+
+    ``base`` is a column of ``base_parts``. Every stage is one array transform, so
+    no expression is evaluated twice.
+    """
 
     def absolute(href: Column) -> Column:
         return (
             F.when(href.rlike(_HTTP), F.when(href.rlike(r"(?i)^https?:[/\\]{2}"), href))
             .when(href.rlike(_SCHEME), F.lit(None))
-            .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(origin, href))
-            .when(href.startswith("?"), F.concat(origin, path, href))
-            .when(href.startswith("#") | (href == ""), F.concat(origin, path, query, href))
-            .otherwise(F.concat(folder, href))
+            .when(href.startswith("//"), F.concat(base["scheme"], F.lit(":"), href))
+            .when(href.startswith("/"), F.concat(base["origin"], href))
+            .when(href.startswith("?"), F.concat(base["page"], href))
+            .when(href.startswith("#") | (href == ""), F.concat(base["full"], href))
+            .otherwise(F.concat(base["folder"], href))
         )
 
     def parts(url: Column) -> Column:

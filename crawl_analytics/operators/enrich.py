@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import first_rows, latest_rows, salted_join
+from .joins import first_rows, hot_buckets, latest_rows, salted_join
 
 SESSION = ["experiment_id", "crawled_url", "crawl_session_id"]
 SEED = ["experiment_id", "crawled_url"]
@@ -34,7 +34,8 @@ def _one_per_url(rows: DataFrame, kept: DataFrame) -> DataFrame:
     # session, so what the join leaves is one row per seed and URL already.
     order = [c for c in ("timestamp", "request_id") if c in rows.columns]
     single = first_rows(rows, [*SESSION, "url"], order)
-    out = salted_join(single, _kept_keys(kept), SESSION, "inner", spread=["url"], hot_rows=rows)
+    hot = hot_buckets(rows, [SESSION])[0]
+    out = salted_join(single, _kept_keys(kept), SESSION, "inner", spread=["url"], hot=hot)
     return out.select(*rows.columns)
 
 

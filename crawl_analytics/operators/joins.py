@@ -37,18 +37,20 @@ def _bucket(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def hot_buckets(rows: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> list[int]:
-    """Hash buckets of the key that hold more than 1/64 of the rows: fewer than 64 numbers, always.
+def hot_buckets(rows: DataFrame, keys: list[list[str]], min_rows: int = HOT_ROWS) -> list[list[int]]:
+    """For each key, the hash buckets with more than 1/64 of the rows: fewer than 64 numbers, always.
 
     Counting buckets instead of keys keeps the map-side state and the shuffle
-    bounded, however many keys there are. A hot key makes its bucket hot. The job
-    reads the key columns only; its result is a constant of the plan, so all tasks
-    agree on it and the plan does not grow.
+    bounded, however many keys there are. A hot key makes its bucket hot. One job
+    serves several keys and reads the key columns only; its result is a constant
+    of the plan, so all tasks agree on it and the plan does not grow.
     """
-    counts = rows.select(_bucket(keys).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    large = F.collect_list(F.when(F.col("n") >= min_rows, F.struct("b", "n")))
-    found = counts.agg(F.sum("n").alias("total"), large.alias("large")).first()
-    return sorted(r["b"] for r in found["large"] if r["n"] * HOT_SHARE > found["total"])
+    places = F.array(*[F.struct(F.lit(i).alias("k"), _bucket(key).alias("b")) for i, key in enumerate(keys)])
+    counts = rows.select(F.explode(places).alias("p")).groupBy("p.k", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    large = F.collect_list(F.when(F.col("n") >= min_rows, F.struct("k", "b", "n")))
+    found = counts.agg(F.sum("n").alias("all"), large.alias("large")).first()
+    total = (found["all"] or 0) // len(keys)
+    return [sorted(r["b"] for r in found["large"] if r["k"] == i and r["n"] * HOT_SHARE > total) for i in range(len(keys))]
 
 
 def salted_join(
@@ -57,7 +59,7 @@ def salted_join(
     on: list[str],
     how: str = "left",
     spread: list[str] | None = None,
-    hot_rows: DataFrame | None = None,
+    hot: list[int] | None = None,
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join of a large side with a side that may be large too.
@@ -65,14 +67,14 @@ def salted_join(
     Without hot buckets this is a plain join. Else fact rows of hot buckets get a
     salt from a hash of ``spread`` (all columns by default), and the other side's
     rows of these buckets are repeated once per salt. Salts come from the row's
-    content, so a recomputed task sends every row to the same place again.
-    ``hot_rows`` names a cheaper table with the same key frequencies, best a stored
-    one. Works for inner, left, left_semi and left_anti.
+    content, so a recomputed task sends every row to the same place again. ``hot``
+    holds buckets found before, on a table with the same key frequencies and types.
+    Works for inner, left, left_semi and left_anti.
     """
     kinds = {c: facts.schema[c].dataType for c in on}
     dim = dim.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in dim.columns])
-    source = facts if hot_rows is None else hot_rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in on])
-    hot = hot_buckets(source, on, min_rows)
+    if hot is None:
+        hot = hot_buckets(facts, [on], min_rows)[0]
     if not hot:
         return facts.join(dim, on, how)
     is_hot = _bucket(on).isin(hot)
@@ -97,12 +99,15 @@ def lookup_join(
     on: list[str],
     how: str = "left",
     hot_rows: DataFrame | None = None,
-    spread: list[str] | None = None,
 ) -> DataFrame:
-    """Join with a lookup: broadcast once it is measured to be small, salted shuffle join beyond that."""
+    """Join with a lookup: broadcast once it is measured to be small, salted shuffle join beyond that.
+
+    ``hot_rows`` names a cheaper table with the same key frequencies and types.
+    """
     if is_small(lookup):
         return facts.join(F.broadcast(lookup), on, how)
-    return salted_join(facts, lookup, on, how, spread=spread, hot_rows=hot_rows)
+    hot = None if hot_rows is None else hot_buckets(hot_rows, [on])[0]
+    return salted_join(facts, lookup, on, how, hot=hot)
 
 
 def repeat_rows(rows: DataFrame, times: str) -> DataFrame:

@@ -73,7 +73,7 @@ def blocking_lists(requests: DataFrame, rules: DataFrame) -> DataFrame:
     measured = sizes.collect()  # one row per kind of key, five at most
     kinds = {r["kind"] for r in measured}
     small = sum(r["n"] for r in measured) <= LOOKUP_ROWS and sum(r["chars"] for r in measured) <= LOOKUP_CHARS
-    keyed = _targets(requests).withColumn("key", F.explode(_url_keys(kinds)))
+    keyed = _targets(requests).withColumn("key", F.explode_outer(_url_keys(kinds)))
     if small:
         pairs = keyed.join(F.broadcast(rules), "key")
     else:

@@ -29,16 +29,18 @@ def link_sets(pages: DataFrame) -> DataFrame:
     anchors = markup.tags(markup.visible_markup(F.col("html")), "a")
     hrefs = F.filter(F.transform(anchors, lambda a: markup.attr(a, "href")), lambda h: h.isNotNull())
     keep = [c for c in pages.columns if c != "html"]
-    raw = pages.select(*keep, F.array_distinct(hrefs).alias("hrefs"))
-    resolved = raw.select(*keep, urls.resolve_links(F.col("url"), F.col("hrefs")).alias("found"))
-    page_host = urls.host(F.col("url"))
-    same = F.filter("found", lambda u: urls.host(u) == page_host)
+    raw = pages.select(
+        *keep, F.array_distinct(hrefs).alias("hrefs"), urls.base_parts(F.col("url")).alias("base"), urls.host(F.col("url")).alias("own")
+    )
+    resolved = raw.select(*keep, "own", urls.resolve_links(F.col("base"), F.col("hrefs")).alias("found"))
+    same = F.filter("found", lambda u: urls.host(u) == F.col("own"))
     return resolved.select(*keep, F.array_sort(F.array_distinct(same)).alias("links"))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """One row per page and link."""
-    return link_sets(pages).withColumn("link", F.explode("links")).drop("links")
+    # outer, with the test afterwards: an inner explode would evaluate the links twice
+    return link_sets(pages).withColumn("link", F.explode_outer("links")).drop("links").filter("link IS NOT NULL")
 
 
 def site_description(pages: DataFrame) -> DataFrame:
@@ -127,8 +129,9 @@ def match_consent(pages: DataFrame, phrases: list[str] | None = None) -> DataFra
             hit.isNotNull(), F.struct(hit["rank"].alias("rank"), t["pos"], t["tag"], t["text"], hit["phrase"].alias("phrase"))
         )
 
-    chosen = named.select(*keep, F.array_min(F.filter(F.transform("t", best), lambda m: m.isNotNull())).alias("m"))
-    return chosen.filter("m IS NOT NULL").select(*keep, "m.tag", "m.text", "m.phrase", F.col("m.rank").alias("phrase_rank"))
+    chosen = F.array_min(F.filter(F.transform("t", best), lambda m: m.isNotNull()))
+    found = named.select(*keep, F.explode_outer(F.array(chosen)).alias("m"))
+    return found.filter("m IS NOT NULL").select(*keep, "m.tag", "m.text", "m.phrase", F.col("m.rank").alias("phrase_rank"))
 
 
 @F.pandas_udf("int")

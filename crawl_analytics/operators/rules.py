@@ -141,7 +141,7 @@ def parse_rules(lines: DataFrame) -> DataFrame:
     )
     split = split.select(
         "list_ord", "list_name", "raw", "is_exception", "pattern", *[c.alias(n) for n, c in _option_columns(F.col("options")).items()]
-    ).filter("usable").drop("usable")
+    )
 
     is_regex = F.col("pattern").rlike(r"^/.+/$")
     typed = split.withColumn("is_regex", is_regex).withColumn(
@@ -177,13 +177,15 @@ def parse_rules(lines: DataFrame) -> DataFrame:
         F.col("is_regex"),
         F.concat(F.when(F.col("match_case"), F.lit("")).otherwise(F.lit("(?i)")), F.expr("substring(pattern, 2, length(pattern) - 2)")),
     ).when(~(pure_host & (F.col("host") != "")), _translate(F.col("pattern")))
+    # A rule that cannot be used gets no keys. The test is not a filter: that would
+    # be pushed down and evaluate all of the above a second time.
     table = keyed.withColumn("keys", keys).withColumn("regex", regex)
-    checked = table.filter(~F.col("is_regex") | _compiles(F.coalesce("regex", F.lit(""))))
-    return checked.select(
+    usable = F.col("usable") & (~F.col("is_regex") | _compiles(F.coalesce("regex", F.lit(""))))
+    exploded = table.select(
         "list_ord",
         "list_name",
         "raw",
-        F.explode("keys").alias("key"),
+        F.explode_outer(F.when(usable, F.col("keys"))).alias("key"),
         "regex",
         "match_case",
         "is_exception",
@@ -193,4 +195,5 @@ def parse_rules(lines: DataFrame) -> DataFrame:
         "third_party",
         "domains_in",
         "domains_out",
-    ).distinct()
+    )
+    return exploded.filter("key IS NOT NULL").distinct()

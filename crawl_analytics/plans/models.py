@@ -21,7 +21,7 @@ from ..constants import (
 )
 from ..functions import times, urls
 from ..operators.enrich import dedup_workers
-from ..operators.joins import first_rows, lookup_join, repeat_rows, salted_join
+from ..operators.joins import first_rows, hot_buckets, lookup_join, repeat_rows, salted_join
 from ..operators.ranking import running_number
 
 KEY_MODES = ("reference", "strict")
@@ -96,8 +96,9 @@ def site_summary_weighted(
     sessions = marks.groupBy(*session).agg(F.count("sm").alias("sm_n"), F.max("ck").alias("clicked"))
 
     joined = lookup_join(req, wm, ["worker_id"], hot_rows=req)
-    joined = salted_join(joined, res, res_on, hot_rows=req)
-    joined = salted_join(joined, sessions, session, hot_rows=req)
+    hot_res, hot_sessions = hot_buckets(req, [res_on, session])
+    joined = salted_join(joined, res, res_on, hot=hot_res)
+    joined = salted_join(joined, sessions, session, hot=hot_sessions)
 
     meta = metadata.select(
         F.col("exp_id").alias("experiment_id"),
@@ -212,5 +213,5 @@ def site_summary_enriched(summary: DataFrame, tranco: DataFrame, regions: DataFr
     ranked = add_rank(base, tranco, hot_rows=base)
     placed = add_region(ranked, regions, hot_rows=base)
     on = ["request_base_url", "request_requested_domain"]
-    out = salted_join(placed, signed, on, hot_rows=base)
+    out = salted_join(placed, signed, on, hot=hot_buckets(base, [on])[0])
     return out.select(*placed.columns, "cookie_request_class", "min_depth", "browser_signature")

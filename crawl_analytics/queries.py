@@ -55,11 +55,12 @@ def _raw_requests(fx: Fixture) -> DataFrame:
 
 
 def _kept(fx: Fixture) -> DataFrame:
-    return enrich.kept_sessions(_raw_requests(fx))
+    # one row per seed, needed by every table that is cleaned
+    return enrich.kept_sessions(_raw_requests(fx)).persist()
 
 
 def _requests(fx: Fixture) -> DataFrame:
-    return enrich.dedup_requests(_raw_requests(fx))
+    return enrich.dedup_requests(_raw_requests(fx), _kept(fx))
 
 
 def _responses(fx: Fixture) -> DataFrame:
@@ -79,8 +80,8 @@ def _workers(fx: Fixture) -> DataFrame:
 
 
 def _rules(fx: Fixture) -> DataFrame:
-    lines = [(i, name, line) for i, (name, text) in enumerate(FILTER_LISTS.items()) for line in text]
-    return parse_rules(fx.spark.createDataFrame(lines, "list_ord int, list_name string, line string").coalesce(1)).persist()
+    rows = [f"({i}, '{name}', '{line}')" for i, (name, text) in enumerate(FILTER_LISTS.items()) for line in text]
+    return parse_rules(fx.spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(list_ord, list_name, line)")).persist()
 
 
 def _labeled(fx: Fixture) -> DataFrame:
@@ -96,7 +97,7 @@ def _metadata(fx: Fixture) -> DataFrame:
 def _model_tables(fx: Fixture) -> list[DataFrame]:
     # the model joins read the labelled requests several times
     labeled = lake.read_requests(_labeled(fx)).persist()
-    return [_metadata(fx), labeled, _workers(fx), _responses(fx), _sites(fx), _consents(fx)]
+    return [_metadata(fx), labeled, _workers(fx).persist(), _responses(fx), _sites(fx), _consents(fx)]
 
 
 def _weighted(fx: Fixture) -> DataFrame:
