@@ -37,14 +37,7 @@ def host(url: Column) -> Column:
 
 def host_suffixes(name: Column) -> Column:
     """``a.b.c`` gives [a.b.c, b.c, c]; '' gives []."""
-    labels = F.split(name, r"\.")
-    return F.when(
-        F.length(name) > 0,
-        F.transform(
-            F.sequence(F.lit(1), F.size(labels)),
-            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(name, F.lit(r"(?:^|(?<=\.))(?=(.+))"), F.lit(1))
 
 
 def site_of(name: Column) -> Column:

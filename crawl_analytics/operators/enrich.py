@@ -34,8 +34,10 @@ def _one_per_url(rows: DataFrame, kept: DataFrame) -> DataFrame:
     # session, so what the join leaves is one row per seed and URL already.
     order = [c for c in ("timestamp", "request_id") if c in rows.columns]
     single = first_rows(rows, [*SESSION, "url"], order)
-    hot = hot_buckets(rows, [SESSION])[0]
-    out = salted_join(single, _kept_keys(kept), SESSION, "inner", spread=["url"], hot=hot)
+    # A session has no more requests than the kept one of its seed, so the seeds
+    # that are hot can be read off the kept sessions, a far smaller table.
+    hot = hot_buckets(kept, [SEED], weight="req_count")[0]
+    out = salted_join(single, _kept_keys(kept), SESSION, "inner", spread=["url"], hot=hot, hot_on=SEED)
     return out.select(*rows.columns)
 
 

@@ -37,16 +37,21 @@ def _bucket(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def hot_buckets(rows: DataFrame, keys: list[list[str]], min_rows: int = HOT_ROWS) -> list[list[int]]:
+def hot_buckets(
+    rows: DataFrame, keys: list[list[str]], min_rows: int = HOT_ROWS, weight: str | None = None
+) -> list[list[int]]:
     """For each key, the hash buckets with more than 1/64 of the rows: fewer than 64 numbers, always.
 
     Counting buckets instead of keys keeps the map-side state and the shuffle
     bounded, however many keys there are. A hot key makes its bucket hot. One job
     serves several keys and reads the key columns only; its result is a constant
-    of the plan, so all tasks agree on it and the plan does not grow.
+    of the plan, so all tasks agree on it and the plan does not grow. ``weight``
+    names a column with the number of rows a row stands for.
     """
+    n = F.sum("w") if weight else F.count(F.lit(1))
     places = F.array(*[F.struct(F.lit(i).alias("k"), _bucket(key).alias("b")) for i, key in enumerate(keys)])
-    counts = rows.select(F.explode(places).alias("p")).groupBy("p.k", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    placed = rows.select(F.explode(places).alias("p"), *([F.col(weight).alias("w")] if weight else []))
+    counts = placed.groupBy("p.k", "p.b").agg(n.alias("n"))
     large = F.collect_list(F.when(F.col("n") >= min_rows, F.struct("k", "b", "n")))
     found = counts.agg(F.sum("n").alias("all"), large.alias("large")).first()
     total = (found["all"] or 0) // len(keys)
@@ -60,6 +65,7 @@ def salted_join(
     how: str = "left",
     spread: list[str] | None = None,
     hot: list[int] | None = None,
+    hot_on: list[str] | None = None,
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join of a large side with a side that may be large too.
@@ -68,7 +74,8 @@ def salted_join(
     salt from a hash of ``spread`` (all columns by default), and the other side's
     rows of these buckets are repeated once per salt. Salts come from the row's
     content, so a recomputed task sends every row to the same place again. ``hot``
-    holds buckets found before, on a table with the same key frequencies and types.
+    holds buckets found before, on a table with the same key frequencies and types;
+    ``hot_on`` says which part of the key they are buckets of.
     Works for inner, left, left_semi and left_anti.
     """
     kinds = {c: facts.schema[c].dataType for c in on}
@@ -77,7 +84,7 @@ def salted_join(
         hot = hot_buckets(facts, [on], min_rows)[0]
     if not hot:
         return facts.join(dim, on, how)
-    is_hot = _bucket(on).isin(hot)
+    is_hot = _bucket(hot_on or on).isin(hot)
     salt = F.pmod(F.xxhash64(F.lit(7), *(spread or facts.columns)), F.lit(SALTS)).cast("int")
     left = facts.withColumn("__salt", F.when(is_hot, salt).otherwise(F.lit(0)))
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

@@ -16,49 +16,52 @@ def _prefixed(prefix: str, values: Column) -> Column:
     return F.transform(values, lambda v: F.concat(F.lit(prefix), v))
 
 
+def _source() -> Column:
+    """The page a request comes from; without one the request is its own source."""
+    return urls.host(F.when(F.coalesce("frame_url", F.lit("")) == "", F.col("url")).otherwise(F.col("frame_url")))
+
+
 def _url_keys(kinds: set[str]) -> Column:
     """All index keys a URL has, limited to the kinds that occur in the rules."""
     found = []
-    if "h" in kinds:
-        found.append(_prefixed("h:", urls.host_suffixes(F.col("host"))))
-    if "t" in kinds:
-        found.append(_prefixed("t:", F.regexp_extract_all("low", F.lit("[a-z0-9%]{2,}"), F.lit(0))))
-    if "s" in kinds:
-        found.append(_prefixed("s:", F.col("source_suffixes")))
-    if "g" in kinds:
-        # every run of three characters, at each of the three offsets
+    if "host" in kinds:
+        found.append(urls.host_suffixes(urls.host(F.col("url"))))
+    if "word" in kinds:
+        found.append(F.regexp_extract_all("low", F.lit("[a-z0-9%]{2,}"), F.lit(0)))
+    if "source" in kinds:
+        found.append(_prefixed("s:", urls.host_suffixes(_source())))
+    if "chars" in kinds:
+        # every run of three characters: whole runs from each of three offsets
         found += [
             _prefixed("g:", F.regexp_extract_all(F.expr(f"substring(low, {i})"), F.lit("(?s).{3}"), F.lit(0))) for i in (1, 2, 3)
         ]
-    if "*" in kinds:
+    if "any" in kinds:
         found.append(F.array(F.lit("*")))
     return F.array_distinct(F.concat(*found)) if found else F.array().cast("array<string>")
 
 
-def _targets(requests: DataFrame) -> DataFrame:
-    """Distinct (url, frame, type) with the columns rules are tested on."""
-    known = requests.filter(F.col("url").isNotNull() & (F.col("url") != "")).select(*TRIPLE).distinct()
-    source = F.when(F.coalesce("frame_url", F.lit("")) == "", F.col("url")).otherwise(F.col("frame_url"))
-    hosts = known.withColumn("low", F.lower("url")).withColumn("host", urls.host(F.col("url"))).withColumn("source", urls.host(source))
-    return hosts.select(
-        *TRIPLE,
-        "low",
-        "host",
-        request_type(F.col("resource_type")).alias("kind"),
-        urls.host_suffixes(F.col("source")).alias("source_suffixes"),
-        (urls.site_of(F.col("host")) != urls.site_of(F.col("source"))).alias("is_third_party"),
-    )
-
-
 def _rule_matches() -> Column:
-    named = F.array_contains("types_in", F.col("kind"))
-    free = (F.col("kind") != "document") & F.coalesce(~F.array_contains("types_out", F.col("kind")), F.lit(True))
-    party = F.col("third_party").isNull() | (F.col("third_party") == F.col("is_third_party"))
-    inside = F.col("domains_in").isNull() | F.arrays_overlap("domains_in", "source_suffixes")
-    outside = F.col("domains_out").isNull() | ~F.arrays_overlap("domains_out", "source_suffixes")
+    """Options and pattern of a rule against a request that shares an index key with it."""
+    kind = request_type(F.col("resource_type"))
+    named = F.array_contains("types_in", kind)
+    free = (kind != "document") & F.coalesce(~F.array_contains("types_out", kind), F.lit(True))
+    third = urls.site_of(urls.host(F.col("url"))) != urls.site_of(_source())
+    party = F.when(F.col("third_party").isNull(), F.lit(True)).otherwise(F.col("third_party") == third)
+    from_sites = urls.host_suffixes(_source())
+    inside = F.when(F.col("domains_in").isNull(), F.lit(True)).otherwise(F.arrays_overlap("domains_in", from_sites))
+    outside = F.when(F.col("domains_out").isNull(), F.lit(True)).otherwise(~F.arrays_overlap("domains_out", from_sites))
     text = F.when(F.col("match_case"), F.col("url")).otherwise(F.col("low"))
-    pattern = F.when(F.col("regex").isNull(), F.lit(True)).otherwise(F.rlike(text, F.col("regex")))
-    return F.when(F.col("types_in").isNull(), free).otherwise(named) & party & inside & outside & pattern
+    plain = F.col("plain")
+    fixed = (
+        F.when(F.col("at_start") & F.col("at_end"), text == plain)
+        .when(F.col("at_start"), F.startswith(text, plain))
+        .when(F.col("at_end"), F.endswith(text, plain))
+        .otherwise(F.contains(text, plain))
+    )
+    pattern = (
+        F.when(plain.isNotNull(), fixed).when(F.col("regex").isNull(), F.lit(True)).otherwise(F.rlike(text, F.col("regex")))
+    )
+    return F.when(F.col("types_in").isNull(), free).otherwise(named) & pattern & party & inside & outside
 
 
 def blocking_lists(requests: DataFrame, rules: DataFrame) -> DataFrame:
@@ -67,13 +70,15 @@ def blocking_lists(requests: DataFrame, rules: DataFrame) -> DataFrame:
     A list blocks when one of its rules matches and none of its exceptions does;
     an important rule beats exceptions.
     """
-    sizes = rules.groupBy(F.substring("key", 1, 1).alias("kind")).agg(
+    sizes = rules.groupBy("key_kind").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("raw") + F.length(F.coalesce("regex", F.lit("")))).alias("chars")
     )
     measured = sizes.collect()  # one row per kind of key, five at most
-    kinds = {r["kind"] for r in measured}
+    kinds = {r["key_kind"] for r in measured}
     small = sum(r["n"] for r in measured) <= LOOKUP_ROWS and sum(r["chars"] for r in measured) <= LOOKUP_CHARS
-    keyed = _targets(requests).withColumn("key", F.explode_outer(_url_keys(kinds)))
+    known = requests.filter(F.col("url").isNotNull() & (F.col("url") != "")).select(*TRIPLE).distinct()
+    # explode_outer: an inner explode would evaluate the keys twice, once for a test of its own
+    keyed = known.withColumn("low", F.lower("url")).withColumn("key", F.explode_outer(_url_keys(kinds)))
     if small:
         pairs = keyed.join(F.broadcast(rules), "key")
     else:

@@ -8,6 +8,7 @@ import random
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import ACCEPT_PHRASES, DESCRIPTION_CHARS
 from ..functions import markup, urls
@@ -134,7 +135,7 @@ def match_consent(pages: DataFrame, phrases: list[str] | None = None) -> DataFra
     return found.filter("m IS NOT NULL").select(*keep, "m.tag", "m.text", "m.phrase", F.col("m.rank").alias("phrase_rank"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _pick(seed: pd.Series, depth: pd.Series, size: pd.Series) -> pd.Series:
     def one(s: str, d: int, n: int) -> int:
         if n < 1:

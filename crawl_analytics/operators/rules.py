@@ -115,9 +115,11 @@ def _translate(pattern: Column) -> Column:
 def parse_rules(lines: DataFrame) -> DataFrame:
     """Rule table of (list_ord, list_name, line): comments, element rules and unusable rules drop out.
 
-    Every rule gets index keys, at least one of which each matching URL has too:
-    ``h:`` full host, ``t:`` longest whole word, ``s:`` source domains, ``g:`` three
-    characters, ``*`` anything. A rule for several source domains has one row each.
+    Every rule gets index keys, at least one of which each matching URL has too: its
+    full host, its rarest whole word among all rules, source domains (``s:``), three
+    characters (``g:``) or ``*`` for anything; ``key_kind`` says which. A rule for
+    several source domains has one row each. Patterns without wildcards are kept as
+    plain text with their anchors, others as a regular expression.
     """
     raw = F.trim(F.col("line"))
     network = lines.withColumn("raw", raw).filter(
@@ -154,46 +156,60 @@ def parse_rules(lines: DataFrame) -> DataFrame:
         F.regexp_replace(low, r"^\|\|?|\|$", "."),
         F.when(F.endswith(low, F.lit("|")), F.lit("")).otherwise(F.lit("*")),
     )
-    words = F.filter(F.regexp_extract_all(open_ends, F.lit(_WORD), F.lit(0)), lambda w: ~w.isin(COMMON_WORDS))
-    longest = F.try_element_at(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
+    words = F.array_distinct(F.regexp_extract_all(open_ends, F.lit(_WORD), F.lit(0)))
     literals = F.split(F.regexp_replace(low, r"^\|\|?|\|$", ""), r"[*^|]")
     longest_literal = F.try_element_at(
         F.array_sort(F.transform(literals, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1)
     )["w"]
-    keyed = (
-        typed.withColumn("host", F.regexp_extract(low, _HOST_RULE, 1))
-        .withColumn("word", F.when(~F.col("is_regex"), longest))
+    bare = F.regexp_replace(F.col("pattern"), r"^\||\|$", "")
+    pure_host = F.col("pattern") == F.concat(F.lit("||"), F.col("host"), F.lit("^"))
+    inner = F.expr("substring(pattern, 2, length(pattern) - 2)")
+    read = (
+        typed.withColumn("host", F.when(~F.col("is_regex"), F.regexp_extract(low, _HOST_RULE, 1)).otherwise(F.lit("")))
+        .withColumn("words", F.when(F.col("is_regex") | (F.col("host") != ""), F.array().cast("array<string>")).otherwise(words))
         .withColumn("literal", F.when(~F.col("is_regex"), longest_literal))
+        .withColumn("plain", F.when(~F.col("is_regex") & ~F.startswith("pattern", F.lit("||")) & ~bare.rlike(r"[*^]"), bare))
+        .withColumn("at_start", F.startswith("pattern", F.lit("|")))
+        .withColumn("at_end", F.endswith("pattern", F.lit("|")))
+        .withColumn(
+            "regex",
+            F.when(F.col("is_regex"), F.when(F.col("match_case"), inner).otherwise(F.concat(F.lit("(?i)"), inner))).when(
+                F.col("plain").isNull() & ~((F.col("host") != "") & pure_host), _translate(F.col("pattern"))
+            ),
+        )
+    )
+    columns = [
+        "list_ord", "list_name", "raw", "regex", "plain", "at_start", "at_end", "match_case",
+        "is_exception", "is_important", "types_in", "types_out", "third_party", "domains_in", "domains_out",
+    ]
+    # A rule that cannot be used is marked, not filtered: the filter would be pushed
+    # down and evaluate all of the above a second time.
+    usable = F.col("usable") & (~F.col("is_regex") | _compiles(F.coalesce("regex", F.lit(""))))
+    table = read.select(*columns, "host", "words", "literal", usable.alias("usable")).distinct()
+    rarest = _rarest_words(table)
+    keyed = table.join(rarest, ["list_ord", "list_name", "raw"], "left")
+    kind = (
+        F.when(F.col("host") != "", F.lit("host"))
+        .when(F.col("word").isNotNull(), F.lit("word"))
+        .when(F.col("domains_in").isNotNull(), F.lit("source"))
+        .when(F.length("literal") >= 3, F.lit("chars"))
+        .otherwise(F.lit("any"))
     )
     keys = (
-        F.when((F.col("host") != "") & ~F.col("is_regex"), F.array(F.concat(F.lit("h:"), F.col("host"))))
-        .when(F.col("word").isNotNull(), F.array(F.concat(F.lit("t:"), F.col("word"))))
-        .when(F.col("domains_in").isNotNull(), F.transform("domains_in", lambda d: F.concat(F.lit("s:"), d)))
-        .when(F.length("literal") >= 3, F.array(F.concat(F.lit("g:"), F.substring("literal", 1, 3))))
+        F.when(F.col("key_kind") == "host", F.array("host"))
+        .when(F.col("key_kind") == "word", F.array("word"))
+        .when(F.col("key_kind") == "source", F.transform("domains_in", lambda d: F.concat(F.lit("s:"), d)))
+        .when(F.col("key_kind") == "chars", F.array(F.concat(F.lit("g:"), F.substring("literal", 1, 3))))
         .otherwise(F.array(F.lit("*")))
     )
-    pure_host = F.col("pattern") == F.concat(F.lit("||"), F.col("host"), F.lit("^"))
-    regex = F.when(
-        F.col("is_regex"),
-        F.concat(F.when(F.col("match_case"), F.lit("")).otherwise(F.lit("(?i)")), F.expr("substring(pattern, 2, length(pattern) - 2)")),
-    ).when(~(pure_host & (F.col("host") != "")), _translate(F.col("pattern")))
-    # A rule that cannot be used gets no keys. The test is not a filter: that would
-    # be pushed down and evaluate all of the above a second time.
-    table = keyed.withColumn("keys", keys).withColumn("regex", regex)
-    usable = F.col("usable") & (~F.col("is_regex") | _compiles(F.coalesce("regex", F.lit(""))))
-    exploded = table.select(
-        "list_ord",
-        "list_name",
-        "raw",
-        F.explode_outer(F.when(usable, F.col("keys"))).alias("key"),
-        "regex",
-        "match_case",
-        "is_exception",
-        "is_important",
-        "types_in",
-        "types_out",
-        "third_party",
-        "domains_in",
-        "domains_out",
-    )
-    return exploded.filter("key IS NOT NULL").distinct()
+    ready = keyed.withColumn("key_kind", kind)
+    return ready.select(*columns, "key_kind", F.explode_outer(F.when(F.col("usable"), keys)).alias("key")).filter("key IS NOT NULL")
+
+
+def _rarest_words(table: DataFrame) -> DataFrame:
+    """The word of each rule that the fewest rules have; words found in most URLs come last."""
+    rule = ["list_ord", "list_name", "raw"]
+    each = table.select(*rule, F.explode("words").alias("word"))
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("word").isin(COMMON_WORDS), F.col("n"), -F.length("word"), F.col("word"))
+    return each.join(counts, "word").groupBy(*rule).agg(F.min_by("word", order).alias("word"))

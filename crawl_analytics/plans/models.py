@@ -39,13 +39,15 @@ def session_starts(requests: DataFrame, keys: str = "reference") -> DataFrame:
         "experiment_id",
         "crawl_session_id",
         times.wall_clock(F.col("timestamp")).alias("scraped_at"),
-        times.epoch_micros(F.col("timestamp")).alias("epoch_us"),
     )
 
 
 def crawl_progress(requests: DataFrame, keys: str = "reference") -> DataFrame:
-    """Running number of completed sites per experiment, by the wall clock of the session start."""
-    starts = session_starts(requests, keys).withColumn("wall_us", times.micros_of(F.col("scraped_at"))).drop("epoch_us")
+    """Running number of completed sites per experiment, by the wall clock of the session start.
+
+    The session starts, one row per session, are read three times and therefore kept.
+    """
+    starts = session_starts(requests, keys).withColumn("wall_us", times.micros_of(F.col("scraped_at"))).persist()
     numbered = running_number(starts, ["experiment_id"], "wall_us", ["crawl_session_id"], "sites_completed")
     return numbered.select("experiment_id", "scraped_at", "sites_completed")
 
