@@ -15,11 +15,13 @@ from ..functions import markup, urls
 from ..session import shared_dir
 from .joins import first_rows, salted_join
 
-_CANDIDATE = (
-    r"""(?is)<(button|a|input|[a-z][a-z0-9]*(?=(?:[^>"']|"[^"]*"|'[^']*')*?\srole\s*=\s*["']?button\b))(?=[\s/>])"""
-    + markup.ATTRS
-    + r""">(?=(.*?)</\1\s*>|)"""
-)
+_NAMED = "button|a|input"
+_BY_ROLE = r"""[a-z][a-z0-9]*(?=(?:[^>"']|"[^"]*"|'[^']*')*?\srole\s*=\s*["']?button\b)"""
+
+
+def _candidate(names: str) -> str:
+    """An opening tag, its attributes and, looking ahead, what stands before its closing tag."""
+    return rf"(?is)<({names})(?=[\s/>])" + markup.ATTRS + r">(?=(.*?)</\1\s*>|)"
 
 
 def link_sets(pages: DataFrame) -> DataFrame:
@@ -58,11 +60,16 @@ def site_description(pages: DataFrame) -> DataFrame:
     return seeds.select(*[c for c in seeds.columns if c != "html"], text.alias("description"))
 
 
-def _consent_elements(html: Column) -> Column:
+def _consent_elements(shown: Column) -> Column:
     """Tag, attributes and inner markup of every candidate element, in document order."""
-    shown = markup.visible_markup(html)
-    names, attrs, inner = (F.regexp_extract_all(shown, F.lit(_CANDIDATE), F.lit(i)) for i in (1, 2, 3))
-    return F.arrays_zip(names.alias("tag"), attrs.alias("attrs"), inner.alias("inner"))
+
+    def parts(group: int) -> Column:
+        # looking for roles in every tag is only worth it on pages that have them
+        usual = F.regexp_extract_all(shown, F.lit(_candidate(_NAMED)), F.lit(group))
+        roles = F.regexp_extract_all(shown, F.lit(_candidate(f"{_NAMED}|{_BY_ROLE}")), F.lit(group))
+        return F.when(shown.rlike(r"(?i)\srole\s*="), roles).otherwise(usual)
+
+    return F.arrays_zip(parts(1).alias("tag"), parts(2).alias("attrs"), parts(3).alias("inner"))
 
 
 def _clickable(tag: Column, attrs: Column) -> Column:
@@ -75,12 +82,13 @@ def _clickable(tag: Column, attrs: Column) -> Column:
     disabled = markup.has_attr(attrs, "disabled") | (markup.attr(attrs, "aria-disabled") == "true")
     href = F.trim(F.coalesce(markup.attr(attrs, "href"), F.lit("")))
     stays = (href == "") | (href == "#") | href.startswith("javascript:")
-    link = F.coalesce(markup.attr(attrs, "target") != "_blank", F.lit(True)) & stays
+    link = stays & F.coalesce(markup.attr(attrs, "target") != "_blank", F.lit(True))
     typed = F.lower(F.coalesce(markup.attr(attrs, "type"), F.lit(""))).isin("submit", "button")
+    # most candidates are links that lead elsewhere: they are out after one test
     return (
-        ~F.coalesce(hidden, F.lit(False))
+        F.when(tag == "a", link).when(tag == "input", typed).otherwise(F.lit(True))
+        & ~F.coalesce(hidden, F.lit(False))
         & ~F.coalesce(disabled, F.lit(False))
-        & F.when(tag == "a", link).when(tag == "input", typed).otherwise(F.lit(True))
     )
 
 
@@ -108,7 +116,8 @@ def match_consent(pages: DataFrame, phrases: list[str] | None = None) -> DataFra
     wanted = ACCEPT_PHRASES if phrases is None else phrases
     listed = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(p).alias("phrase")) for i, p in enumerate(wanted)])
     keep = [c for c in pages.columns if c != "html"]
-    elements = pages.select(*keep, _consent_elements(F.col("html")).alias("e"))
+    shown = pages.select(*keep, markup.visible_markup(F.col("html")).alias("shown"))
+    elements = shown.select(*keep, _consent_elements(F.col("shown")).alias("e"))
     texts = F.transform(
         "e",
         lambda e, i: F.struct(
