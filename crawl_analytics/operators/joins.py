@@ -38,7 +38,7 @@ def _bucket(keys: list[str]) -> Column:
 
 
 def hot_buckets(
-    rows: DataFrame, keys: list[list[str]], min_rows: int = HOT_ROWS, weight: str | None = None
+    rows: DataFrame, keys: list[list[str]], min_rows: int | None = None, weight: str | None = None
 ) -> list[list[int]]:
     """For each key, the hash buckets with more than 1/64 of the rows: fewer than 64 numbers, always.
 
@@ -48,6 +48,7 @@ def hot_buckets(
     of the plan, so all tasks agree on it and the plan does not grow. ``weight``
     names a column with the number of rows a row stands for.
     """
+    min_rows = HOT_ROWS if min_rows is None else min_rows
     n = F.sum("w") if weight else F.count(F.lit(1))
     places = F.array(*[F.struct(F.lit(i).alias("k"), _bucket(key).alias("b")) for i, key in enumerate(keys)])
     placed = rows.select(F.explode(places).alias("p"), *([F.col(weight).alias("w")] if weight else []))
@@ -66,7 +67,7 @@ def salted_join(
     spread: list[str] | None = None,
     hot: list[int] | None = None,
     hot_on: list[str] | None = None,
-    min_rows: int = HOT_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join of a large side with a side that may be large too.
 
@@ -92,8 +93,10 @@ def salted_join(
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
-def is_small(lookup: DataFrame, max_rows: int = LOOKUP_ROWS, max_chars: int = LOOKUP_CHARS) -> bool:
+def is_small(lookup: DataFrame, max_rows: int | None = None, max_chars: int | None = None) -> bool:
     """Measure a lookup: at most ``max_rows`` rows and ``max_chars`` characters of text."""
+    max_rows = LOOKUP_ROWS if max_rows is None else max_rows
+    max_chars = LOOKUP_CHARS if max_chars is None else max_chars
     texts = [f.name for f in lookup.schema.fields if f.dataType.typeName() in ("string", "array")]
     chars = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in texts), F.lit(0))
     seen = lookup.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(chars).alias("chars")).first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +31,16 @@ def enriched_tables(
     workers: DataFrame,
     rules: DataFrame,
     kept: DataFrame | None = None,
+    single: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """The five enriched tables of raw tables. ``kept`` may be a stored result of ``kept_sessions``."""
+    """The five enriched tables of raw tables.
+
+    ``kept`` and ``single`` may be stored results of ``kept_sessions`` and ``dedup_requests``.
+    """
     kept = kept_sessions(requests) if kept is None else kept
+    single = dedup_requests(requests, kept) if single is None else single
     return {
-        "labeled_requests": label_requests(dedup_requests(requests, kept), rules),
+        "labeled_requests": label_requests(single, rules),
         "responses": dedup_responses(responses, kept),
         "cookie_warning_consents": dedup_consents(consents, kept),
         "site_metadata": dedup_site_metadata(site_metadata, kept),
@@ -41,25 +48,29 @@ def enriched_tables(
     }
 
 
-def _known(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of experiments that have a readable document."""
-    if is_small(ids):
-        return rows.join(F.broadcast(ids), "experiment_id", "left_semi")
-    return salted_join(rows, ids, ["experiment_id"], "left_semi")
-
-
 def enrich(spark: SparkSession, root: str, out: str, filter_lists: str | None = None) -> None:
     """Process all experiments in one go: the experiment is a key, not a loop.
 
-    Experiments without a readable document are left out. The kept sessions are
-    needed by four tables and are therefore stored once, in the shared folder.
+    Experiments without a readable document or without raw rows are left out. Kept
+    sessions (for four tables) and single requests (for the labels, read three
+    times) are stored once, in the shared folder.
     """
     documents = read_metadata(spark, root)
     ids = documents.select(F.col("exp_id").alias("experiment_id")).distinct()
+    small = is_small(ids)
+
+    def known(rows: DataFrame) -> DataFrame:
+        if small:
+            return rows.join(F.broadcast(ids), "experiment_id", "left_semi")
+        return salted_join(rows, ids, ["experiment_id"], "left_semi")
+
     kinds = ("requests", "responses", "cookie_warning_consents", "site_metadata")
-    requests, responses, consents, sites = (_known(read_raw(spark, root, kind), ids) for kind in kinds)
-    workers = read_workers(spark, root, documents.select(F.col("exp_id").alias("id")).distinct())
-    rules = parse_rules(read_filter_lists(spark, chosen_lists(filter_lists)))
-    kept = materialize(kept_sessions(requests), new_run_dir(spark, "kept-sessions"))
-    write_enriched(enriched_tables(requests, responses, consents, sites, workers, rules, kept), out)
+    raw = [known(read_raw(spark, root, kind)) for kind in kinds]
+    present = reduce(DataFrame.union, [rows.select("experiment_id") for rows in raw]).distinct()
+    workers = read_workers(spark, root, present.withColumnRenamed("experiment_id", "id"))
+    rules = parse_rules(read_filter_lists(spark, chosen_lists(filter_lists))).persist()
+    kept = materialize(kept_sessions(raw[0]), new_run_dir(spark, "kept-sessions"))
+    single = materialize(dedup_requests(raw[0], kept), new_run_dir(spark, "single-requests"))
+    write_enriched(enriched_tables(*raw, workers, rules, kept, single), out)
     copy_metadata(spark, root, out)
+    rules.unpersist()

@@ -67,8 +67,8 @@ def read_raw(spark: SparkSession, root: str, data_type: str, experiments: list[s
 def read_workers(spark: SparkSession, root: str, experiments: DataFrame | None = None) -> DataFrame:
     """Worker rows of the ``system`` partition; with ``experiments`` (id) one copy for each of them.
 
-    Experiments are few and workers are few, and the copies are wanted as such:
-    every experiment's output holds all workers.
+    The copies are wanted as such: every experiment's output holds all workers.
+    Experiments are started by hand, so their ids fit an array.
     """
     rows = read_raw(spark, root, "worker_metadata", [SYSTEM_EXPERIMENT])
     if experiments is None:
@@ -150,9 +150,21 @@ def list_experiments(keys: DataFrame) -> DataFrame:
 
 
 def write_table(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Overwrite a table. A table without rows is written unpartitioned, so that its schema is kept."""
-    writer = rows.write.mode("overwrite")
-    (writer.partitionBy(*by) if by and not rows.isEmpty() else writer).parquet(path)
+    """Overwrite a table. A table without rows ends up unpartitioned, so that its schema is kept.
+
+    Whether there were rows is seen on the files, not by computing the rows twice.
+    """
+    if not by:
+        rows.write.mode("overwrite").parquet(path)
+        return
+    rows.write.mode("overwrite").partitionBy(*by).parquet(path)
+    spark = rows.sparkSession
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(path)
 
 
 def write_enriched(tables: dict[str, DataFrame], out: str) -> None:

@@ -86,7 +86,7 @@ def test_enrich_job(spark, tmp_path):
     labeled = lake.read_enriched(spark, out, "labeled_requests")
     assert sorted((r.url, r.blocked_by) for r in labeled.collect()) == [("http://s/", "[]"), ("http://t.com/a", '["easylist"]')]
     assert [r.description for r in lake.read_enriched(spark, out, "site_metadata").collect()] == ["news"]
-    assert {r.experiment_id for r in lake.read_enriched(spark, out, "worker_metadata").collect()} == {"e1", "empty"}
+    assert {r.experiment_id for r in lake.read_enriched(spark, out, "worker_metadata").collect()} == {"e1"}
     for name in ("responses", "cookie_warning_consents"):
         assert lake.read_enriched(spark, out, name).count() == 0
         assert "crawl_session_id" in spark.read.parquet(f"{out}/{name}").columns

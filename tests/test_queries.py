@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from crawl_analytics.operators import joins, labelling
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
@@ -61,3 +62,16 @@ def test_no_plan_multiplies_rows_without_a_key(spark):
         plan = contract.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
         spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("name", ["dedup_responses", "labeled_requests", "site_summary_strict", "site_summary_enriched"])
+def test_results_hold_with_hot_keys_and_large_lookups(spark, con, monkeypatch, name):
+    monkeypatch.setattr(joins, "HOT_ROWS", 2)
+    monkeypatch.setattr(joins, "LOOKUP_ROWS", 0)
+    monkeypatch.setattr(labelling, "LOOKUP_ROWS", 0)
+    frame = contract.queries()[name](spark, SF)
+    assert "__salt" in frame._jdf.queryExecution().analyzed().toString()
+    mine = table(frame.columns, frame.collect())
+    spark.catalog.clearCache()
+    result = con.execute(contract.oracle_sql()[name])
+    assert mine == table([d[0] for d in result.description], result.fetchall())
