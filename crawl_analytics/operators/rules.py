@@ -63,9 +63,18 @@ def _compiles(pattern: Column) -> Column:
     return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
 
 
+def _text(value: str | bool) -> str:
+    return str(value).lower() if isinstance(value, bool) else f"'{value}'"
+
+
 def _mapped(values: dict, key: Column) -> Column:
-    pairs = [F.lit(x) for item in values.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    """Look a key up in a fixed table; written as SQL text, which is one call instead of one per entry."""
+    pairs = ", ".join(f"{_text(k)}, {_text(v)}" for k, v in values.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
+
+
+def _one_of(values: list[str], key: Column) -> Column:
+    return F.array_contains(F.expr(f"array({', '.join(map(_text, values))})"), key)
 
 
 def request_type(resource_type: Column) -> Column:
@@ -77,17 +86,17 @@ def _option_columns(options: Column) -> dict[str, Column]:
     bare = F.transform(options, lambda o: F.regexp_replace(o, "^~", ""))
     types = list(TYPE_OPTIONS)
     known = [*types, *PARTY_OPTIONS, "first-party", "1p", "3p", "third-party", *PLAIN_OPTIONS]
-    named = F.filter(options, lambda o: o.isin(types))
-    negated = F.filter(options, lambda o: o.isin([f"~{t}" for t in types]))
+    named = F.filter(options, lambda o: _one_of(types, o))
+    negated = F.filter(options, lambda o: _one_of([f"~{t}" for t in types], o))
     domain_list = F.try_element_at(F.filter(options, lambda o: F.startswith(o, F.lit("domain="))), F.lit(1))
     domains = F.split(F.lower(F.substring(domain_list, 8, 1 << 20)), r"\|")
-    party = F.filter(options, lambda o: o.isin(list(PARTY_OPTIONS) + ["~3p", "~first-party", "~1p"]))
+    party = F.filter(options, lambda o: _one_of([*PARTY_OPTIONS, "~3p", "~first-party", "~1p"], o))
 
     def some(values: Column) -> Column:
         return F.when(F.size(values) > 0, values)
 
     return {
-        "usable": F.forall(bare, lambda o: o.isin(known) | F.startswith(o, F.lit("domain="))),
+        "usable": F.forall(bare, lambda o: _one_of(known, o) | F.startswith(o, F.lit("domain="))),
         "types_in": some(F.array_distinct(F.transform(named, lambda o: _mapped(TYPE_OPTIONS, o)))),
         "types_out": some(F.transform(negated, lambda o: _mapped(TYPE_OPTIONS, F.regexp_replace(o, "^~", "")))),
         "third_party": _mapped({**PARTY_OPTIONS, "~3p": False, "~first-party": True, "~1p": True}, F.try_element_at(party, F.lit(1))),
