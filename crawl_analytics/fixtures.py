@@ -196,6 +196,7 @@ class Fixture:
         use_utc(spark)
         self.spark, self.sf_dir = spark, sf_dir
         self.tables = _tables()
+        self.steps: dict[str, DataFrame] = {}  # stored steps of one query
         self.tag = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
 
     def source(self, table: str) -> DataFrame:

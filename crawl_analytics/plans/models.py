@@ -23,6 +23,8 @@ from ..functions import times, urls
 from ..operators.enrich import dedup_workers
 from ..operators.joins import first_rows, hot_buckets, lookup_join, repeat_rows, salted_join
 from ..operators.ranking import running_number
+from ..session import new_run_dir
+from ..sources.lake import materialize
 
 KEY_MODES = ("reference", "strict")
 
@@ -45,9 +47,11 @@ def session_starts(requests: DataFrame, keys: str = "reference") -> DataFrame:
 def crawl_progress(requests: DataFrame, keys: str = "reference") -> DataFrame:
     """Running number of completed sites per experiment, by the wall clock of the session start.
 
-    The session starts, one row per session, are read three times and therefore kept.
+    The session starts, one row per session, are read three times and therefore
+    stored in the shared folder.
     """
-    starts = session_starts(requests, keys).withColumn("wall_us", times.micros_of(F.col("scraped_at"))).persist()
+    starts = session_starts(requests, keys).withColumn("wall_us", times.micros_of(F.col("scraped_at")))
+    starts = materialize(starts, new_run_dir(requests.sparkSession, "session-starts"))
     numbered = running_number(starts, ["experiment_id"], "wall_us", ["crawl_session_id"], "sites_completed")
     return numbered.select("experiment_id", "scraped_at", "sites_completed")
 

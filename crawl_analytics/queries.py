@@ -54,9 +54,17 @@ def _raw_requests(fx: Fixture) -> DataFrame:
     return fx["raw_requests"].drop("k")
 
 
+def _stored(fx: Fixture, name: str, rows: DataFrame) -> DataFrame:
+    """A step that is read several times, written once. A persisted frame is
+    computed again where it meets a frame of the same origin in a join."""
+    return lake.materialize(rows, new_run_dir(fx.spark, name))
+
+
 def _kept(fx: Fixture) -> DataFrame:
     # one row per seed, needed by every table that is cleaned
-    return enrich.kept_sessions(_raw_requests(fx)).persist()
+    if "kept" not in fx.steps:
+        fx.steps["kept"] = _stored(fx, "kept", enrich.kept_sessions(_raw_requests(fx)))
+    return fx.steps["kept"]
 
 
 def _requests(fx: Fixture) -> DataFrame:
@@ -86,7 +94,7 @@ def _rules(fx: Fixture) -> DataFrame:
 
 def _labeled(fx: Fixture) -> DataFrame:
     # requests are read for the distinct triples and for the join back
-    return label_requests(_requests(fx).persist(), _rules(fx))
+    return label_requests(_stored(fx, "single", _requests(fx)), _rules(fx))
 
 
 def _metadata(fx: Fixture) -> DataFrame:
@@ -96,8 +104,8 @@ def _metadata(fx: Fixture) -> DataFrame:
 
 def _model_tables(fx: Fixture) -> list[DataFrame]:
     # the model joins read the labelled requests several times
-    labeled = lake.read_requests(_labeled(fx)).persist()
-    return [_metadata(fx), labeled, _workers(fx).persist(), _responses(fx), _sites(fx), _consents(fx)]
+    labeled = _stored(fx, "labeled", lake.read_requests(_labeled(fx)))
+    return [_metadata(fx), labeled, _stored(fx, "workers", _workers(fx)), _responses(fx), _sites(fx), _consents(fx)]
 
 
 def _weighted(fx: Fixture) -> DataFrame:
@@ -105,7 +113,7 @@ def _weighted(fx: Fixture) -> DataFrame:
 
 
 def _enriched_weighted(fx: Fixture) -> DataFrame:
-    return models.site_summary_enriched(_weighted(fx).persist(), fx["tranco"], _regions(fx))
+    return models.site_summary_enriched(_stored(fx, "summary", _weighted(fx)), fx["tranco"], _regions(fx))
 
 
 def _regions(fx: Fixture) -> DataFrame:
@@ -117,7 +125,7 @@ def _main(fx: Fixture) -> DataFrame:
 
 
 def _progress(fx: Fixture) -> DataFrame:
-    return models.crawl_progress(_requests(fx)).persist()
+    return _stored(fx, "progress", models.crawl_progress(_requests(fx)))
 
 
 # -- enrichment ------------------------------------------------------------------------------------
@@ -132,7 +140,7 @@ def session_counts(fx: Fixture) -> DataFrame:
 @query
 def kept_sessions(fx: Fixture) -> DataFrame:
     """The session kept per seed."""
-    return _kept(fx)
+    return enrich.kept_sessions(_raw_requests(fx))
 
 
 @query
@@ -658,9 +666,8 @@ def workers_roundtrip(fx: Fixture) -> DataFrame:
 def enriched_roundtrip(fx: Fixture) -> DataFrame:
     """The five enriched tables written, read back and counted per experiment."""
     out = new_run_dir(fx.spark, "enriched")
-    kept = lake.materialize(_kept(fx), new_run_dir(fx.spark, "kept"))
     raw = [fx["raw_responses"], fx["raw_consents"], fx["raw_site_metadata"], fx["raw_worker_metadata"]]
-    lake.write_enriched(enriched_tables(_raw_requests(fx), *raw, _rules(fx), kept), out)
+    lake.write_enriched(enriched_tables(_raw_requests(fx), *raw, _rules(fx), _kept(fx), _stored(fx, "single", _requests(fx))), out)
     parts = [
         lake.read_enriched(fx.spark, out, name)
         .groupBy("experiment_id")
