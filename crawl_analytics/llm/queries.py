@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import packing, simhash
-from .common import table
+from . import chat, langid, lm, merkle, mixing, multiindex, packing, quality, simhash, warc
+from .common import folder, table
 
 
 def packing_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,50 @@ def packing_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).drop("positions")
+
+
 def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def page_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(table(spark, sf_dir, "pages"), folder(spark, "packages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compared_with_edit(table(spark, sf_dir, "documents")).drop("edited_sections")
+
+
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("<|im_end|><|im_start|>assistant ok").alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.conversations_formatted(turns.unionByName(own))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def prepared(query):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +72,14 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     found = {
         "op1_packing": packing_pieces,
+        "op2_mixing": mixing_sources,
         "op3_simhash": simhash_components,
+        "op4_language": document_languages,
+        "op5_fingerprints": document_fingerprints,
+        "op6_quality": document_quality,
+        "op7_embeddings": embedding_components,
+        "op8_chat": chat_formatting,
+        "op9_archives": page_archives,
+        "op10_language_model": language_model_scores,
     }
     return {name: prepared(query) for name, query in found.items()}
