@@ -32,6 +32,7 @@ class Plain:
         self.dp, self.dw = self.discounts(self.pairs.values()), self.discounts(self.before.values())
         self.n, self.v = sum(self.seen.values()), len(self.seen)
         self.bigrams = sum(self.before.values())
+        self.left = sum(self.dw[min(n, 3) - 1] for n in self.before.values()) / max(1, self.bigrams)
 
     @staticmethod
     def discounts(counts):
@@ -48,8 +49,7 @@ class Plain:
         return max(0.0, n - d[min(n, 3) - 1]) if n else 0.0
 
     def low(self, v):
-        left = sum(self.dw[min(n, 3) - 1] for n in self.before.values()) / self.bigrams
-        return self.less(self.before[v], self.dw) / self.bigrams + left / (self.v + 1)
+        return self.less(self.before[v], self.dw) / self.bigrams + self.left / (self.v + 1)
 
     def p(self, u, v):
         if not self.total[u]:
