@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -38,12 +40,15 @@ def brute(rows):
 def recall(got, want):
     got = {r.vec_id: r.n_links for r in got}
     assert all(got[i] <= n for i, n, _ in want)
-    return sum(got.values()) / max(1, sum(n for _, n, _ in want))
+    links = sum(n for _, n, _ in want)
+    return sum(got.values()) / links if links else 1.0
 
 
-@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1", "check_s"])
 def test_recall_against_all_pairs(spark, folder):
     sf = f"/root/testdata/{folder}"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
     rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = queries.registry()["op7_embeddings"](spark, sf).collect()
     want = brute(rows)
