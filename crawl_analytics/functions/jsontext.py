@@ -42,5 +42,17 @@ def json_map(pairs: Column) -> Column:
 
 
 def float_text(number: Column) -> Column:
-    """A double as plain decimal text with at least one decimal."""
-    return F.regexp_replace(number.cast("decimal(28,6)").cast("string"), r"(\.\d+?)0*$", "$1")
+    """A double as plain decimal text: all of its digits, at least one decimal."""
+    plain = number.cast("string").try_cast("decimal(38,18)").cast("string")
+    return F.coalesce(F.regexp_replace(plain, r"(\.\d+?)0*$", "$1"), number.cast("string"))
+
+
+def number_text(text: Column) -> Column:
+    """Text that is a plain number in the form ``float_text`` gives it; other text as it is."""
+    return F.when(text.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), float_text(text.try_cast("double"))).otherwise(text)
+
+
+def map_text(text: Column) -> Column:
+    """A JSON object of strings, given as text, in the raw files' spacing; other text as it is, NULL as ``{}``."""
+    pairs = F.from_json(text, "map<string,string>")
+    return F.coalesce(F.when(pairs.isNotNull(), json_map(pairs)), text, F.lit("{}"))

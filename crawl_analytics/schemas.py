@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.jsontext import float_text
+
 REQUESTS = (
     "experiment_id string, request_id string, worker_id string, crawl_session_id string, "
     "crawled_url string, current_page_url string, url string, frame_url string, "
@@ -48,13 +50,23 @@ def columns(ddl: str) -> list[tuple[str, str]]:
     return [tuple(part.strip().split(" ", 1)) for part in ddl.split(",")]
 
 
+def _as_kind(name: str, found: str | None, kind: str) -> Column:
+    if found is None:
+        return F.lit(None).cast(kind).alias(name)
+    if found == kind:
+        return F.col(name)
+    if kind == "string" and found in ("double", "float"):
+        return float_text(F.col(name)).alias(name)
+    return F.col(name).try_cast(kind).alias(name)
+
+
 def conform(rows: DataFrame, ddl: str) -> DataFrame:
-    """Cast columns by name, add missing ones as typed NULL and keep extra ones at the end."""
+    """Cast columns by name, add missing ones as typed NULL and keep extra ones at the end.
+
+    Numbers become plain decimal text where text is wanted; text that is no number becomes NULL where a number is.
+    """
     wanted = columns(ddl)
-    known = set(rows.columns)
-    out = [
-        (F.col(name).cast(kind) if name in known else F.lit(None).cast(kind)).alias(name)
-        for name, kind in wanted
-    ]
+    found = dict(rows.dtypes)
+    out = [_as_kind(name, found.get(name), kind) for name, kind in wanted]
     names = {name for name, _ in wanted}
     return rows.select(*out, *[c for c in rows.columns if c not in names])

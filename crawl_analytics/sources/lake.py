@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_EXPERIMENT, SYSTEM_EXPERIMENT
 from ..functions import times
+from ..operators.joins import first_rows
 from ..operators.tasks import params_struct, valid_browser
-from ..schemas import BY_DATA_TYPE, METADATA, columns
+from ..schemas import BY_DATA_TYPE, METADATA, columns, conform
+from .footers import groups_by_schema
 
 FILE_RECORDS = 1_000_000
+UNREADABLE = "unreadable"
+UNREADABLE_COLUMNS = "worker_id string, kind string, event string"
 ENRICHED = {
     "labeled_requests": "requests",
     "responses": "responses",
@@ -53,15 +57,49 @@ def read_or_empty(spark: SparkSession, paths: list[str], ddl: str, base: str | N
 def read_raw(spark: SparkSession, root: str, data_type: str, experiments: list[str] | None = None) -> DataFrame:
     """All raw rows of one kind; the experiment comes from the path.
 
-    The glob names the partitions, so other kinds are not even listed.
+    Collectors infer types file by file, so a time may be a number in one file and text in the next, and columns
+    may be missing, all NULL or unknown. Files are grouped by their own columns and types; each group is
+    read as it is and brought to the declared columns. Extra columns are kept at the end; where files
+    differ in their type, as text. The glob names the partitions, so other kinds are not even listed.
     """
     ddl = BY_DATA_TYPE[data_type]
-    inner = ", ".join(f"{n} {t}" for n, t in columns(ddl) if n != "experiment_id")
+    names = [n for n, _ in columns(ddl)]
     wanted = [f"{root}/experiment={e}/data_type={data_type}" for e in experiments or ["*"]]
-    rows = read_or_empty(spark, wanted, f"{inner}, experiment string, data_type string", root)
+    groups = groups_by_schema(spark, wanted, frames_of, skip={"experiment_id"})
+    parts = []
+    for own, paths in groups:
+        reader = spark.read.schema(", ".join([*[f"`{n}` {t}" for n, t in own.items()], "experiment string, data_type string"]))
+        found = frames_of(lambda path, r=reader: r.option("basePath", root).parquet(path), wanted) if len(groups) == 1 else [reader.option("basePath", root).parquet(*paths)]
+        parts += [conform(rows.drop("data_type").withColumnRenamed("experiment", "experiment_id"), ddl) for rows in found]
+    if not parts:
+        return empty(spark, ddl)
+    kinds: dict[str, set[str]] = {}
+    for rows in parts:
+        for name, kind in rows.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    mixed = {n for n, found in kinds.items() if n not in names and len(found) > 1}
+    parts = [rows.select(*[F.col(c).cast("string").alias(c) if c in mixed else F.col(c) for c in rows.columns]) for rows in parts]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     if data_type != "worker_metadata":
-        rows = rows.filter(F.col("experiment") != SYSTEM_EXPERIMENT)
-    return rows.withColumnRenamed("experiment", "experiment_id").select(*[n for n, _ in columns(ddl)])
+        rows = rows.filter(F.col("experiment_id") != SYSTEM_EXPERIMENT)
+    return rows.select(*names, *sorted(set(rows.columns) - set(names)))
+
+
+def read_unreadable(spark: SparkSession, root: str) -> DataFrame:
+    """Events the sink could not read: experiment_id, worker_id, kind, event."""
+    rows = read_or_empty(spark, [f"{root}/experiment=*/data_type={UNREADABLE}"], f"{UNREADABLE_COLUMNS}, experiment string, data_type string", root)
+    return rows.select(F.col("experiment").alias("experiment_id"), "worker_id", "kind", "event")
+
+
+def experiments_with_rows(spark: SparkSession, root: str, data_types: list[str], experiments: list[str] | None = None) -> DataFrame:
+    """Ids (id) of the experiments that have files of these kinds, from the listing; no file is opened."""
+    wanted = [f"{root}/experiment={e}/data_type={kind}" for kind in data_types for e in experiments or ["*"]]
+    found = frames_of(lambda path: spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path), wanted)
+    if not found:
+        return empty(spark, "id string")
+    paths = reduce(DataFrame.unionByName, [rows.select("path") for rows in found])
+    ids = paths.select(F.regexp_extract("path", "/experiment=([^/]+)/", 1).alias("id"))
+    return ids.filter(F.col("id") != SYSTEM_EXPERIMENT).distinct()
 
 
 def read_workers(spark: SparkSession, root: str, experiments: DataFrame | None = None) -> DataFrame:
@@ -80,8 +118,7 @@ def read_workers(spark: SparkSession, root: str, experiments: DataFrame | None =
 def write_events(rows: DataFrame, root: str, data_type: str | Column, records_per_file: int = FILE_RECORDS) -> None:
     """Append events below ``experiment=/data_type=``; events without experiment go to ``default``.
 
-    Files end at ``records_per_file`` records. Collectors flush at
-    ``constants.RECORDS_PER_FILE``; the default here suits a large lake.
+    Files end at ``records_per_file`` records; collectors flush far fewer, the default here suits a large lake.
     """
     kind = F.lit(data_type) if isinstance(data_type, str) else data_type
     experiment = F.coalesce("experiment_id", F.lit(DEFAULT_EXPERIMENT))
@@ -116,7 +153,10 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     checked = whole.select(
         F.col("id").alias("exp_id"), when.alias("timestamp"), "total_urls", params_struct(F.col("params")).alias("params")
     )
-    return checked.filter(valid_browser(F.col("params.browser_type")))
+    known = checked.filter(valid_browser(F.col("params.browser_type")))
+    # an experiment that is described twice goes by its latest document
+    newest = first_rows(known.withColumn("age", -F.unix_micros("timestamp")), ["exp_id"], ["age"])
+    return newest.select(*known.columns)
 
 
 def write_metadata(documents: DataFrame, root: str) -> None:
@@ -124,13 +164,15 @@ def write_metadata(documents: DataFrame, root: str) -> None:
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
     text = F.to_json(F.struct("id", stamp, "total_urls", "params"))
     out = documents.select(text.alias("value"), F.col("id").alias("experiment"), F.lit("metadata").alias("document"))
-    # one record per file: a document is read as a whole file
-    out.write.mode("append").option("maxRecordsPerFile", 1).partitionBy("experiment", "document").text(root)
+    # one record per file: a document is read as a whole file; writing an experiment again replaces its document
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1)
+    writer.partitionBy("experiment", "document").text(root)
 
 
-def copy_metadata(spark: SparkSession, root: str, out: str) -> None:
+def copy_metadata(spark: SparkSession, root: str, out: str, experiments: list[str] | None = None) -> None:
     """Carry the readable experiment documents into the result tree."""
-    write_metadata(read_metadata(spark, root).withColumnRenamed("exp_id", "id"), out)
+    documents = read_metadata(spark, root).withColumnRenamed("exp_id", "id")
+    write_metadata(documents if experiments is None else documents.filter(F.col("id").isin(experiments)), out)
 
 
 def metadata_keys(spark: SparkSession, root: str) -> DataFrame:
@@ -149,15 +191,17 @@ def list_experiments(keys: DataFrame) -> DataFrame:
     return keys.select(name.alias("id")).filter("id <> ''").distinct().orderBy(F.desc("id"))
 
 
-def write_table(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
+def write_table(rows: DataFrame, path: str, by: list[str] | None = None, keep_others: bool = False) -> None:
     """Overwrite a table. A table without rows ends up unpartitioned, so that its schema is kept.
 
-    Whether there were rows is seen on the files, not by computing the rows twice.
+    ``keep_others`` replaces the partitions that have rows and leaves the others. Whether there were rows is seen
+    on the files, not by computing the rows twice.
     """
     if not by:
         rows.write.mode("overwrite").parquet(path)
         return
-    rows.write.mode("overwrite").partitionBy(*by).parquet(path)
+    mode = "dynamic" if keep_others else "static"
+    rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*by).parquet(path)
     spark = rows.sparkSession
     try:
         spark.read.parquet(path)
@@ -167,13 +211,13 @@ def write_table(rows: DataFrame, path: str, by: list[str] | None = None) -> None
         spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(path)
 
 
-def write_enriched(tables: dict[str, DataFrame], out: str) -> None:
+def write_enriched(tables: dict[str, DataFrame], out: str, keep_others: bool = False) -> None:
     """The five enriched tables, partitioned by experiment; tables without rows are written too."""
     missing = set(ENRICHED) - set(tables)
     if missing:
         raise ValueError(f"missing tables: {sorted(missing)}")
     for name in ENRICHED:
-        write_table(tables[name], f"{out}/{name}", ["experiment_id"])
+        write_table(tables[name], f"{out}/{name}", ["experiment_id"], keep_others)
 
 
 def materialize(rows: DataFrame, path: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_FILTER_LISTS, EU_COUNTRY_CODES
 from ..schemas import COUNTRIES, TRANCO
-from .lake import empty, frames_of
+from .lake import empty
 
 
 def read_tranco(spark: SparkSession, path: str) -> DataFrame:
@@ -47,12 +49,20 @@ def chosen_lists(choice: str | None = None) -> list[str]:
 
 
 def read_filter_lists(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(list_ord, list_name, line) of all lists that can be read; trimmed, without blank lines."""
+    """(list_ord, list_name, line) of all lists that can be read; trimmed, without blank lines.
+
+    A list is opened while the plan is built; one that cannot be, for whatever cause, is skipped with a warning.
+    """
     out = empty(spark, "list_ord int, list_name string, line string")
     # of two lists with one name the later takes the place of the earlier
     named = {list_name(path): path for path in paths}
     for i, (name, path) in enumerate(named.items()):
-        for text in frames_of(spark.read.text, [path]):
+        try:
+            text = spark.read.text(path)
+            text.head()  # some stores only fail when a file is opened
+        except Exception as error:  # noqa: BLE001
+            warnings.warn(f"filter list {path} skipped: {str(error).splitlines()[0]}", stacklevel=2)
+        else:
             lines = text.select(F.lit(i).alias("list_ord"), F.lit(name).alias("list_name"), F.trim("value").alias("line"))
             out = out.unionByName(lines.filter("line <> ''"))
     return out

@@ -9,13 +9,13 @@ from ..constants import DEFAULT_EXPERIMENT, DESCRIPTION_CHARS
 from ..functions import jsontext
 
 REQUEST_EVENT = (
-    "experiment_id string, request_id string, crawl_session_id string, timestamp double, crawled_url string, "
+    "experiment_id string, request_id string, crawl_session_id string, timestamp string, crawled_url string, "
     "current_page_url string, url string, frame_url string, resource_type string, method string, "
-    "headers map<string,string>, crawl_depth bigint"
+    "headers string, crawl_depth bigint"
 )
 RESPONSE_EVENT = (
     "experiment_id string, request_id string, crawl_session_id string, crawled_url string, url string, "
-    "status bigint, headers map<string,string>, set_cookie array<string>, "
+    "status bigint, headers string, set_cookie array<string>, "
     "timing struct<startTime: double, responseStart: double>, crawl_depth bigint"
 )
 CONSENT_EVENT = (
@@ -30,16 +30,32 @@ KINDS = {
 }
 
 
+def _readable(kind: str) -> Column:
+    """Whether the event is JSON of the kind with a session id."""
+    return F.from_json("event", KINDS[kind])["crawl_session_id"].isNotNull()
+
+
 def _read(events: DataFrame, kind: str) -> DataFrame:
-    """Events (experiment, data_type, event JSON) of one kind, parsed to ``e``; unreadable ones drop out."""
+    """Events (experiment, data_type, event JSON) of one kind, parsed to ``e``; for the others see ``to_unreadable``."""
     chosen = events.filter(F.col("data_type") == kind).withColumn("e", F.from_json("event", KINDS[kind]))
     session = F.coalesce("e.experiment_id", "experiment")
     return chosen.filter(F.col("e.crawl_session_id").isNotNull()).withColumn("experiment_id", session)
 
 
+def to_unreadable(events: DataFrame) -> DataFrame:
+    """Events that no projection takes: unknown kinds, broken JSON, no session id; with their text."""
+    taken = F.lit(False)
+    for kind in KINDS:
+        taken = taken | (F.col("data_type").eqNullSafe(kind) & _readable(kind))
+    worker = F.col("worker_id") if "worker_id" in events.columns else F.lit("")
+    return events.filter(~taken).select(F.col("experiment").alias("experiment_id"), worker.alias("worker_id"), F.col("data_type").alias("kind"), "event")
+
+
 def to_requests(events: DataFrame) -> DataFrame:
     """Request rows; the frame URL is '' when there is no frame, headers become JSON text.
 
+    Time and headers may be a number and an object, as browsers send them, or text, as collectors do.
+
     The worker id is taken from the envelope when it has one.
     """
     e = _read(events, "requests")
@@ -55,8 +71,8 @@ def to_requests(events: DataFrame) -> DataFrame:
         F.coalesce("e.frame_url", F.lit("")).alias("frame_url"),
         "e.resource_type",
         "e.method",
-        jsontext.json_map(F.col("e.headers")).alias("headers"),
-        jsontext.float_text(F.col("e.timestamp")).alias("timestamp"),
+        jsontext.map_text(F.col("e.headers")).alias("headers"),
+        jsontext.number_text(F.col("e.timestamp")).alias("timestamp"),
         "e.crawl_depth",
     )
 
@@ -78,7 +94,7 @@ def to_responses(events: DataFrame) -> DataFrame:
         "e.crawled_url",
         "e.url",
         "e.status",
-        jsontext.json_map(F.col("e.headers")).alias("headers"),
+        jsontext.map_text(F.col("e.headers")).alias("headers"),
         _response_time(F.col("e.timing")).alias("timestamp"),
         jsontext.json_list(F.col("e.set_cookie")).alias("cookies"),
         "e.crawl_depth",

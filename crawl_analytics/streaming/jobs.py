@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import times
-from ..sources.lake import FILE_RECORDS, write_events
-from .events import PROJECTIONS
+from ..sources.lake import FILE_RECORDS, UNREADABLE, write_events
+from .events import PROJECTIONS, to_unreadable
 
 
 def start_event_sink(
@@ -22,7 +22,8 @@ def start_event_sink(
 
     A micro-batch takes the place of the flush; its offsets are committed after the
     rows are written, and a failed batch is written again (at least once). Repeats
-    are removed by the enrichment. ``trigger`` is e.g. ``{"availableNow": True}`` or
+    are removed by the enrichment. Events that cannot be read or have an unknown kind are kept with
+    their text under ``data_type=unreadable``. ``trigger`` is e.g. ``{"availableNow": True}`` or
     ``{"processingTime": "30 seconds"}``.
     """
 
@@ -31,6 +32,7 @@ def start_event_sink(
         for kind, project in PROJECTIONS.items():
             rows = project(batch)
             write_events(rows, root, kind, records_per_file)
+        write_events(to_unreadable(batch), root, UNREADABLE, records_per_file)
         batch.unpersist()
 
     writer = events.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)

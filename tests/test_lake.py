@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crawl_analytics.operators import status, tasks, workers
 from crawl_analytics.plans.enrichment import enrich
-from crawl_analytics.schemas import PARAMS, REQUESTS, RESPONSES, SITE_METADATA, conform
+from crawl_analytics.schemas import BY_DATA_TYPE, PARAMS, REQUESTS, RESPONSES, SITE_METADATA, columns, conform
 from crawl_analytics.sources import lake, lists
 
 
@@ -37,7 +37,7 @@ def test_no_metadata_at_all(spark, tmp_path):
 
 
 def test_experiment_listing(spark, tmp_path):
-    keys = ["experiment=exp1/metadata.json", "experiment=exp2/metadata.json", "some_other_file.txt", "experiment=exp3/x.parquet"]
+    keys = ["experiment=exp1/metadata.json", "experiment=exp2/metadata.json", "notes/plan.md", "experiment=exp3/x.parquet"]
     frame = spark.createDataFrame([(k,) for k in keys], "key string")
     assert [r.id for r in lake.list_experiments(frame).collect()] == ["exp2", "exp1"]
     document(tmp_path, "one")
@@ -177,3 +177,42 @@ def test_workers(spark):
     frame = workers.classify_workers(spark.createDataFrame(rows, "worker_id string, report string, timestamp double"))
     assert {(r.worker_id, r.is_residential) for r in frame.collect()} == {("a", True), ("b", False)}
     assert [r.worker_id for r in workers.only_residential(frame).collect()] == ["a"]
+
+
+def test_files_with_types_of_their_own(spark, tmp_path):
+    """A collector infers types per file: numbers for text, columns that are all NULL, missing or unknown."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    base = {"crawl_session_id": "s", "crawled_url": "u", "url": "v", "crawl_depth": 0}
+    files = {
+        "a": [{**base, "timestamp": 1704067207}],
+        "b": [{**base, "timestamp": 1704067207.1234567, "content_type": "x"}],
+        "c": [{**base, "timestamp": "text", "url": None}],
+        "d": [{"crawl_session_id": "s", "timestamp": None, "content_type": 5}],
+        "e": [{**base, "timestamp": "again", "headers": {"a": "b"}}],
+    }
+    folder = tmp_path / "experiment=e" / "data_type=cookie_warning_consents"
+    folder.mkdir(parents=True)
+    for name, rows in files.items():
+        pq.write_table(pa.Table.from_pylist(rows), folder / f"{name}.parquet")
+    back = lake.read_raw(spark, str(tmp_path), "cookie_warning_consents")
+    assert back.columns == [n for n, _ in columns(BY_DATA_TYPE["cookie_warning_consents"])] + ["content_type", "headers"]
+    rows = back.collect()
+    assert {(r.timestamp, r.url, r.crawl_depth, r.content_type) for r in rows} == {
+        ("1704067207", "v", 0, None),
+        ("1704067207.1234567", "v", 0, "x"),
+        ("text", None, 0, None),
+        (None, None, None, "5"),
+        ("again", "v", 0, None),
+    }
+
+
+def test_writing_a_document_again_replaces_it(spark, tmp_path):
+    schema = f"id string, timestamp timestamp, total_urls bigint, params {PARAMS}"
+    params = (True, False, 0, 30, [], "firefox", True)
+    for urls in (1, 2):
+        lake.write_metadata(spark.createDataFrame([("one", datetime(2024, 1, 1), urls, params)], schema), str(tmp_path))
+    assert [r.total_urls for r in lake.read_metadata(spark, str(tmp_path)).collect()] == [2]
+    document(tmp_path, "one")  # an older description beside it
+    assert lake.read_metadata(spark, str(tmp_path)).count() == 1

@@ -100,3 +100,17 @@ def test_progress_counts_sessions_once(spark, tmp_path):
 
     counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     assert got == {"a": 4, "b": 1}
+
+
+def test_events_that_cannot_be_read_are_kept(spark):
+    rows = [response(), ("e", "w", "responses", "{ bad"), ("e", "w", "news", "{}"), (None, "w", "requests", '{"url": "u"}'), ("e", "w", None, None)]
+    out = events.to_unreadable(spark.createDataFrame(rows, ENVELOPE)).collect()
+    assert {(r.experiment_id, r.kind, r.event) for r in out} == {("e", "responses", "{ bad"), ("e", "news", "{}"), (None, "requests", '{"url": "u"}'), ("e", None, None)}
+
+
+def test_time_and_headers_as_text(spark):
+    texts = {"1704067207.1234567": "1704067207.1234567", 1704067207.1234567: "1704067207.1234567", "later": "later", 5: "5.0"}
+    for given, kept in texts.items():
+        event = {"crawl_session_id": "s", "timestamp": given, "headers": json.dumps({"a": "b"})}
+        row = events.to_requests(spark.createDataFrame([("e", "w", "requests", json.dumps(event))], ENVELOPE)).first()
+        assert (row.timestamp, row.headers) == (kept, json.dumps({"a": "b"}))
