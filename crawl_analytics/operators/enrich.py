@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import first_rows, hot_buckets, latest_rows, salted_join
+from .joins import first_rows, hot_buckets, is_small, latest_rows, salted_join
 
 SESSION = ["experiment_id", "crawled_url", "crawl_session_id"]
 SEED = ["experiment_id", "crawled_url"]
@@ -30,15 +30,18 @@ def _kept_keys(kept: DataFrame) -> DataFrame:
 
 
 def _one_per_url(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    # Reduced to one row per session and URL before the join: a seed keeps one
-    # session, so what the join leaves is one row per seed and URL already.
+    # Sessions that are not kept go first, by their keys alone; a seed keeps one
+    # session, so one row per session and URL is one row per seed and URL.
     order = [c for c in ("timestamp", "request_id") if c in rows.columns]
-    single = first_rows(rows, [*SESSION, "url"], order)
-    # A session has no more requests than the kept one of its seed, so the seeds
-    # that are hot can be read off the kept sessions, a far smaller table.
-    hot = hot_buckets(kept, [SEED], weight="req_count")[0]
-    out = salted_join(single, _kept_keys(kept), SESSION, "inner", spread=["url"], hot=hot, hot_on=SEED)
-    return out.select(*rows.columns)
+    keys = _kept_keys(kept)
+    if is_small(keys):
+        mine = rows.join(F.broadcast(keys), SESSION, "left_semi")
+    else:
+        # A session has no more requests than the kept one of its seed, so the seeds
+        # that are hot can be read off the kept sessions, a far smaller table.
+        hot = hot_buckets(kept, [SEED], weight="req_count")[0]
+        mine = salted_join(rows, keys, SESSION, "left_semi", spread=["url"], hot=hot, hot_on=SEED)
+    return first_rows(mine, [*SESSION, "url"], order).select(*rows.columns)
 
 
 def dedup_requests(requests: DataFrame, kept: DataFrame | None = None) -> DataFrame:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 65536
-HOT_SHARE = 64  # a bucket is hot above 1/64 of the rows, so there are at most 63 of them
-HOT_ROWS = 200_000  # and only when it also holds this many rows
-SALTS = 32
-LOOKUP_ROWS = 200_000
+TASKS: int | None = None  # tasks that share a join; the session's shuffle partitions unless set
+HOT_ROWS = 200_000  # a bucket with fewer rows than this is never split
+LOOKUP_ROWS = 2_000_000
 LOOKUP_CHARS = 32_000_000
 
 
 def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the smallest by ``order``, ties settled by the remaining columns.
+    """One row per key: the smallest by ``order`` with NULL last, ties settled by the remaining columns.
 
     A minimum of a struct is combined on the map side, so a key with many rows
     sends one row per map task and never meets in one task whole.
@@ -22,7 +23,8 @@ def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys and c not in order]
     if not order and not rest:
         return rows.distinct()
-    best = rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("__row"))
+    placed = [part for i, c in enumerate(order) for part in (F.col(c).isNull().alias(f"__no_{i}"), F.col(c))]
+    best = rows.groupBy(*keys).agg(F.min(F.struct(*placed, *rest)).alias("__row"))
     return best.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in rows.columns])
 
 
@@ -39,24 +41,26 @@ def _bucket(keys: list[str]) -> Column:
 
 def hot_buckets(
     rows: DataFrame, keys: list[list[str]], min_rows: int | None = None, weight: str | None = None
-) -> list[list[int]]:
-    """For each key, the hash buckets with more than 1/64 of the rows: fewer than 64 numbers, always.
-
-    Counting buckets instead of keys keeps the map-side state and the shuffle
-    bounded, however many keys there are. A hot key makes its bucket hot. One job
-    serves several keys and reads the key columns only; its result is a constant
-    of the plan, so all tasks agree on it and the plan does not grow. ``weight``
-    names a column with the number of rows a row stands for.
+) -> list[dict[int, int]]:
+    """For each key, {hash bucket: parts} of the buckets with more rows than one task's share of all rows.
+
+    A share is the number of rows by the number of shuffle partitions, ``min_rows`` at least; a bucket gets as many parts
+    as it has shares, so parts stay alike however large the table and the key are. There are fewer such
+    buckets than partitions. Counting buckets instead of keys keeps the map-side state and the
+    shuffle bounded. A hot key makes its bucket hot. One job serves several keys and reads the key
+    columns only; its result is a constant of the plan, so all tasks agree on it. ``weight`` names a
+    column with the number of rows a row stands for.
     """
     min_rows = HOT_ROWS if min_rows is None else min_rows
+    tasks = TASKS or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = F.sum("w") if weight else F.count(F.lit(1))
     places = F.array(*[F.struct(F.lit(i).alias("k"), _bucket(key).alias("b")) for i, key in enumerate(keys)])
     placed = rows.select(F.explode(places).alias("p"), *([F.col(weight).alias("w")] if weight else []))
     counts = placed.groupBy("p.k", "p.b").agg(n.alias("n"))
     large = F.collect_list(F.when(F.col("n") >= min_rows, F.struct("k", "b", "n")))
     found = counts.agg(F.sum("n").alias("all"), large.alias("large")).first()
-    total = (found["all"] or 0) // len(keys)
-    return [sorted(r["b"] for r in found["large"] if r["k"] == i and r["n"] * HOT_SHARE > total) for i in range(len(keys))]
+    share = max(min_rows, (found["all"] or 0) / len(keys) / tasks)
+    return [{r["b"]: math.ceil(r["n"] / share) for r in found["large"] if r["k"] == i and r["n"] > share} for i in range(len(keys))]
 
 
 def salted_join(
@@ -65,7 +69,7 @@ def salted_join(
     on: list[str],
     how: str = "left",
     spread: list[str] | None = None,
-    hot: list[int] | None = None,
+    hot: dict[int, int] | None = None,
     hot_on: list[str] | None = None,
     min_rows: int | None = None,
 ) -> DataFrame:
@@ -73,7 +77,7 @@ def salted_join(
 
     Without hot buckets this is a plain join. Else fact rows of hot buckets get a
     salt from a hash of ``spread`` (all columns by default), and the other side's
-    rows of these buckets are repeated once per salt. Salts come from the row's
+    rows of these buckets are repeated once per part. Salts come from the row's
     content, so a recomputed task sends every row to the same place again. ``hot``
     holds buckets found before, on a table with the same key frequencies and types;
     ``hot_on`` says which part of the key they are buckets of.
@@ -85,11 +89,11 @@ def salted_join(
         hot = hot_buckets(facts, [on], min_rows)[0]
     if not hot:
         return facts.join(dim, on, how)
-    is_hot = _bucket(hot_on or on).isin(hot)
-    salt = F.pmod(F.xxhash64(F.lit(7), *(spread or facts.columns)), F.lit(SALTS)).cast("int")
-    left = facts.withColumn("__salt", F.when(is_hot, salt).otherwise(F.lit(0)))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = dim.withColumn("__salt", F.explode(salts))
+    table = F.expr(f"map({', '.join(f'{b}, {n}' for b, n in sorted(hot.items()))})")
+    parts = F.coalesce(F.try_element_at(table, _bucket(hot_on or on)), F.lit(1))
+    salt = F.pmod(F.xxhash64(F.lit(7), *(spread or facts.columns)), parts).cast("int")
+    left = facts.withColumn("__salt", salt)
+    right = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
@@ -99,7 +103,7 @@ def is_small(lookup: DataFrame, max_rows: int | None = None, max_chars: int | No
     max_chars = LOOKUP_CHARS if max_chars is None else max_chars
     texts = [f.name for f in lookup.schema.fields if f.dataType.typeName() in ("string", "array")]
     chars = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in texts), F.lit(0))
-    seen = lookup.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(chars).alias("chars")).first()
+    seen = lookup.agg(F.count(F.lit(1)).alias("n"), F.sum(chars).alias("chars")).first()
     return seen["n"] <= max_rows and (seen["chars"] or 0) <= max_chars
 
 

@@ -10,6 +10,7 @@ from .joins import LOOKUP_CHARS, LOOKUP_ROWS, salted_join
 from .rules import request_type
 
 TRIPLE = ["url", "frame_url", "resource_type"]
+MOST_GRAMS = 200  # three-character keys that are looked for one by one; beyond that a URL's own are listed
 
 
 def _prefixed(prefix: str, values: Column) -> Column:
@@ -21,8 +22,8 @@ def _source() -> Column:
     return urls.host(F.when(F.coalesce("frame_url", F.lit("")) == "", F.col("url")).otherwise(F.col("frame_url")))
 
 
-def _url_keys(kinds: set[str]) -> Column:
-    """All index keys a URL has, limited to the kinds that occur in the rules."""
+def _url_keys(kinds: set[str], grams: list[str] | None) -> Column:
+    """All index keys a URL has, limited to the kinds that occur in the rules; of the three-character keys to ``grams``."""
     found = []
     if "host" in kinds:
         found.append(urls.host_suffixes(urls.host(F.col("url"))))
@@ -31,12 +32,14 @@ def _url_keys(kinds: set[str]) -> Column:
     if "source" in kinds:
         found.append(_prefixed("s:", urls.host_suffixes(_source())))
     if "chars" in kinds:
-        # every run of three characters: whole runs from each of three offsets
-        found += [
-            _prefixed("g:", F.regexp_extract_all(F.expr(f"substring(low, {i})"), F.lit("(?s).{3}"), F.lit(0))) for i in (1, 2, 3)
-        ]
-    if "any" in kinds:
-        found.append(F.array(F.lit("*")))
+        if grams is None:
+            # every run of three characters: whole runs from each of three offsets
+            found += [
+                _prefixed("g:", F.regexp_extract_all(F.expr(f"substring(low, {i})"), F.lit("(?s).{3}"), F.lit(0))) for i in (1, 2, 3)
+            ]
+        else:
+            known = F.array(*[F.lit(g) for g in grams])
+            found.append(F.filter(known, lambda g: F.contains(F.col("low"), F.substr(g, F.lit(3)))))
     return F.array_distinct(F.concat(*found)) if found else F.array().cast("array<string>")
 
 
@@ -70,19 +73,34 @@ def blocking_lists(requests: DataFrame, rules: DataFrame) -> DataFrame:
     A list blocks when one of its rules matches and none of its exceptions does;
     an important rule beats exceptions.
     """
+    own_chars = F.length("raw") + F.length(F.coalesce("regex", F.lit(""))) + F.length(F.array_join(F.coalesce("domains_in", F.array().cast("array<string>")), ","))
     sizes = rules.groupBy("key_kind").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("raw") + F.length(F.coalesce("regex", F.lit("")))).alias("chars")
+        F.sum(F.size("keys")).alias("n"),
+        F.sum(own_chars).alias("chars"),
+        F.slice(F.collect_set(F.when(F.col("key_kind") == "chars", F.col("keys")[0])), 1, MOST_GRAMS + 1).alias("grams"),
     )
-    measured = sizes.collect()  # one row per kind of key, five at most
-    kinds = {r["key_kind"] for r in measured}
-    small = sum(r["n"] for r in measured) <= LOOKUP_ROWS and sum(r["chars"] for r in measured) <= LOOKUP_CHARS
+    measured = {r["key_kind"]: r for r in sizes.collect()}  # one row per kind of key, five at most
+    small = sum(r["n"] for r in measured.values()) <= LOOKUP_ROWS and sum(r["chars"] for r in measured.values()) <= LOOKUP_CHARS
+    grams = sorted(measured["chars"]["grams"]) if "chars" in measured else []
     known = requests.filter(F.col("url").isNotNull() & (F.col("url") != "")).select(*TRIPLE).distinct()
+    known = known.withColumn("low", F.lower("url"))
     # explode_outer: an inner explode would evaluate the keys twice, once for a test of its own
-    keyed = known.withColumn("low", F.lower("url")).withColumn("key", F.explode_outer(_url_keys(kinds)))
+    keyed = known.withColumn("key", F.explode_outer(_url_keys(set(measured), grams if len(grams) <= MOST_GRAMS else None)))
+    # keys and rules are two tables, so that a rule with many keys stands once
+    index = rules.filter("key_kind <> 'any'").select("rule_id", F.explode("keys").alias("key"))
+    bodies = rules.drop("keys", "key_kind")
     if small:
-        pairs = keyed.join(F.broadcast(rules), "key")
+        pairs = keyed.join(F.broadcast(index), "key").join(F.broadcast(bodies), "rule_id")
     else:
-        pairs = salted_join(keyed, rules, ["key"], "inner", spread=TRIPLE)
+        pairs = salted_join(keyed, index, ["key"], "inner", spread=TRIPLE)
+        pairs = salted_join(pairs, bodies, ["rule_id"], "inner", spread=TRIPLE)
+    pairs = pairs.drop("key")
+    if "any" in measured:
+        # rules without any key meet every URL where it is
+        every = rules.filter("key_kind = 'any'").drop("keys", "key_kind").withColumn("one", F.lit(1))
+        few = measured["any"]["n"] <= LOOKUP_ROWS and measured["any"]["chars"] <= LOOKUP_CHARS
+        tested = known.withColumn("one", F.lit(1)).join(F.broadcast(every) if few else every, "one").drop("one")
+        pairs = pairs.unionByName(tested)
     hits = pairs.filter(_rule_matches())
     per_list = hits.groupBy(*TRIPLE, "list_ord", "list_name").agg(
         F.bool_or(~F.col("is_exception")).alias("hit"),

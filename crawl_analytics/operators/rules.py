@@ -1,4 +1,4 @@
-"""Filter-list rules as a table: one row per network rule and index key."""
+"""Filter-list rules as a table: one row per network rule, with its index keys."""
 
 from __future__ import annotations
 
@@ -89,7 +89,7 @@ def _option_columns(options: Column) -> dict[str, Column]:
     named = F.filter(options, lambda o: _one_of(types, o))
     negated = F.filter(options, lambda o: _one_of([f"~{t}" for t in types], o))
     domain_list = F.try_element_at(F.filter(options, lambda o: F.startswith(o, F.lit("domain="))), F.lit(1))
-    domains = F.split(F.lower(F.substring(domain_list, 8, 1 << 20)), r"\|")
+    domains = F.split(F.lower(F.substr(domain_list, F.lit(8))), r"\|")
     party = F.filter(options, lambda o: _one_of([*PARTY_OPTIONS, "~3p", "~first-party", "~1p"], o))
 
     def some(values: Column) -> Column:
@@ -102,7 +102,7 @@ def _option_columns(options: Column) -> dict[str, Column]:
         "third_party": _mapped({**PARTY_OPTIONS, "~3p": False, "~first-party": True, "~1p": True}, F.try_element_at(party, F.lit(1))),
         "domains_in": some(F.filter(domains, lambda d: (d != "") & ~F.startswith(d, F.lit("~")))),
         "domains_out": some(
-            F.transform(F.filter(domains, lambda d: F.startswith(d, F.lit("~"))), lambda d: F.substring(d, 2, 1 << 20))
+            F.transform(F.filter(domains, lambda d: F.startswith(d, F.lit("~"))), lambda d: F.substr(d, F.lit(2)))
         ),
         "is_important": F.array_contains(options, "important"),
         "match_case": F.array_contains(options, "match-case"),
@@ -126,8 +126,8 @@ def parse_rules(lines: DataFrame) -> DataFrame:
 
     Every rule gets index keys, at least one of which each matching URL has too: its
     full host, its rarest whole word among all rules, source domains (``s:``), three
-    characters (``g:``) or ``*`` for anything; ``key_kind`` says which. A rule for
-    several source domains has one row each. Patterns without wildcards are kept as
+    characters (``g:``) or ``*`` for anything; ``key_kind`` says which. A rule for several source
+    domains has a key for each in ``keys``; the rule itself stands once, under ``rule_id``. Patterns without wildcards are kept as
     plain text with their anchors, others as a regular expression.
     """
     raw = F.trim(F.col("line"))
@@ -207,12 +207,13 @@ def parse_rules(lines: DataFrame) -> DataFrame:
     keys = (
         F.when(F.col("key_kind") == "host", F.array("host"))
         .when(F.col("key_kind") == "word", F.array("word"))
-        .when(F.col("key_kind") == "source", F.transform("domains_in", lambda d: F.concat(F.lit("s:"), d)))
+        .when(F.col("key_kind") == "source", F.array_distinct(F.transform("domains_in", lambda d: F.concat(F.lit("s:"), d))))
         .when(F.col("key_kind") == "chars", F.array(F.concat(F.lit("g:"), F.substring("literal", 1, 3))))
         .otherwise(F.array(F.lit("*")))
     )
     ready = keyed.withColumn("key_kind", kind)
-    return ready.select(*columns, "key_kind", F.explode_outer(F.when(F.col("usable"), keys)).alias("key")).filter("key IS NOT NULL")
+    marked = ready.select(F.xxhash64("list_ord", "list_name", "raw").alias("rule_id"), *columns, "key_kind", F.when(F.col("usable"), keys).alias("keys"))
+    return marked.filter("keys IS NOT NULL")
 
 
 def _rarest_words(table: DataFrame) -> DataFrame:

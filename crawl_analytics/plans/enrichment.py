@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from ..operators.joins import is_small, salted_join
 from ..operators.labelling import label_requests
 from ..operators.rules import parse_rules
 from ..session import new_run_dir
-from ..sources.lake import copy_metadata, materialize, read_metadata, read_raw, read_workers, write_enriched
+from ..sources.lake import copy_metadata, experiments_with_rows, materialize, read_metadata, read_raw, read_workers, write_enriched
 from ..sources.lists import chosen_lists, read_filter_lists
 
 
@@ -48,14 +46,17 @@ def enriched_tables(
     }
 
 
-def enrich(spark: SparkSession, root: str, out: str, filter_lists: str | None = None) -> None:
+def enrich(spark: SparkSession, root: str, out: str, filter_lists: str | None = None, experiments: list[str] | None = None) -> None:
     """Process all experiments in one go: the experiment is a key, not a loop.
 
-    Experiments without a readable document or without raw rows are left out. Kept
-    sessions (for four tables) and single requests (for the labels, read three
-    times) are stored once, in the shared folder.
+    With ``experiments`` only these are read, and their partitions of the result are replaced; the others stay.
+    Running the job again gives the same tables and documents. Experiments without a readable document
+    or without raw files are left out. Kept sessions (for four tables), rules and single requests
+    (for the labels, read three times) are stored once, in the shared folder.
     """
     documents = read_metadata(spark, root)
+    if experiments is not None:
+        documents = documents.filter(F.col("exp_id").isin(experiments))
     ids = documents.select(F.col("exp_id").alias("experiment_id")).distinct()
     small = is_small(ids)
 
@@ -65,12 +66,11 @@ def enrich(spark: SparkSession, root: str, out: str, filter_lists: str | None =
         return salted_join(rows, ids, ["experiment_id"], "left_semi")
 
     kinds = ("requests", "responses", "cookie_warning_consents", "site_metadata")
-    raw = [known(read_raw(spark, root, kind)) for kind in kinds]
-    present = reduce(DataFrame.union, [rows.select("experiment_id") for rows in raw]).distinct()
-    workers = read_workers(spark, root, present.withColumnRenamed("experiment_id", "id"))
-    rules = parse_rules(read_filter_lists(spark, chosen_lists(filter_lists))).persist()
+    raw = [known(read_raw(spark, root, kind, experiments)) for kind in kinds]
+    present = experiments_with_rows(spark, root, list(kinds), experiments)
+    workers = read_workers(spark, root, present.join(ids.withColumnRenamed("experiment_id", "id"), "id", "left_semi"))
+    rules = materialize(parse_rules(read_filter_lists(spark, chosen_lists(filter_lists))), new_run_dir(spark, "rules"))
     kept = materialize(kept_sessions(raw[0]), new_run_dir(spark, "kept-sessions"))
     single = materialize(dedup_requests(raw[0], kept), new_run_dir(spark, "single-requests"))
-    write_enriched(enriched_tables(*raw, workers, rules, kept, single), out)
-    copy_metadata(spark, root, out)
-    rules.unpersist()
+    write_enriched(enriched_tables(*raw, workers, rules, kept, single), out, keep_others=experiments is not None)
+    copy_metadata(spark, root, out, experiments)

@@ -15,6 +15,8 @@ from ..constants import (
     OUTCOME_REDIRECT,
     OUTCOME_SERVER_ERROR,
     TARGET_SEEDS,
+    WITH_WARNING,
+    WITHOUT_WARNING,
 )
 from ..functions import times
 from ..operators.joins import latest_rows
@@ -96,8 +98,8 @@ def cookie_warnings_share(counts: DataFrame) -> DataFrame:
     """The two counts as rows with percentage and label."""
     total = F.col("with_cookie") + F.col("without_cookie")
     entries = F.array(
-        F.struct(F.lit("With Cookie Warning").alias("category"), F.col("with_cookie").alias("count")),
-        F.struct(F.lit("Without Cookie Warning").alias("category"), F.col("without_cookie").alias("count")),
+        F.struct(F.lit(WITH_WARNING).alias("category"), F.col("with_cookie").alias("count")),
+        F.struct(F.lit(WITHOUT_WARNING).alias("category"), F.col("without_cookie").alias("count")),
     )
     long = counts.select(total.alias("total"), F.explode(entries).alias("e")).select("e.category", "e.count", "total")
     pct = _percent("count", "total")
@@ -115,39 +117,39 @@ def _one_decimal(number: Column) -> Column:
 
 
 def outcome_flags(main: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """What happened to the seed URL, and the number of 200s, per seed (and the columns of ``by``)."""
+    """How the seed URL itself was answered, and the number of pages with 200, per seed (and the columns of ``by``)."""
     own = F.col("url") == F.col("crawled_url")
     status = F.col("status")
 
     def seen(condition: Column) -> Column:
-        return F.max(F.when(own & condition, 1).otherwise(0))
+        return F.coalesce(F.bool_or(own & condition), F.lit(False))
 
     return main.groupBy(*(by or []), "crawled_url").agg(
-        seen(status.between(200, 299)).alias("has_direct_2xx"),
-        seen(status.between(300, 399)).alias("has_redirect"),
-        seen(status == 403).alias("has_403"),
-        seen(status.between(400, 499) & (status != 403)).alias("has_4xx"),
-        seen(status.between(500, 599)).alias("has_5xx"),
-        F.count_if(status == 200).alias("total_200s"),
+        seen(status.between(200, 299)).alias("answered"),
+        seen(status.between(300, 399)).alias("moved"),
+        seen(status == 403).alias("refused"),
+        seen(status.between(400, 499) & (status != 403)).alias("client_error"),
+        seen(status.between(500, 599)).alias("server_error"),
+        F.count_if(status == 200).alias("ok_pages"),
     )
 
 
+# class and condition, in order of precedence: the first condition that holds decides
+OUTCOMES = (
+    (OUTCOME_LOADED, "answered"),
+    (OUTCOME_LOADED, "moved AND ok_pages > 0"),
+    (OUTCOME_REDIRECT, "moved"),
+    (OUTCOME_LOADED, f"refused AND ok_pages > {BLOCKED_MAX_OK}"),
+    (OUTCOME_BLOCKED, "refused"),
+    (OUTCOME_CLIENT_ERROR, "client_error"),
+    (OUTCOME_SERVER_ERROR, "server_error"),
+    (OUTCOME_OTHER, "true"),
+)
+
+
 def outcome_class(flags: DataFrame) -> DataFrame:
-    """Adds ``category``: the best outcome wins; a redirect or a 403 counts as loaded when content came."""
-    loaded = (
-        (F.col("has_direct_2xx") == 1)
-        | ((F.col("has_redirect") == 1) & (F.col("total_200s") > 0))
-        | ((F.col("has_redirect") == 0) & (F.col("has_403") == 1) & (F.col("total_200s") > BLOCKED_MAX_OK))
-    )
-    return flags.withColumn(
-        "category",
-        F.when(loaded, F.lit(OUTCOME_LOADED))
-        .when(F.col("has_redirect") == 1, F.lit(OUTCOME_REDIRECT))
-        .when(F.col("has_403") == 1, F.lit(OUTCOME_BLOCKED))
-        .when(F.col("has_4xx") == 1, F.lit(OUTCOME_CLIENT_ERROR))
-        .when(F.col("has_5xx") == 1, F.lit(OUTCOME_SERVER_ERROR))
-        .otherwise(F.lit(OUTCOME_OTHER)),
-    )
+    """Adds ``category`` by the table above."""
+    return flags.withColumn("category", F.coalesce(*[F.when(F.expr(when), F.lit(name)) for name, when in OUTCOMES]))
 
 
 def crawl_outcomes(main: DataFrame) -> DataFrame:

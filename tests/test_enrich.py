@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from crawl_analytics.operators import enrich
+from crawl_analytics.operators import joins
 from crawl_analytics.operators.joins import first_rows, hot_buckets, is_small, repeat_rows, salted_join
 from crawl_analytics.operators.ranking import running_number
 from crawl_analytics.schemas import CONSENTS, REQUESTS, RESPONSES, SITE_METADATA, WORKER_METADATA, conform
@@ -31,10 +32,10 @@ def test_equal_counts_keep_the_smaller_session(spark):
 
 
 def test_site_metadata_follows_the_kept_session(spark):
-    rows = [("e", "s1", "1", "A news website"), ("e", "s2", "2", "A sports website")]
+    rows = [("e", "s1", "1", "weather for today"), ("e", "s2", "2", "recipes")]
     sites = spark.createDataFrame(rows, "experiment_id string, crawl_session_id string, timestamp string, description string")
     out = enrich.dedup_site_metadata(sites, enrich.kept_sessions(site_rows(spark))).collect()
-    assert [(r.crawl_session_id, r.description) for r in out] == [("s1", "A news website")]
+    assert [(r.crawl_session_id, r.description) for r in out] == [("s1", "weather for today")]
 
 
 def test_repeats_keep_the_earliest_row(spark):
@@ -79,7 +80,7 @@ def test_salted_join_equals_plain_join_with_a_hot_key(spark):
         F.when(F.col("id") < 3, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), F.col("id").alias("d")
     )
     assert len(hot_buckets(facts, [["k"], ["v"]], 10)[0]) >= 1
-    assert hot_buckets(facts, [["k"], ["v"]], 10)[1] == []
+    assert hot_buckets(facts, [["k"], ["v"]], 10)[1] == {}
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = sorted(map(str, facts.join(dim, ["k"], how).collect()))
         salted = sorted(map(str, salted_join(facts, dim, ["k"], how, min_rows=10).collect()))
@@ -120,3 +121,19 @@ def test_running_number_equals_sorting_with_a_hot_value(spark):
         mine = sorted((r.n, r.t) for r in got if r.g == group)
         assert [n for n, _ in mine] == list(range(1, len(mine) + 1))
         assert [t for _, t in mine] == sorted(t for g, t, _ in rows if g == group)
+
+
+def test_parts_follow_from_size_not_from_share(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASKS", 1000)
+    rows = spark.range(200_000).select(F.when(F.col("id") % 100 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    (hot,) = hot_buckets(rows, [["k"]], min_rows=1)
+    assert list(hot.values()) in ([10], [11])  # one percent of the rows is ten tasks' share, and neighbours in the bucket
+
+
+def test_a_ranked_list_of_a_million_is_a_lookup(spark):
+    assert is_small(spark.range(1_000_000).selectExpr("concat('site', id, '.example') domain", "id rank"))
+
+
+def test_rows_without_a_time_come_last(spark):
+    rows = spark.createDataFrame([("a", None, 1), ("a", "5", 2), ("b", None, 3)], "k string, timestamp string, v int")
+    assert {(r.k, r.v) for r in first_rows(rows, ["k"], ["timestamp"]).collect()} == {("a", 2), ("b", 3)}

@@ -182,3 +182,12 @@ def test_plan_of_the_label_has_no_python(spark):
     frame = spark.createDataFrame([("http://t.com/", "", "script")], REQUEST).withColumn("url", F.lower("url"))
     plan = label_requests(frame, rules_of(spark, {"l": ["||t.com^"]}))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_a_rule_with_many_domains_stands_once(spark):
+    sizes = []
+    for n in (100, 500):
+        domains = "|".join(f"site{i}.example" for i in range(n))
+        rules = rules_of(spark, {"l": [f"*x$domain={domains}", "||t.com^"]})
+        sizes.append(sum(len(str(r)) for r in rules.collect()))
+    assert rules.count() == 2 and sizes[1] < 6 * sizes[0]
