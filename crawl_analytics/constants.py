@@ -172,6 +172,10 @@ OUTCOME_SERVER_ERROR = "Server Error (5xx)"
 OUTCOME_OTHER = "Other"
 OUTCOME_NO_RESPONSE = "No Response"
 
+# Consent categories.
+WITH_WARNING = "With Cookie Warning"
+WITHOUT_WARNING = "Without Cookie Warning"
+
 # Browsers, event kinds, crawl parameter defaults and queue names.
 BROWSERS = ["chromium", "firefox", "webkit"]
 DATA_TYPES = ["requests", "responses", "cookie_warning_consents", "site_metadata", "worker_metadata"]
@@ -188,6 +192,5 @@ SYSTEM_EXPERIMENT = "system"
 DEFAULT_EXPERIMENT = "default"
 SUBJECT_PREFIX = "crawl.urls"
 TARGET_SEEDS = 25000
-RECORDS_PER_FILE = 1000
 DESCRIPTION_CHARS = 500
 BLOCKED_MAX_OK = 5

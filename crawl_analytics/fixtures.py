@@ -93,7 +93,7 @@ queue_depths AS (
 object_keys AS (
   SELECT CASE WHEN o_orderkey % 3 = 0 THEN concat('experiment=exp', CAST(o_custkey AS STRING), '/metadata.json')
               WHEN o_orderkey % 3 = 1 THEN concat('experiment=exp', CAST(o_custkey AS STRING), '/data_type=requests/a.parquet')
-              ELSE 'some_other_file.txt' END AS key
+              ELSE 'notes/plan.md' END AS key
   FROM orders),
 ip_reports AS (
   SELECT concat('w', CAST(c_custkey AS STRING)) AS worker_id, CAST(c_custkey AS DOUBLE) AS timestamp,

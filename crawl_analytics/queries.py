@@ -14,6 +14,7 @@ from .operators import enrich, pages, status, tasks, workers
 from .operators.labelling import label_requests
 from .operators.rules import parse_rules
 from .plans import metrics, models, reports
+from .plans.enrichment import enrich as enrich_lake
 from .plans.enrichment import enriched_tables
 from .schemas import REQUESTS, conform
 from .session import new_run_dir
@@ -21,9 +22,9 @@ from .sources import lake, lists
 from .streaming import events, jobs
 
 TITLES = {
-    "chromiumnocookies_e0": "Experiment 1 (Chromium w/o cookies)",
-    "firefoxwithcookies_e1": "Experiment 2 (Firefox w/ cookies)",
-    "chromiumwithcookies_e2": "Experiment 3 (Chromium w/ cookies)",
+    "chromiumnocookies_e0": "Chromium, consent refused",
+    "firefoxwithcookies_e1": "Firefox, consent given",
+    "chromiumwithcookies_e2": "Chromium, consent given",
 }
 TREND_CUTOFF_HOURS = 300.0
 SEED_TOTAL = 200
@@ -121,7 +122,17 @@ def _regions(fx: Fixture) -> DataFrame:
 
 
 def _main(fx: Fixture) -> DataFrame:
-    return reports.main_documents(_responses(fx))
+    # the reports read the narrow rows up to three times
+    return _stored(fx, "main", reports.main_documents(_responses(fx)))
+
+
+def _report_requests(fx: Fixture) -> DataFrame:
+    columns = ["experiment_id", "crawl_session_id", "crawled_url", "crawl_depth", "resource_type"]
+    return _stored(fx, "report-requests", _requests(fx).select(*columns))
+
+
+def _sessions_with_site(fx: Fixture) -> DataFrame:
+    return _stored(fx, "sites", _sites(fx).select("experiment_id", "crawl_session_id"))
 
 
 def _progress(fx: Fixture) -> DataFrame:
@@ -181,7 +192,7 @@ def labeled_requests(fx: Fixture) -> DataFrame:
 
 @query
 def labeled_requests_by_site_rules(fx: Fixture) -> DataFrame:
-    """A list whose rules come from the pages: hosts, exact URLs, exceptions, parties."""
+    """A list whose rules come from the pages: hosts, exact URLs, exceptions, parties."""
     host = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
     kind = F.col("page_id") % 5
     line = (
@@ -193,7 +204,7 @@ def labeled_requests_by_site_rules(fx: Fixture) -> DataFrame:
     )
     rules = parse_rules(fx["seeds"].select(F.lit(0).alias("list_ord"), F.lit("sites").alias("list_name"), line.alias("line")))
     requests = _raw_requests(fx).select("experiment_id", "request_id", "url", "frame_url", "resource_type")
-    return label_requests(requests, rules)
+    return label_requests(requests, _stored(fx, "site-rules", rules))
 
 
 # -- models ----------------------------------------------------------------------------------------
@@ -336,13 +347,13 @@ def successful_sessions(fx: Fixture) -> DataFrame:
 @query
 def cookie_warnings(fx: Fixture) -> DataFrame:
     """R6."""
-    return reports.cookie_warnings(_requests(fx), _consents(fx), _sites(fx))
+    return reports.cookie_warnings(_report_requests(fx), _consents(fx), _sessions_with_site(fx))
 
 
 @query
 def cookie_warnings_share(fx: Fixture) -> DataFrame:
     """R7."""
-    return reports.cookie_warnings_share(reports.cookie_warnings(_requests(fx), _consents(fx), _sites(fx)))
+    return reports.cookie_warnings_share(reports.cookie_warnings(_report_requests(fx), _consents(fx), _sessions_with_site(fx)))
 
 
 @query
@@ -418,7 +429,7 @@ def session_roots(fx: Fixture) -> DataFrame:
 @query
 def hop_agreement(fx: Fixture) -> DataFrame:
     """R17."""
-    return reports.hop_agreement(_requests(fx), _sites(fx))
+    return reports.hop_agreement(_report_requests(fx), _sessions_with_site(fx))
 
 
 @query
@@ -429,8 +440,8 @@ def worker_distribution(fx: Fixture) -> DataFrame:
 
 @query
 def worker_distribution_top(fx: Fixture) -> DataFrame:
-    """The first countries only."""
-    return reports.worker_distribution(_requests(fx), _workers(fx), top=3)
+    """The first ten countries only."""
+    return reports.worker_distribution(_requests(fx), _workers(fx), top=10)
 
 
 # -- status, seeds, tasks --------------------------------------------------------------------------
@@ -596,7 +607,7 @@ def _finish(stream) -> None:
 
 @query
 def stream_event_sink(fx: Fixture) -> DataFrame:
-    """Events streamed into the raw lake, read back and counted."""
+    """Events streamed into the raw lake, read back and counted."""
     source, root, marks = (new_run_dir(fx.spark, n) for n in ("events", "lake", "marks"))
     fx["browser_events"].write.parquet(source)
     stream = fx.spark.readStream.schema("experiment string, worker_id string, data_type string, event string").parquet(source)
@@ -648,7 +659,7 @@ def stream_progress(fx: Fixture) -> DataFrame:
 
 @query
 def raw_roundtrip(fx: Fixture) -> DataFrame:
-    """Raw requests written to the lake and read back."""
+    """Raw requests written to the lake and read back."""
     root = new_run_dir(fx.spark, "lake")
     lake.write_events(_raw_requests(fx), root, "requests")
     return lake.read_raw(fx.spark, root, "requests")
@@ -683,7 +694,7 @@ def enriched_roundtrip(fx: Fixture) -> DataFrame:
 
 @query
 def metadata_roundtrip(fx: Fixture) -> DataFrame:
-    """Experiment documents written as JSON, copied and read back."""
+    """S3, K4, K6: experiment documents written as JSON, copied and read back."""
     root, out = new_run_dir(fx.spark, "lake"), new_run_dir(fx.spark, "results")
     found = _raw_requests(fx).groupBy("experiment_id").agg(F.count_distinct("crawled_url").alias("total_urls"))
     params = fx["metadata"].select(F.col("exp_id").alias("experiment_id"), "auto_accept_cookies", "browser_type")
@@ -697,3 +708,108 @@ def metadata_roundtrip(fx: Fixture) -> DataFrame:
     lake.copy_metadata(fx.spark, root, out)
     flat = ["auto_accept_cookies", "navigate_subpages", "max_depth", "dwell_time", "browser_type", "headless"]
     return lake.read_metadata(fx.spark, out).select("exp_id", "total_urls", *[f"params.{c}" for c in flat])
+
+
+@query
+def raw_mixed_types(fx: Fixture) -> DataFrame:
+    """Consent files with the time as text, number with fraction and whole number, without a column and with one more."""
+    root = new_run_dir(fx.spark, "lake")
+    rows = fx["raw_consents"]
+    firefox, whole = F.col("experiment_id").contains("firefox"), F.col("crawl_depth") % 2 == 1
+    number = F.col("timestamp").cast("double")
+    lake.write_events(rows.filter(firefox & ~whole).withColumn("timestamp", number), root, "cookie_warning_consents")
+    lake.write_events(rows.filter(firefox & whole).withColumn("timestamp", F.floor(number)), root, "cookie_warning_consents")
+    other = rows.filter(~firefox).drop("crawl_depth").withColumn("content_type", F.lit("text/html"))
+    lake.write_events(other, root, "cookie_warning_consents")
+    return lake.read_raw(fx.spark, root, "cookie_warning_consents")
+
+
+@query
+def event_requests_text_form(fx: Fixture) -> DataFrame:
+    """Events as collectors type them, with time and headers as text."""
+    event = F.to_json(
+        F.struct(
+            "request_id", "crawl_session_id", "timestamp", "crawled_url", "url", "resource_type", F.lit('{"accept": "*/*"}').alias("headers"), "crawl_depth"
+        )
+    )
+    envelope = _raw_requests(fx).select(F.col("experiment_id").alias("experiment"), "worker_id", F.lit("requests").alias("data_type"), event.alias("event"))
+    return events.to_requests(envelope)
+
+
+@query
+def stream_unreadable(fx: Fixture) -> DataFrame:
+    """Events of unknown kinds, with broken JSON or without a session, kept by the sink with their text."""
+    source, root, marks = (new_run_dir(fx.spark, n) for n in ("events", "lake", "marks"))
+    fault = F.col("k") % 10
+    good = F.to_json(F.struct("request_id", "crawl_session_id", "url"))
+    event = F.when(fault == 1, F.concat(F.lit("{ broken "), F.col("request_id"))).when(fault == 2, F.to_json(F.struct("request_id", "url"))).otherwise(good)
+    kind = F.when(fault == 0, F.lit("beacons")).otherwise(F.lit("requests"))
+    envelope = fx["raw_requests"].select(F.col("experiment_id").alias("experiment"), "worker_id", kind.alias("data_type"), event.alias("event"))
+    envelope.write.parquet(source)
+    stream = fx.spark.readStream.schema("experiment string, worker_id string, data_type string, event string").parquet(source)
+    _finish(jobs.start_event_sink(stream, root, marks))
+    return lake.read_unreadable(fx.spark, root)
+
+
+@query
+def session_starts_null_time(fx: Fixture) -> DataFrame:
+    """M1: requests without a time never start a session that has one."""
+    rows = fx["raw_requests"].withColumn("timestamp", F.when(F.col("k") % 5 != 0, F.col("timestamp")))
+    return models.session_starts(rows).select("experiment_id", "crawl_session_id", "scraped_at")
+
+
+def _raw_lake(fx: Fixture) -> tuple[str, str]:
+    """The raw tables as files of a lake with documents, and filter lists as text files."""
+    root, folder = new_run_dir(fx.spark, "lake"), new_run_dir(fx.spark, "lists")
+    lake.write_events(_raw_requests(fx), root, "requests")
+    lake.write_events(fx["raw_responses"], root, "responses")
+    lake.write_events(fx["raw_consents"], root, "cookie_warning_consents")
+    lake.write_events(fx["raw_site_metadata"], root, "site_metadata")
+    lake.write_workers(fx["raw_worker_metadata"], root)
+    params = F.struct("auto_accept_cookies", "browser_type").alias("params")
+    created = F.lit(datetime(2024, 1, 1, 12, 30)).alias("timestamp")
+    lake.write_metadata(fx["metadata"].select(F.col("exp_id").alias("id"), created, F.col("total_urls").cast("bigint").alias("total_urls"), params), root)
+    paths = [f"{folder}/{name}.txt" for name in FILTER_LISTS]
+    for path, lines in zip(paths, FILTER_LISTS.values(), strict=True):
+        fx.spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+    return root, ",".join([*paths, f"{folder}/not-there.txt"])
+
+
+def _contents(fx: Fixture, out: str) -> DataFrame:
+    """What the enriched tables and documents hold, as (table_name, experiment_id, key, value)."""
+    shown = {
+        "labeled_requests": ("request_id", "blocked_by"),
+        "responses": ("request_id", "status"),
+        "cookie_warning_consents": ("crawl_session_id", "url"),
+        "site_metadata": ("crawl_session_id", "description"),
+        "worker_metadata": ("worker_id", "country_code"),
+    }
+    parts = [
+        lake.read_enriched(fx.spark, out, name).select(
+            F.lit(name).alias("table_name"), "experiment_id", F.col(key).alias("key"), F.col(value).cast("string").alias("value")
+        )
+        for name, (key, value) in shown.items()
+    ]
+    documents = lake.read_metadata(fx.spark, out)
+    result = documents.select(F.lit("documents").alias("table_name"), F.col("exp_id").alias("experiment_id"), F.col("exp_id").alias("key"), F.col("total_urls").cast("string").alias("value"))
+    for part in parts:
+        result = result.unionByName(part)
+    return result
+
+
+@query
+def enrich_twice(fx: Fixture) -> DataFrame:
+    """The whole job over a lake, run twice into one folder; a list that is not there is skipped."""
+    (root, filter_lists), out = _raw_lake(fx), new_run_dir(fx.spark, "enriched")
+    enrich_lake(fx.spark, root, out, filter_lists)
+    enrich_lake(fx.spark, root, out, filter_lists)
+    return _contents(fx, out)
+
+
+@query
+def enrich_one_experiment(fx: Fixture) -> DataFrame:
+    """Two experiments one after the other, the second without touching the first."""
+    (root, filter_lists), out = _raw_lake(fx), new_run_dir(fx.spark, "enriched")
+    for experiment in ("firefoxwithcookies_e1", "chromiumnocookies_e0"):
+        enrich_lake(fx.spark, root, out, filter_lists, [experiment])
+    return _contents(fx, out)

@@ -70,6 +70,7 @@ def test_no_plan_multiplies_rows_without_a_key(spark):
 @pytest.mark.parametrize("name", ["dedup_responses", "labeled_requests", "site_summary_strict", "site_summary_enriched"])
 def test_results_hold_with_hot_keys_and_large_lookups(spark, con, monkeypatch, name):
     monkeypatch.setattr(joins, "HOT_ROWS", 2)
+    monkeypatch.setattr(joins, "TASKS", 64)
     monkeypatch.setattr(joins, "LOOKUP_ROWS", 0)
     monkeypatch.setattr(labelling, "LOOKUP_ROWS", 0)
     frame = contract.queries()[name](spark, SF)
