@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -44,15 +46,21 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     linked = nodes.join(known, (nodes["tree"] == known["t"]) & (nodes["parent"] == known["p"]), "left")
     # up: the node where the jump ends, NULL beyond the root; steps and total: of the jump, or to the root if that is nearer
     jumps = linked.select("tree", "node", F.col("p").alias("up"), F.when(F.col("p").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.col("score").alias("total"))
+    jumps = stored(jumps, "reply-jumps")
     largest = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
-    levels = [stored(jumps, "reply-jumps")]
+    # only nodes whose jump has not reached the root go on; the others' steps and totals are final
+    ended, open_ = [jumps.where("up is null")], jumps.where("up is not null")
+    levels = [open_]
     for _ in range((largest - 1).bit_length()):  # no path is longer than the largest tree
-        low = levels[-1]
-        far = low.select(F.col("tree").alias("t"), F.col("node").alias("u"), F.col("up").alias("far"), F.col("steps").alias("more"), F.col("total").alias("rest"))
-        both = low.join(far, (low["tree"] == far["t"]) & (low["up"] == far["u"]), "left")
-        steps, total = F.col("steps") + F.coalesce("more", F.lit(0)), F.col("total") + F.coalesce("rest", F.lit(0.0))
-        levels.append(stored(both.select("tree", "node", F.col("far").alias("up"), steps.alias("steps"), total.alias("total")), "reply-jumps"))
-    rooted = levels[-1].where("up is null")
+        far = reduce(DataFrame.unionByName, [*ended, open_])
+        far = far.select(F.col("tree").alias("t"), F.col("node").alias("u"), F.col("up").alias("far"), F.col("steps").alias("more"), F.col("total").alias("rest"))
+        both = open_.join(far, (open_["tree"] == far["t"]) & (open_["up"] == far["u"]))
+        steps, total = F.col("steps") + F.col("more"), F.col("total") + F.col("rest")
+        longer = stored(both.select("tree", "node", F.col("far").alias("up"), steps.alias("steps"), total.alias("total")), "reply-jumps")
+        ended.append(longer.where("up is null"))
+        open_ = longer.where("up is not null")
+        levels.append(open_)
+    rooted = reduce(DataFrame.unionByName, ended)
     inner = nodes.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = rooted.join(inner, (rooted["tree"] == inner["t"]) & (rooted["node"] == inner["p"]), "left_anti")
     score = F.col("total") / (F.col("steps") + 1)
