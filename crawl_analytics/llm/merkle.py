@@ -91,7 +91,7 @@ def compared_with_edit(docs: DataFrame) -> DataFrame:
     have an empty next document. NULL texts are empty, other columns are ignored, an empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    base = docs.select("doc_id", text.alias("text"))  # no alias of the id: both uses then share one exchange
     lengths = base.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("most"))
     lengths = stored(lengths, "doc-lengths")
     order = successors(lengths, "doc_id")
