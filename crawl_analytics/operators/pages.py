@@ -168,27 +168,30 @@ def choose_link(links: Column, seed: Column, depth: Column) -> Column:
 def walk(tasks: DataFrame, page_links: DataFrame, max_depth: int) -> DataFrame:
     """Visits of every task: (experiment_id, seed, depth, url, ok).
 
-    ``tasks`` has experiment_id and url, ``page_links`` has url and links. A page
+    ``tasks`` has experiment_id and url, ``page_links`` has url and links. A task may bring its own ``max_depth``,
+    and ``navigate_subpages`` false keeps it on its first page; no walk goes deeper than the argument. A page
     absent from ``page_links`` fails to load: at depth 0 the task fails, below it
     the walk ends. No page is visited twice. Each level is one join; its result is
     checkpointed in the shared folder, which keeps the plan short and survives the
     loss of executors.
     """
     shared_dir(tasks.sparkSession)
-    known = first_rows(page_links.select("url", "links"), ["url"], []).withColumn("found", F.lit(True))
-    front = tasks.select(
-        "experiment_id", F.col("url").alias("seed"), "url", F.array("url").alias("visited")
-    ).distinct()
+    known = first_rows(page_links.select("url", "links"), ["url"], []).withColumn("found", F.lit(True)).checkpoint()
+    own = F.coalesce(F.col("max_depth"), F.lit(max_depth)) if "max_depth" in tasks.columns else F.lit(max_depth)
+    stays = ~F.coalesce("navigate_subpages", F.lit(True)) if "navigate_subpages" in tasks.columns else F.lit(False)
+    deepest = F.when(stays, F.lit(0)).otherwise(own).cast("int").alias("deepest")
+    front = tasks.select("experiment_id", F.col("url").alias("seed"), "url", F.array("url").alias("visited"), deepest).distinct()
     levels = []
     for depth in range(max_depth + 1):
         here = salted_join(front, known, ["url"], "left", spread=["experiment_id", "seed"])
         following = choose_link(F.col("links"), F.col("seed"), F.lit(depth)) if depth < max_depth else F.lit(None).cast("string")
         step = here.select(
-            "experiment_id", "seed", "url", "visited", F.coalesce("found", F.lit(False)).alias("ok"), following.alias("following")
+            "experiment_id", "seed", "url", "visited", "deepest", F.coalesce("found", F.lit(False)).alias("ok"), following.alias("following")
         ).checkpoint()
         levels.append(step.select("experiment_id", "seed", F.lit(depth).alias("depth"), "url", "ok"))
-        front = step.filter(F.col("ok") & F.col("following").isNotNull() & ~F.array_contains("visited", F.col("following"))).select(
-            "experiment_id", "seed", F.col("following").alias("url"), F.concat("visited", F.array("following")).alias("visited")
+        goes_on = F.col("ok") & (F.col("deepest") > depth) & F.col("following").isNotNull()
+        front = step.filter(goes_on & ~F.array_contains("visited", F.col("following"))).select(
+            "experiment_id", "seed", F.col("following").alias("url"), F.concat("visited", F.array("following")).alias("visited"), "deepest"
         )
     out = levels[0]
     for level in levels[1:]:

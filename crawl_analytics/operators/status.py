@@ -35,6 +35,11 @@ def experiment_status(documents: DataFrame, depths: DataFrame | None, prefix: st
     )
 
 
+def listed_documents(listed: DataFrame, documents: DataFrame) -> DataFrame:
+    """Every listed experiment (id) with its document; those whose document cannot be read have none of its columns."""
+    return listed.select("id").join(documents, "id", "left")
+
+
 def status_table(status: DataFrame) -> DataFrame:
     """Text columns of the status view, newest id first."""
     empty, unknown, done = F.col("total") == 0, F.col("remaining") == -1, F.col("remaining") == 0

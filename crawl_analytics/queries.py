@@ -813,3 +813,91 @@ def enrich_one_experiment(fx: Fixture) -> DataFrame:
     for experiment in ("firefoxwithcookies_e1", "chromiumnocookies_e0"):
         enrich_lake(fx.spark, root, out, filter_lists, [experiment])
     return _contents(fx, out)
+
+
+# -- checks of what has no SQL of its own ----------------------------------------------------------
+
+
+@query
+def choose_link_checked(fx: Fixture) -> DataFrame:
+    """The size of each page's set of links, and whether the choice is one of them."""
+    links = pages.link_sets(_raw_pages(fx))
+    chosen = links.select("page_id", F.size(F.array_distinct("links")).cast("bigint").alias("n_links"), "links", pages.choose_link(F.col("links"), F.col("url"), F.lit(0)).alias("link"))
+    inside = F.coalesce(F.array_contains("links", F.col("link")), F.col("n_links") == 0)
+    return chosen.select("page_id", "n_links", inside.alias("chosen"))
+
+
+@query
+def walk_single_links(fx: Fixture) -> DataFrame:
+    """Tasks with depths of their own over pages with one link each, some of which do not load."""
+    starts = fx["seeds"].join(_raw_pages(fx).select("page_id", F.col("url").alias("page_url")), "page_id").select(
+        F.lit("exp_1").alias("experiment_id"),
+        F.col("page_url").alias("url"),
+        (F.col("page_id") % 4).cast("int").alias("max_depth"),
+        (F.col("page_id") % 7 != 0).alias("navigate_subpages"),
+    )
+    single = fx["site_links"].groupBy("url").agg(F.min("link").alias("link")).filter("length(url) % 10 <> 3")
+    return pages.walk(starts, single.select("url", F.array("link").alias("links")), 3)
+
+
+@query
+def metrics_approx_within(fx: Fixture) -> DataFrame:
+    """Exact distinct domains by experiment, and whether the sketch is within five percent."""
+    enriched = _stored(fx, "enriched", _enriched_weighted(fx).select("experiment_id", "request_requested_domain", "copies"))
+    exact = enriched.groupBy("experiment_id").agg(
+        F.count_distinct("request_requested_domain").alias("exact"), F.approx_count_distinct("request_requested_domain", 0.02).alias("about")
+    )
+    return exact.select("experiment_id", "exact", (F.abs(F.col("about") - F.col("exact")) <= 0.05 * F.col("exact")).alias("is_close"))
+
+
+@query
+def tranco_csv(fx: Fixture) -> DataFrame:
+    """The ranked list through headerless CSV files."""
+    path = new_run_dir(fx.spark, "tranco")
+    fx["tranco"].select("tranco_rank", "domain").write.csv(path)
+    return lists.read_tranco(fx.spark, path)
+
+
+@query
+def countries_csv(fx: Fixture) -> DataFrame:
+    """The catalogue through CSV files with a header and more columns."""
+    path = new_run_dir(fx.spark, "countries")
+    fx["countries"].select(F.lit("a, \"quoted\" name").alias("name"), "tld", "cca2", "region", "subregion").write.option("header", True).option("escape", '"').csv(path)
+    return lists.read_countries(fx.spark, path)
+
+
+@query
+def listed_documents(fx: Fixture) -> DataFrame:
+    """Experiments found by listing the documents of a lake."""
+    root = _raw_lake(fx)[0]
+    return lake.list_experiments(lake.metadata_keys(fx.spark, root))
+
+
+@query
+def model_inputs(fx: Fixture) -> DataFrame:
+    """What the models read of the enriched tables: responses, site metadata, consent sessions."""
+    out = new_run_dir(fx.spark, "enriched")
+    lake.write_table(_responses(fx), f"{out}/responses", ["experiment_id"])
+    lake.write_table(_sites(fx), f"{out}/site_metadata", ["experiment_id"])
+    lake.write_table(_consents(fx), f"{out}/cookie_warning_consents", ["experiment_id"])
+    read = lambda name: lake.read_enriched(fx.spark, out, name)
+    answers = lake.read_responses(read("responses"))
+    sites = lake.read_site_metadata(read("site_metadata"))
+    consents = lake.read_consent_sessions(read("cookie_warning_consents"))
+    micros = F.unix_micros(F.col("scraped_at").cast("timestamp"))
+    parts = [
+        answers.select(F.lit("responses").alias("input"), "experiment_id", "crawl_session_id", F.col("request_id").alias("key"), F.col("status").cast("bigint").alias("value")),
+        sites.select(F.lit("site_metadata").alias("input"), "experiment_id", "crawl_session_id", F.lit("").alias("key"), micros.alias("value")),
+        consents.select(F.lit("consents").alias("input"), "experiment_id", "crawl_session_id", F.lit("").alias("key"), F.lit(1).cast("bigint").alias("value")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def experiment_status_listed(fx: Fixture) -> DataFrame:
+    """Listed experiments, one with an unreadable document, with known and with unknown queues."""
+    listed = _documents(fx).select("id").unionByName(fx.spark.range(1).select(F.lit("broken_e9").alias("id")))
+    documents = status.listed_documents(listed, _documents(fx))
+    known = status.status_table(status.experiment_status(documents, fx["queue_depths"])).withColumn("queue", F.lit("known"))
+    unknown = status.status_table(status.experiment_status(documents, None)).withColumn("queue", F.lit("unknown"))
+    return known.unionByName(unknown)
