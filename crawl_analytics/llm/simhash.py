@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import stored, unused
+from .common import small_batches, stored, unused
 from .components import components
 
 SHINGLE = 3
@@ -53,7 +53,9 @@ def with_fingerprint(docs: DataFrame, into: str, width: int = SHINGLE, seed: int
     def fingerprint(texts: pa.Array) -> pa.Array:
         return pa.array(_fingerprints([t or b"" for t in texts.to_pylist()], width, seed), pa.int64())
 
-    return docs.withColumn(into, fingerprint(F.col("text").cast("binary")))
+    small_batches(docs.sparkSession)
+    # never NULL, and said so: a filter for it would compute the fingerprint a second time
+    return docs.withColumn(into, F.coalesce(fingerprint(F.col("text").cast("binary")), F.lit(0).cast("long")))
 
 
 def _anchors(values, visitors: bool):
