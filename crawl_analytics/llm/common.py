@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_run_dir
 
+ARROW_ROWS = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -26,6 +27,11 @@ def stored(rows: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers a thousand at a time: a worker holds a few megabytes of them, not 64."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def unused(rows: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``rows`` is called so."""
     taken = {c.lower() for c in rows.columns}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators.joins import is_small
-from .common import stored
+from .common import small_batches, stored
 
 LONGEST = 1024
 END_ID = 0
@@ -65,6 +65,7 @@ def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
 def pieces(docs: DataFrame, files: tuple[str, str] | None = None, longest: int = LONGEST) -> DataFrame:
     """One row per piece with its ids; ``place`` numbers the pieces of a length inside a task."""
     files = files or vocabulary()
+    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator) -> Iterator:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share, unused
+from .common import share, small_batches, unused
 
 TEXT_BUCKETS = 1 << 11
 LONGEST_GRAM = 3
@@ -128,6 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model | Non
     At the end a quarter of the labelled sample, never trained on, calibrates each view to log odds.
     Samples are chosen by hashes of the id, their sizes are parameters; the driver gets feature vectors, never texts.
     """
+    small_batches(docs.sparkSession)
     docs = _clean(docs)
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
