@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share, unused
+from .common import share, small_batches, unused
 
 LONGEST_GRAM = 4
 BUCKETS = 1 << 17
@@ -101,6 +101,7 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, training_rows: int = TRAINI
     kernel values per sampled document, never a text. As kernel rows are products with the landmark
     matrix, it is multiplied with the regression's weights once, and scoring a batch is one product.
     """
+    small_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
     if not counts:
@@ -130,7 +131,7 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, training_rows: int = TRAINI
         grams, matrix = Grams(), np.zeros((BUCKETS, narrow.shape[1]), dtype=np.float32)
         matrix[used] = narrow
         for batch in batches:
-            for run in _blocks(texts := batch.column("text").to_pylist()):
+            for run in _blocks(texts := batch.column("text").to_pylist(), 1 << 17):  # a row of the matrix per n-gram
                 found = [(s, i) for i in run if (s := grams(texts[i])) is not None]
                 if found:
                     rows = _rows_times(matrix, [s for s, _ in found]).astype("<f4")
@@ -143,7 +144,7 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, training_rows: int = TRAINI
         return None
     kernel = np.array([np.frombuffer(bytes(r["row"]), dtype="<f4") for r in taken], dtype=np.float64)
     own = np.array([langs.index(r["lang"]) for r in taken])
-    among = np.array(_rows_times(spread, sets), dtype=np.float64)
+    among = np.array([spread[s].sum(axis=0) / np.sqrt(len(s)) for s in sets], dtype=np.float64)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     use = values > 1e-6 * values.max()
     root = vectors[:, use] / np.sqrt(values[use])
