@@ -12,7 +12,7 @@ from .common import WORD, blocks_for, stored, unused
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
 LONG_SHARE = 1000  # a document with more than 1/1000 of its source's words is dealt before the others
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 4_000
 HASH_DIGITS = 15
 # Weight schedules by rank of the source, repeating: (progress, multiple of the mean rate).
 # The first sources fade, the second hold, the third grow; each is scaled so that its integral over [0, 1] is 1.
