@@ -19,7 +19,10 @@ CELL_ROWS = 16  # vectors of a label in a cell, about, as far as MOST_WORDS allo
 FEWEST_WORDS, MOST_WORDS = 4, 512
 SAMPLE_PER_WORD = 60
 QUERIES = 512
-MOST_VISITS = 512
+LINKS = 400  # links that the queries must have seen until their recall counts alone
+MOST_QUERIES = 8192
+MOST_VISITS = 512  # at first; more if they miss the recall
+VISIT_ENTRIES = 1 << 23  # candidate cells of the vectors that are ranked at once
 BLOCK = 2048  # vectors on either side of one comparison
 
 
@@ -49,6 +52,9 @@ class Grid:
         The cell of the i-th nearest first word and the j-th nearest second word comes after the (i * j - 1) cells that
         are nearer in both, so only cells with i * j <= most can be among them.
         """
+        pairs = sum(min(len(self.books[1]), most // i) for i in range(1, len(self.books[0]) + 1))
+        if len(vectors) > (rows := max(1, VISIT_ENTRIES // max(1, pairs))):
+            return np.concatenate([self.visits(vectors[at : at + rows], most) for at in range(0, len(vectors), rows)])
         unit, half = _unit(vectors), self.books[0].shape[1]
         far, order = [], []
         for part, book in zip((unit[:, :half], unit[:, half:]), self.books, strict=True):
@@ -90,48 +96,84 @@ def _trained(classes: DataFrame, size: int, rows: int, labels: int) -> Grid:
     return Grid(_k_means(points[:, :half], words), _k_means(points[:, half:], words))
 
 
-def _visits_for(classes: DataFrame, grid: Grid, size: int, rows: int, threshold: float, recall: float) -> int:
-    """How many cells a vector must visit until ``recall`` of the links are found, measured by brute force.
+def _rank(lists: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """The place of each cell in its list, from one; one more than the list's length if it is not there."""
+    hit = lists == cell[:, None]
+    return np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, lists.shape[1] + 1)
 
-    A few hundred vectors are compared with all. A link counts as found after t visits if either end's
-    cell is among the t nearest of the other. Executors return how often each number of visits is the
-    smallest that finds a link.
-    """
-    chosen = classes.where(share("low", "id", seed=4) < F.lit(min(1.0, QUERIES / max(1, rows)))).orderBy("id").collect()
-    if not chosen:
-        return 1
-    cells = len(grid.books[0]) * len(grid.books[1])
-    most = min(MOST_VISITS, cells)
+
+def _measured(classes: DataFrame, grid: Grid, size: int, most: int, threshold: float, chosen: list) -> np.ndarray:
+    """How many links of the ``chosen`` vectors each number of visits is the smallest to find; at ``most + 1`` those not found."""
     ids = np.array([r["id"] for r in chosen])
     labels = np.array([r["label"] for r in chosen])
     raw = np.array([r["embedding"] for r in chosen], dtype=np.float64)
     query, seen = _unit(raw), grid.visits(raw, most)
 
-    def rank(lists: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        hit = lists == cell[:, None]
-        return np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, most + 1)
-
     def measure(batches: Iterator) -> Iterator:
         found = np.zeros(most + 2, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 own = _vectors(part.column("embedding"), size)
-                lists = grid.visits(own, most)
                 same = part.column("label").to_numpy(zero_copy_only=False)[:, None] == labels[None, :]
                 near = (_unit(own) @ query.T >= threshold) & same & (part.column("id").to_numpy()[:, None] != ids[None, :])
                 i, j = np.nonzero(near)
                 for a in range(0, len(i), 4096):
-                    x, y = i[a : a + 4096], j[a : a + 4096]
-                    found += np.bincount(np.minimum(rank(seen[y], lists[x, 0]), rank(lists[x], seen[y, 0])), minlength=most + 2)
+                    rows, x = np.unique(i[a : a + 4096], return_inverse=True)
+                    y = j[a : a + 4096]
+                    lists = grid.visits(own[rows], most)
+                    found += np.bincount(np.minimum(_rank(seen[y], lists[x, 0]), _rank(lists[x], seen[y, 0])), minlength=most + 2)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(most + 2)), pa.array(found)], names=["visits", "n"])
 
-    counts = classes.select("id", "label", "embedding").mapInArrow(measure, "visits long, n long").groupBy("visits").agg(F.sum("n").alias("n")).orderBy("visits").collect()
-    n = np.array([r["n"] for r in counts], dtype=np.float64)
-    if not n.sum():
-        return min(most, 4)
-    enough = np.flatnonzero(np.cumsum(n) >= recall * n.sum())[0]
-    return int(np.clip(enough, 1, most))
+    counts = classes.select("id", "label", "embedding").mapInArrow(measure, "visits long, n long").groupBy("visits").agg(F.sum("n").alias("n"))
+    out = np.zeros(most + 2, dtype=np.int64)
+    for r in counts.collect():
+        out[r["visits"]] = r["n"]
+    return out
+
+
+def _perturbed(chosen: list, grid: Grid, most: int, threshold: float) -> np.ndarray:
+    """As ``_measured``, for links made from the chosen vectors: each with one at exactly ``threshold`` in a random direction."""
+    unit = _unit(np.array([r["embedding"] for r in chosen], dtype=np.float64))
+    side = np.random.default_rng(6).normal(size=unit.shape)
+    side = _unit(side - (side * unit).sum(axis=1)[:, None] * unit)
+    other = threshold * unit + (1 - threshold**2) ** 0.5 * side
+    a, b = grid.visits(unit, most), grid.visits(other, most)
+    return np.bincount(np.minimum(_rank(a, b[:, 0]), _rank(b, a[:, 0])), minlength=most + 2)
+
+
+def _visits_for(classes: DataFrame, grid: Grid, size: int, rows: int, threshold: float, recall: float) -> int:
+    """How many cells a vector must visit until ``recall`` of the links are found, measured by brute force.
+
+    A few hundred vectors are compared with all, then further blocks of twice as many until ``LINKS`` links were seen.
+    A link counts as found after t visits if either end's cell is among the t nearest of the other. Executors return
+    how often each number of visits is the smallest that finds a link. If ``MOST_QUERIES`` queries see too few
+    links, vectors perturbed to the threshold must be found as well. Where the most visits miss the recall, twice
+    as many are tried, up to all cells.
+    """
+    cells = len(grid.books[0]) * len(grid.books[1])
+    drawn = F.lit(max(1, rows)) * share("low", "id", seed=4)
+    most = min(MOST_VISITS, cells)
+    blocks, n, begin, step = [], np.zeros(most + 2, dtype=np.int64), 0, QUERIES
+    while begin < min(rows, MOST_QUERIES) and n.sum() < LINKS:
+        chosen = classes.where((drawn >= begin) & (drawn < begin + step)).orderBy("id").collect()
+        begin, step = begin + step, 2 * step
+        if chosen:
+            blocks.append(chosen)
+            n += _measured(classes, grid, size, most, threshold, chosen)
+    every = begin >= rows  # all vectors were queries: what they saw is all there is
+    if not blocks or (every and not n.sum()):
+        return 1
+    enough = lambda n: int(np.flatnonzero(np.cumsum(n) >= recall * n.sum())[0])
+    few = n.sum() < LINKS and not every
+    while True:
+        visits = enough(n) if n.sum() else 1
+        if few:
+            visits = max([visits, *[enough(_perturbed(c, grid, most, threshold)) for c in blocks[:1]]])
+        if visits <= most or most >= cells:
+            return int(np.clip(visits, 1, most))
+        most = min(2 * most, cells)
+        n = sum(_measured(classes, grid, size, most, threshold, c) for c in blocks)
 
 
 def _placed(classes: DataFrame, grid: Grid, size: int, visits: int) -> DataFrame:

@@ -99,3 +99,36 @@ def test_visits_are_the_nearest_cells():
     cost = ((unit[:, None, :3] - grid.books[0]) ** 2).sum(-1)[:, :, None] + ((unit[:, None, 3:] - grid.books[1]) ** 2).sum(-1)[:, None, :]
     for most in (1, 4, 35):
         assert (grid.visits(vectors, most) == np.argsort(cost.reshape(50, -1), axis=1)[:, :most]).all()
+
+
+def rare_links(spark, rows=4000, pairs=8, size=16):
+    """(classes, grid) of random vectors of one label, few of them linked, in a grid much finer than four visits cover."""
+    random = np.random.default_rng(4)
+    vectors = random.normal(size=(rows, size))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[:pairs] = 0.94 * vectors[pairs : 2 * pairs] + 0.34 * vectors[:pairs]
+    frame = spark.createDataFrame([(i, i, 1, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, low long, label long, embedding array<double>")
+    half = size // 2
+    return frame, multiindex.Grid(multiindex._k_means(vectors[:, :half], 24), multiindex._k_means(vectors[:, half:], 24))
+
+
+def test_visits_without_links_in_the_sample(spark, monkeypatch):
+    """Queries that see no link do not end at four visits: links at the threshold are found at the recall asked for."""
+    monkeypatch.setattr(multiindex, "QUERIES", 256)
+    monkeypatch.setattr(multiindex, "MOST_QUERIES", 256, raising=False)
+    frame, grid = rare_links(spark, pairs=0)
+    visits = multiindex._visits_for(frame, grid, 16, 4000, 0.93, 0.99)
+    random = np.random.default_rng(9)
+    a, side = random.normal(size=(2, 2000, 16))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side -= (side * a).sum(axis=1)[:, None] * a
+    b = 0.93 * a + (1 - 0.93**2) ** 0.5 * side / np.linalg.norm(side, axis=1)[:, None]
+    to_b, to_a = grid.visits(a, visits), grid.visits(b, visits)
+    found = (to_b == to_a[:, :1]).any(axis=1) | (to_a == to_b[:, :1]).any(axis=1)
+    assert visits > 4 and found.mean() >= 0.97
+
+
+def test_visits_grow_beyond_the_first_most(spark, monkeypatch):
+    monkeypatch.setattr(multiindex, "MOST_VISITS", 2)
+    frame, grid = rare_links(spark, pairs=300)
+    assert multiindex._visits_for(frame, grid, 16, 4000, 0.93, 0.99) > 2
