@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import chat, langid, lm, merkle, mixing, multiindex, packing, quality, simhash, warc
+from . import chat, langid, lm, merkle, mixing, multiindex, packing, quality, simhash, warc, whitening
 from .common import folder, table
 
 
@@ -62,6 +62,10 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations_formatted(turns.unionByName(own))
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def prepared(query):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +85,6 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": chat_formatting,
         "op9_archives": page_archives,
         "op10_language_model": language_model_scores,
+        "op13_whitening": embedding_whitening,
     }
     return {name: prepared(query) for name, query in found.items()}
