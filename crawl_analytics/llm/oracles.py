@@ -123,6 +123,29 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM b
 """
 
+NEGATIVES = """
+WITH r AS (
+  SELECT row_number() OVER () AS rid, vec_id, len(embedding) AS size,
+         CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.rid, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM r a JOIN r b ON a.size = b.size AND a.rid != b.rid
+  WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, rid) AS place FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id NULLS LAST, s.rid) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score
+  WHERE p.place <= 5
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 
 def oracles() -> dict[str, str]:
-    return {"op2_mixing": MIXING, "op5_fingerprints": FINGERPRINTS, "op8_chat": CHAT, "op9_archives": ARCHIVES}
+    return {"op2_mixing": MIXING, "op5_fingerprints": FINGERPRINTS, "op8_chat": CHAT, "op9_archives": ARCHIVES, "op12_negatives": NEGATIVES}
