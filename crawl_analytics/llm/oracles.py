@@ -7,6 +7,7 @@ quality, embeddings and the language model are held against brute force or held-
 from __future__ import annotations
 
 from .chat import END, START
+from .licenses import GRAM, LOWER, NEAR, NOTICES, PHRASES, SHORT, SIMILAR, UPPER, WORD
 from .merkle import BLOCK_CHARS, SECTION_BLOCKS, SECTION_DIGITS
 from .mixing import HASH_DIGITS, LONG_SHARE, MOST_EPOCHS, WEIGHTS
 
@@ -123,6 +124,51 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM b
 """
 
+_TEMPLATES = ", ".join("({}, '{}', '{}', {})".format(i, t.replace("'", "''"), label, i < len(PHRASES)) for i, (t, label) in enumerate([*PHRASES, *NOTICES]))
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
+# ROW of words i to i + k - 1 as one string; a line break is no part of a word
+_GRAM = "array_to_string(list_slice(words, i + 1, i + k), chr(10))"
+
+LICENSES = rf"""
+WITH t AS (
+  SELECT *, len(words) AS m, least(len(words), {GRAM}) AS k,
+         CASE WHEN exact OR len(words) < {SHORT} THEN 1.0::DOUBLE ELSE {SIMILAR}::DOUBLE END AS least
+  FROM (SELECT template, label, exact, {_WORDS} AS words FROM (VALUES {_TEMPLATES}) v(template, text, label, exact))
+), g AS (
+  SELECT template, k, i AS p, {_GRAM} AS gram FROM (SELECT *, unnest(range(0, m - k + 1)) AS i FROM t)
+), d AS (
+  SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS words FROM documents
+), w AS (
+  SELECT row, i, k, {_GRAM} AS gram
+  FROM (SELECT row, words, k, unnest(range(0, len(words) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM t))
+), v AS (
+  SELECT row, template, i - p AS diagonal, list(p) AS ps, count(*) AS votes
+  FROM w JOIN g USING (k, gram) GROUP BY ALL
+), s AS (
+  SELECT a.row, a.template, a.diagonal, any_value(a.votes) AS votes, any_value(a.ps) AS own,
+         arg_max(b.diagonal, (b.votes, -b.diagonal)) AS strongest,
+         list_distinct(flatten(list(list_transform(b.ps, lambda p: p)))) AS ps,
+         min(b.diagonal + list_min(b.ps)) AS first, max(b.diagonal + list_max(b.ps)) AS last
+  FROM v a JOIN v b ON a.row = b.row AND a.template = b.template AND b.diagonal BETWEEN a.diagonal - {NEAR} AND a.diagonal + {NEAR}
+  GROUP BY a.row, a.template, a.diagonal
+), c AS (
+  SELECT row, label, exact, diagonal, exact AND votes = m - k + 1 AS place, strongest = diagonal AS peak, least,
+         CASE WHEN exact THEN (votes = m - k + 1)::INTEGER::DOUBLE
+              ELSE len(list_distinct(flatten(list_transform(ps, lambda p: range(p, p + k))))) / greatest(m, last + k - first)::DOUBLE END AS similarity
+  FROM s JOIN t USING (template)
+), f AS (
+  SELECT *, CASE WHEN exact THEN place ELSE peak AND similarity >= least END AS found FROM c
+), r AS (
+  SELECT row, count(*) FILTER (WHERE place) AS n_base, min(diagonal) FILTER (WHERE place) AS first_word, max(diagonal) FILTER (WHERE place) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE place) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found) AS labels, max(similarity) FILTER (WHERE found) AS score
+  FROM f GROUP BY row
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN r USING (row)
+"""
+
 NEGATIVES = """
 WITH r AS (
   SELECT row_number() OVER () AS rid, vec_id, len(embedding) AS size,
@@ -148,4 +194,4 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_mixing": MIXING, "op5_fingerprints": FINGERPRINTS, "op8_chat": CHAT, "op9_archives": ARCHIVES, "op12_negatives": NEGATIVES}
+    return {"op2_mixing": MIXING, "op5_fingerprints": FINGERPRINTS, "op8_chat": CHAT, "op9_archives": ARCHIVES, "op11_licenses": LICENSES, "op12_negatives": NEGATIVES}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import chat, langid, lm, merkle, mixing, multiindex, negatives, packing, quality, simhash, warc, whitening
+from . import chat, langid, licenses, lm, merkle, mixing, multiindex, negatives, packing, quality, simhash, warc, whitening
 from .common import folder, table
 
 
@@ -62,6 +62,10 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations_formatted(turns.unionByName(own))
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triplets of the rows whose id is divisible by 50; every seventh id carries a wrong label."""
     rows = negatives.whole_numbers(table(spark, sf_dir, "embeddings"))
@@ -92,6 +96,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": chat_formatting,
         "op9_archives": page_archives,
         "op10_language_model": language_model_scores,
+        "op11_licenses": license_scan,
         "op12_negatives": hard_negatives,
         "op13_whitening": embedding_whitening,
     }
