@@ -21,6 +21,7 @@ FLAT = 1e-12  # an eigenvalue below this share of the largest is rounding: there
 OUTER, INNER = 60, 8
 BASIS = 6  # blocks that the search space holds before it is restarted
 ROWS = 4096  # vectors multiplied at once
+GROUPS = 64  # tasks that add up the partial sums of all others; the driver adds the last so many
 
 
 def whole_numbers(vectors: DataFrame) -> DataFrame:
@@ -56,21 +57,24 @@ class Fit:
         self.rest = [s % self.n for s in sums]
 
     def _gathered(self, part: Callable[[np.ndarray], np.ndarray], cells: int, kind: str, total: str) -> list:
-        """The cells of ``part`` summed over all slices of all tasks: one number a task and cell is shuffled."""
+        """The cells of ``part`` summed over all slices of all tasks: a task sends one array, ``GROUPS`` tasks add them up."""
         size = self.size
         numbers = np.int64 if kind == "long" else np.float64
 
         def add(batches: Iterator) -> Iterator:
+            from pyspark import TaskContext
+
             mine = np.zeros(cells, dtype=numbers)
             for x in _slices(batches, size):
                 mine += part(x).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells)), pa.array(mine)], names=["cell", "value"])
+            task = pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32())
+            yield pa.RecordBatch.from_arrays([task, pa.array([mine])], names=["task", "cells"])
 
-        sums = self.rows.mapInArrow(add, f"cell long, value {kind}").groupBy("cell").agg(F.sum(F.col("value").cast(total)).alias("value"))
-        out = [0] * cells
-        for r in sums.collect():
-            out[r["cell"]] = r["value"]
-        return out
+        sums = self.rows.mapInArrow(add, f"task int, cells array<{kind}>")
+        none = F.array_repeat(F.lit(0).cast(total), cells)
+        added = F.aggregate(F.collect_list("cells"), none, lambda a, b: F.zip_with(a, b, lambda x, y: (x + y.cast(total)).cast(total)))
+        parts = [r["cells"] for r in sums.groupBy("task").agg(added.alias("cells")).collect()]
+        return [sum(p[i] for p in parts) for i in range(cells)]
 
     def centred(self) -> Callable[[np.ndarray], np.ndarray]:
         base, share = self.base, np.array([r / self.n for r in self.rest])
@@ -256,7 +260,7 @@ def whitened(vectors: DataFrame, most: int = COMPONENTS) -> DataFrame:
     Rows without a vector or with an entry that is NULL, not finite or beyond 2^40 are dropped; all others are projected,
     repeated rows and rows without a vec_id too. The fit list holds every different vector once (map-side combined), so copies
     do not weigh. Vectors of different lengths have no common covariance: each length is fitted for itself. Products with the
-    covariance are Spark jobs that send one number per task, dimension and column; the driver holds a few blocks of
+    covariance are Spark jobs in which a task sends one block of sums; the driver holds a few blocks of
     ``most`` columns, whatever the number of vectors. Fewer components than ``most`` come back where the covariance has no
     more (short vectors, few different ones): an eigenvalue of zero cannot be divided by, so equal vectors alone, an empty
     table and empty vectors give no rows. ``deviation`` is NULL if it is beyond a long. Other columns are ignored.
