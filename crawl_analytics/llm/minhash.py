@@ -15,9 +15,9 @@ from .common import binary_texts, small_batches, stored, unused
 from .components import components
 
 SHINGLE = 5
-SIMILAR = 0.8
+SIMILAR = (4, 5)  # Jaccard similarity 4 / 5; whole numbers, so that no bound is off by a rounding
 BANDS, ROWS = 20, 5  # a pair at similarity s shares a band with probability 1 - (1 - s^5)^20: 0.9996 at 0.8, more above
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 CHUNK = 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,42 +91,81 @@ def _with_node(docs: DataFrame, into: str) -> DataFrame:
     return docs.withColumn(into, F.coalesce(node(F.col("text").cast("binary")), F.lit(0).cast("long")))
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have Jaccard similarity ``SIMILAR`` at least."""
+def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes, stored: sorted distinct hashes, taken from one text of each node."""
+
+    def cut(batches: Iterator) -> Iterator:
+        for batch in batches:
+            sets = [_shingles(_words(t)).view(np.int64) for t in binary_texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    node = unused(docs, "node")
+    texts = _with_node(docs.select("text"), node).withColumnRenamed(node, "node").join(wanted, "node", "left_semi")
+    sets = texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(cut, "node long, shingles array<long>")
+    return stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets have the wanted Jaccard similarity."""
 
     def check(batches: Iterator) -> Iterator:
+        part, whole = SIMILAR
         for batch in batches:
-            sets, keep = {}, []
-            columns = [batch.column(c) for c in ("a", "text_a", "b", "text_b")]
-            for row in range(batch.num_rows):
-                for at in (0, 2):
-                    if (node := columns[at][row].as_py()) not in sets:
-                        sets[node] = _shingles(_words(columns[at + 1][row].as_py()))
-                x, y = sets[columns[0][row].as_py()], sets[columns[2][row].as_py()]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+            lists = []
+            for name in ("of_a", "of_b"):
+                column = batch.column(name)
+                values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+                lists.append([values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)])
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*lists, strict=True)]
+            keep = [whole * n >= part * (len(x) + len(y) - n) for n, x, y in zip(both, *lists, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # a hot pivot meets its text while rows are narrow; the second exchange is dealt by the other ends
-    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    # a hot pivot meets its set while rows are narrow; the second exchange is dealt by the other ends
+    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of ``members`` (node, size, root) of different roots that may be similar, by prefix filtering.
+
+    Shingles are put in one order, the rarest among the members first. For sets of sizes a <= b with J >= t, the first
+    a - ceil(2t / (1 + t) a) + 1 shingles of the smaller and the first b - ceil(t b) + 1 of the larger share one, and after their first
+    common shingle there must be enough left in both. A passage that many texts share is frequent and comes last: texts that
+    differ from each other in more than the ninth of the smaller never meet in it. Nothing similar is lost.
+    """
+    part, whole = SIMILAR
+    each = sets.join(members, "node").select("node", "size", "root", F.explode("shingles").alias("shingle"))
+    each = stored(each, "open-shingles")
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("node").orderBy("n", "shingle")) - 1  # a window over one text's shingles
+    placed = each.join(counts, "shingle").withColumn("place", place)
+    long = F.expr(f"place <= size - ({part} * size + {whole - 1}) div {whole}")
+    placed = stored(placed.where(long & (F.col("n") > 1)), "shingle-prefixes")
+    short = placed.where(F.expr(f"place <= size - ({2 * part} * size + {whole + part - 1}) div {whole + part}"))
+    a = short.select("shingle", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"), F.col("place").alias("at_a"))
+    b = placed.select("shingle", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.col("place").alias("at_b"))
+    order = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
+    near_size = whole * F.col("size_a") >= part * F.col("size_b")
+    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    enough = (whole + part) * left >= part * (F.col("size_a") + F.col("size_b"))
+    met = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("root_a") != F.col("root_b")) & order & near_size & enough)
+    return met.select("a", "b").distinct()
 
 
 def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(id, root): the components of all pairs that share a band and are similar.
 
     A few rounds compare the members of a band's bucket with one of them, the pivot, chosen by a hash of the round, so
-    a group of near copies costs pairs in number of its members. Then every pair that
-    shares a bucket, lies in different components and was not compared yet is compared.
+    a group of near copies costs pairs in number of its members. What then still shares a bucket with a member of another
+    component is paired by the prefixes of its shingle set, so texts that share a passage without being
+    similar cost nothing however many they are.
     """
+    part, whole = SIMILAR
     every = distinct.select("node", "size", F.explode("bands").alias("key"))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = stored(every.join(shared, "key"), "shared-bands")
-    wanted = members.select("node").distinct()
-    node = unused(docs, "node")
-    texts = _with_node(docs.select("text"), node).withColumnRenamed(node, "node").join(wanted, "node", "left_semi")
-    texts = stored(texts.groupBy("node").agg(F.first(F.col("text").cast("binary")).alias("text")), "shared-texts")
+    sets = _shingle_sets(docs, members.select("node").distinct())
     placed = members.withColumn("root", F.col("node"))
     links, compared, member = [], [], None
     for n in range(PIVOT_ROUNDS + 1):
@@ -136,22 +175,21 @@ def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         if not open_.take(1):
             break
         if n < PIVOT_ROUNDS:
-            first = open_
+            near_size = whole * F.least("s", "size") >= part * F.greatest("s", "size")
+            pairs = open_.join(placed, "key").where((F.col("root") != F.col("r")) & near_size)
+            pairs = pairs.select("a", F.col("node").alias("b")).distinct()
         else:
-            first = placed.join(open_.select("key"), "key", "left_semi").select("key", F.col("node").alias("a"), F.col("size").alias("s"), F.col("root").alias("r"))
-        near_size = F.least("s", "size") >= F.lit(SIMILAR) * F.greatest("s", "size")
-        pairs = first.join(placed, "key").where((F.col("root") != F.col("r")) & near_size)
-        if n == PIVOT_ROUNDS:
-            pairs = pairs.where("a < node")
-        pairs = pairs.select("a", F.col("node").alias("b")).distinct()
+            pairs = _prefix_pairs(placed.join(open_.select("key"), "key", "left_semi").select("node", "size", "root").distinct(), sets)
         low, high = F.least("a", "b"), F.greatest("a", "b")
         if compared:
             before = reduce(DataFrame.union, compared)
             pairs = pairs.withColumns({"low": low, "high": high}).join(before, ["low", "high"], "left_anti").select("a", "b")
         pairs = stored(pairs, "compared-pairs")
         compared.append(pairs.select(low.alias("low"), high.alias("high")))
-        links.append(stored(_similar(pairs, texts), "similar-pairs"))
+        links.append(stored(_similar(pairs, sets), "similar-pairs"))
         member = components(reduce(DataFrame.union, links))
+        if n == PIVOT_ROUNDS:
+            break
         roots = member.withColumnsRenamed({"id": "node", "root": "found"})
         placed = members.join(roots, "node", "left").select("node", "size", "key", F.coalesce("found", "node").alias("root"))
         placed = stored(placed, "placed-bands")
@@ -176,8 +214,10 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     # min over (NULL flag, id, node): documents without an id lose to those with one
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("low_id").isNull(), "low_id", "node")).alias("m"))
     keep = first.select(F.col("m.low_id").alias("__id"), F.col("m.node").alias("__node"))
-    node, number = unused(docs, "node"), unused(docs, "copy_number")
+    node, row = unused(docs, "node"), unused(docs, "row")
     marked = _with_node(docs, node)
     chosen = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__id"]) & (marked[node] == keep["__node"]), "left_semi")
-    number_in = F.row_number().over(W.partitionBy("doc_id", node).orderBy("text"))
-    return chosen.withColumn(number, number_in).where(F.col(number) == 1).select(*docs.columns)
+    # of repeated rows the smallest, combined on the map side
+    fixed = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant", "array", "struct")]
+    one = chosen.groupBy("doc_id", node).agg(F.min_by(F.struct(*docs.columns), F.struct(*fixed)).alias(row))
+    return one.select(*[F.col(row)[c].alias(c) for c in docs.columns])

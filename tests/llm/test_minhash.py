@@ -73,3 +73,63 @@ def test_odd_documents(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, *range(3, 12)]
     assert minhash.one_per_group(no_documents(spark)).count() == 0
+
+
+def counted(monkeypatch):
+    """Rows of every stored step, by name."""
+    rows, plain = {}, minhash.stored
+
+    def stored(frame, name, *rest):
+        out = plain(frame, name, *rest)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stored", stored)
+    return rows
+
+
+def test_a_shared_passage_makes_few_pairs(spark, monkeypatch):
+    """2,000 texts of one passage at similarity 0.71, and 60 planted pairs at 0.8 and more among them."""
+    random = np.random.default_rng(13)
+    word = lambda: f"w{random.integers(1 << 40)}"
+    passage = [word() for _ in range(150)]
+    rows = [" ".join(passage + [word() for _ in range(30)]) for _ in range(2000)]
+    planted = []
+    for i in range(60):
+        words = rows[i * 7].split()
+        rows.append(" ".join(changed(words, 1 + i % 4, random)))
+        planted.append((i * 7, len(rows) - 1))
+    near = {(a, b) for a, b in planted if similarity(shingles(rows[a]), shingles(rows[b])) >= 0.8}
+    assert len(near) >= 40
+    seen = counted(monkeypatch)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r.doc_id for r in minhash.one_per_group(docs).collect()}
+    assert kept == set(range(len(rows))) - {b for _, b in near}
+    assert sum(seen["compared-pairs"]) < 10 * len(rows)
+    assert seen["compared-pairs"][-1] < len(rows)  # what the prefixes add after the pivots
+
+
+def test_prefix_pairs_lose_none(spark):
+    """Sets of all sizes and similarities: every similar pair of different roots is among the candidates."""
+    random = np.random.default_rng(14)
+    common, sets = random.integers(1 << 60, size=400), []
+    for _ in range(160):
+        kept = common[: random.integers(2, 60)] if random.random() < 0.5 else common[random.integers(0, 340) :][: random.integers(1, 60)]
+        sets.append(np.unique(np.concatenate([kept, random.integers(1 << 60, size=random.integers(0, 9))])).tolist())
+    sets += [sets[0][:k] for k in range(1, 10)]
+    members = spark.createDataFrame([(i, len(s), i % 150) for i, s in enumerate(sets)], "node long, size long, root long")
+    frame = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    got = {tuple(sorted((r.a, r.b))) for r in minhash._prefix_pairs(members, frame).collect()}
+    near = {
+        (i, j)
+        for i, j in combinations(range(len(sets)), 2)
+        if i % 150 != j % 150 and 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))
+    }
+    assert near <= got and len(near) > 20 and len(got) < 0.3 * len(sets) ** 2 / 2
+    checked = spark.createDataFrame(sorted(got), "a long, b long")
+    assert {(r.a, r.b) for r in minhash._similar(checked, frame).collect()} == near
+
+
+def test_repeated_rows_keep_the_smallest(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "b"), (1, "a  b c", "a"), (None, "a b c", "0")], "doc_id long, text string, source string")
+    assert [tuple(r) for r in minhash.one_per_group(docs).collect()] == [(1, "a  b c", "a")]
