@@ -17,7 +17,8 @@ from .components import components
 SHINGLE = 5
 SIMILAR = (4, 5)  # Jaccard similarity 4 / 5; whole numbers, so that no bound is off by a rounding
 BANDS, ROWS = 20, 5  # a pair at similarity s shares a band with probability 1 - (1 - s^5)^20: 0.9996 at 0.8, more above
-PIVOT_ROUNDS = 2
+PIVOTS = (1, 8)  # members of a bucket that the others are compared with, round by round
+CROWD = 10  # after the first round only a component with a tenth of a bucket's members has pivots there
 CHUNK = 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -153,11 +154,25 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def _pivots(mixed: DataFrame, n: int) -> DataFrame:
+    """(key, a, s, r): the pivots of round ``n``, their sizes and roots."""
+    row = F.struct(F.xxhash64(F.lit(n), "node").alias("h"), "node", "size", "root")
+    if PIVOTS[n] == 1:
+        chosen = mixed.groupBy("key").agg(F.min(row).alias("p"))
+    else:
+        crowds = mixed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.first("members").alias("members"))
+        crowds = crowds.where((F.col("c") > 2) & (F.col("c") * CROWD >= F.col("members"))).select("key", "root")
+        place = F.row_number().over(W.partitionBy("key").orderBy("p.h"))
+        chosen = mixed.join(crowds, ["key", "root"]).select("key", row.alias("p")).withColumn("place", place).where(F.col("place") <= PIVOTS[n])
+    return chosen.select("key", F.col("p.node").alias("a"), F.col("p.size").alias("s"), F.col("p.root").alias("r"))
+
+
 def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(id, root): the components of all pairs that share a band and are similar.
 
-    A few rounds compare the members of a band's bucket with one of them, the pivot, chosen by a hash of the round, so
-    a group of near copies costs pairs in number of its members. What then still shares a bucket with a member of another
+    A few rounds compare the members of a band's bucket with pivots among them, chosen by a hash of the round: first one of each
+    bucket, then more from components that hold a good part of it, for those near copies that the pivots before missed. A
+    group of near copies costs pairs in number of its members. What then still shares a bucket with a member of another
     component is paired by the prefixes of its shingle set, so texts that share a passage without being
     similar cost nothing however many they are.
     """
@@ -168,18 +183,19 @@ def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     sets = _shingle_sets(docs, members.select("node").distinct())
     placed = members.withColumn("root", F.col("node"))
     links, compared, member = [], [], None
-    for n in range(PIVOT_ROUNDS + 1):
-        row = F.struct(F.xxhash64(F.lit(n), "node").alias("h"), "node", "size", "root")
-        buckets = placed.groupBy("key").agg(F.min(row).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
-        open_ = stored(buckets.where("low != high").select("key", F.col("p.node").alias("a"), F.col("p.size").alias("s"), F.col("p.root").alias("r")), "open-bands")
+    for n in range(len(PIVOTS) + 1):
+        buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
+        open_ = stored(buckets.where("low != high").select("key", "members"), "open-bands")
         if not open_.take(1):
             break
-        if n < PIVOT_ROUNDS:
+        mixed = placed.join(open_, "key")
+        if n < len(PIVOTS):
+            first = _pivots(mixed, n)
             near_size = whole * F.least("s", "size") >= part * F.greatest("s", "size")
-            pairs = open_.join(placed, "key").where((F.col("root") != F.col("r")) & near_size)
+            pairs = first.join(mixed, "key").where((F.col("root") != F.col("r")) & near_size)
             pairs = pairs.select("a", F.col("node").alias("b")).distinct()
         else:
-            pairs = _prefix_pairs(placed.join(open_.select("key"), "key", "left_semi").select("node", "size", "root").distinct(), sets)
+            pairs = _prefix_pairs(mixed.select("node", "size", "root").distinct(), sets)
         low, high = F.least("a", "b"), F.greatest("a", "b")
         if compared:
             before = reduce(DataFrame.union, compared)
@@ -188,7 +204,7 @@ def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         compared.append(pairs.select(low.alias("low"), high.alias("high")))
         links.append(stored(_similar(pairs, sets), "similar-pairs"))
         member = components(reduce(DataFrame.union, links))
-        if n == PIVOT_ROUNDS:
+        if n == len(PIVOTS):
             break
         roots = member.withColumnsRenamed({"id": "node", "root": "found"})
         placed = members.join(roots, "node", "left").select("node", "size", "key", F.coalesce("found", "node").alias("root"))
