@@ -10,12 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attempt_name, blocks_for, file_system, folder, whole_file
+from .common import attempt_name, blocks_for, file_system, folder, share, whole_file
 from .langid import held_out
 
 HELD_OUT = (7, 2)
 BEGIN, END = np.uint64(1), np.uint64(2)  # hashes of the text's begin and end; words have larger ones
-SHARD_BYTES = 8 << 20  # bytes of text whose bigrams make one shard, about
+SHARD_BYTES, LARGEST_SHARD_BYTES = 8 << 20, 256 << 20  # bytes of text whose bigrams make one shard, about
+SHARDS = 4096  # before their number, the shards' size grows with the text, up to the largest
+HOT_SAMPLE_BYTES = 32 << 20  # of text that says which first words are frequent; this only deals out work
+HOT_SHARE = 0.05  # a first word with more of a shard's tokens than this is dealt out by whole bigrams
+MOST_HOT = 200_000
 PAIRS_AT_ONCE = 3_000_000
 TOKENS_AT_ONCE = 500_000
 FULL = 255  # counts from here on are kept beside the array of small ones
@@ -38,6 +42,39 @@ def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Deal:
+    """The shard of each bigram: that of its first word, or, behind a frequent first word, of the pair."""
+
+    def __init__(self, shards: int, hot: np.ndarray):
+        self.shards, self.hot = shards, np.sort(hot.astype(np.uint64))
+
+    def of(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        own = u
+        if len(self.hot):
+            place = np.minimum(np.searchsorted(self.hot, u), len(self.hot) - 1)
+            own = np.where(self.hot[place] == u, _pair(u, v), u)
+        return (own % np.uint64(self.shards)).astype(np.int64)
+
+
+def _hot_words(texts: DataFrame, size: int, shards: int) -> np.ndarray:
+    """Hashes of the words that alone would fill a good part of a shard, from a bounded sample of the texts.
+
+    The sample decides where a bigram is counted, never whether or how often.
+    """
+    chosen = texts.where(share("text", seed=8) < F.lit(min(1.0, HOT_SAMPLE_BYTES / max(1, size))))
+
+    def count(batches: Iterator) -> Iterator:
+        for batch in batches:
+            tokens = [_tokens(t or b"")[:-1] for t in batch.column("text").to_pylist()]
+            words, n = np.unique(np.concatenate(tokens or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    words = chosen.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = words.where(F.col("n") * shards > HOT_SHARE * total).orderBy(F.desc("n"), "word").limit(MOST_HOT)
+    return np.array([r["word"] for r in hot.collect()], dtype=np.int64).view(np.uint64)
+
+
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct sorted keys, the first place of each, and the sums of ``values`` over equal keys."""
     order = np.argsort(keys, kind="stable")
@@ -66,13 +103,13 @@ def _joined(blobs, kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(len(kinds))]
 
 
-def _counted(texts: DataFrame, shards: int) -> DataFrame:
-    """(shard, blob): bigram counts, summed inside a task; a bigram's shard follows from its first word."""
+def _counted(texts: DataFrame, deal: Deal) -> DataFrame:
+    """(shard, blob): bigram counts, summed inside a task."""
 
     def emit(u: np.ndarray, v: np.ndarray) -> Iterator:
         _, at, n = _summed(_pair(u, v), np.ones(len(u), dtype=np.int64))
         u, v = u[at], v[at]
-        shard = (u % np.uint64(shards)).astype(np.int64)
+        shard = deal.of(u, v)
         order = np.lexsort((v, u, shard))
         u, v, n, shard = u[order], v[order], n[order].astype("<u4"), shard[order]
         ids, begin = np.unique(shard, return_index=True)
@@ -167,8 +204,8 @@ def _discounts(n: list[int]) -> list[float]:
 class Shards:
     """A worker's view of the model: arrays mapped into memory when first asked for."""
 
-    def __init__(self, root: str, shards: int):
-        self.root, self.shards, self.pairs, self.words = root, shards, {}, {}
+    def __init__(self, root: str, deal: Deal):
+        self.root, self.deal, self.shards, self.pairs, self.words = root, deal, deal.shards, {}, {}
 
     def _local(self, name: str) -> str | None:
         system, path = file_system(f"{self.root}/{name}")
@@ -215,7 +252,7 @@ class Shards:
         keys, at = np.unique(_pair(u, v), return_index=True)
         back = np.searchsorted(keys, _pair(u, v))
         counts = np.zeros(len(keys), dtype=np.int64)
-        for shard, rows in self._by_shard((u[at] % np.uint64(self.shards)).astype(np.int64)):
+        for shard, rows in self._by_shard(self.deal.of(u[at], v[at])):
             if shard not in self.pairs:
                 self.pairs[shard] = self._mapped(f"pairs-{shard}", layout)
             if (found := self.pairs[shard]) is None or not len(found[1]):
@@ -252,8 +289,8 @@ class Shards:
 class Model:
     """Where the arrays are, and the sums over all of them."""
 
-    def __init__(self, root: str, shards: int, sums: dict[str, int]):
-        self.root, self.shards, self.sums = root, shards, sums
+    def __init__(self, root: str, deal: Deal, sums: dict[str, int]):
+        self.root, self.deal, self.sums = root, deal, sums
         self.pair_discounts = _discounts([sums[f"p{k}"] for k in (1, 2, 3, 4)])
         self.word_discounts = _discounts([sums[f"w{k}"] for k in (1, 2, 3, 4)])
         self.kinds = sums["words"] + (1 if sums["texts"] else 0)  # distinct tokens, the end included
@@ -264,19 +301,20 @@ def train(docs: DataFrame) -> Model:
     """Count the bigrams of all texts and write the model's arrays to the shared folder.
 
     Every map task sums its own bigrams before anything moves; blocks of sorted arrays are then gathered by shard. A shard
-    holds the words whose hash falls into it and the bigrams they begin, so what follows a
-    word is summed where it lies, and a frequent first word brings one entry for each different
-    follower, however often it occurs. Shards grow in number with the text, not in size. What
-    stands before a word is counted in a second, smaller exchange. Nothing is pruned; the driver gets one row of sums.
+    holds the bigrams whose first word's hash falls into it; those of a frequent first word are spread over all shards by the
+    pair's hash, so no shard fills up with one word's followers. What a shard knows of a word, the tokens and kinds
+    after it and the kinds before it, adds up over shards in a second, smaller exchange. Nothing is pruned; the driver
+    gets the frequent words of a bounded sample and one row of sums.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    shards = blocks_for(size, SHARD_BYTES)
+    shards = blocks_for(size, min(max(SHARD_BYTES, size // SHARDS), LARGEST_SHARD_BYTES))
+    deal = Deal(shards, _hot_words(texts, size, shards) if shards > 1 else np.zeros(0, np.uint64))
     root = folder(spark, "bigrams")
-    sums = _word_shards(_pair_shards(_counted(texts, shards), shards, root), root)
+    sums = _word_shards(_pair_shards(_counted(texts, deal), shards, root), root)
     found = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS]).first().asDict()
-    return Model(root, shards, found)
+    return Model(root, deal, found)
 
 
 def _scored(model: Model, shards: Shards, texts: list[bytes]) -> list[tuple[int, int, float, float]]:
@@ -318,7 +356,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     spark_type = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def score(batches: Iterator) -> Iterator:
-        shards = Shards(model.root, model.shards)
+        shards = Shards(model.root, model.deal)
         for batch in batches:
             texts = [t or b"" for t in batch.column("text_bytes").to_pylist()]
             found, run, size = [], [], 0

@@ -103,3 +103,22 @@ def test_no_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = lm.scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_a_frequent_first_word_fills_no_shard(spark, monkeypatch):
+    """One word before 200,000 different ones: its bigrams are spread, and the scores stay what dictionaries say."""
+    import numpy as np
+
+    monkeypatch.setattr(lm, "SHARD_BYTES", 200_000)
+    docs = [(i, " ".join(f"the w{i}x{j}" for j in range(1000))) for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    model = lm.train(frame)
+    path = model.root.removeprefix("file:")
+    sizes = [int(np.fromfile(f"{path}/pairs-{k}", "<i8", 1)[0]) for k in range(model.deal.shards)]
+    assert len(sizes) > 5 and sum(sizes) > 400_000 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    some = frame.where("doc_id < 20")
+    spread = {r.doc_id: r.score for r in lm.scored(some, model, ["doc_id"]).collect()}
+    monkeypatch.setattr(lm, "SHARD_BYTES", 1 << 30)
+    whole = lm.train(frame)
+    assert whole.deal.shards == 1 and whole.sums == model.sums
+    assert spread == pytest.approx({r.doc_id: r.score for r in lm.scored(some, whole, ["doc_id"]).collect()})
