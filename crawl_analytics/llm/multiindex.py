@@ -24,6 +24,7 @@ MOST_QUERIES = 8192
 MOST_VISITS = 512  # at first; more if they miss the recall
 VISIT_ENTRIES = 1 << 23  # candidate cells of the vectors that are ranked at once
 BLOCK = 2048  # vectors on either side of one comparison
+GRID_ROWS = 256  # a length with no more different vectors has no grid: they are compared in one cell
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -75,16 +76,10 @@ def _vectors(column: pa.Array, size: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-def comparable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """Rows that can have links, and the vectors' length: the most common one.
-
-    label and embedding not NULL, no NULL or non-finite component, not all zero, of that length.
-    """
+def comparable(vectors: DataFrame) -> DataFrame:
+    """Rows that can have links: label and embedding not NULL, no NULL or non-finite component, not all zero."""
     finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(x))
-    usable = vectors.where("label is not null and embedding is not null").where(finite).where(F.exists("embedding", lambda x: x != 0))
-    sizes = usable.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size = sizes["size"] if sizes else 0
-    return usable.where(F.size("embedding") == size), size
+    return vectors.where("label is not null and embedding is not null").where(finite).where(F.exists("embedding", lambda x: x != 0))
 
 
 def _trained(classes: DataFrame, size: int, rows: int, labels: int) -> Grid:
@@ -189,7 +184,7 @@ def _placed(classes: DataFrame, grid: Grid, size: int, visits: int) -> DataFrame
     return classes.mapInArrow(place, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", home long, visits array<long>")
 
 
-def _compared(groups: DataFrame, size: int, threshold: float) -> DataFrame:
+def _compared(groups: DataFrame, threshold: float) -> DataFrame:
     """(id, links, root) of the vectors of a block pair that have links: how many, with copies, and a member of their component.
 
     Every link is counted in one place only: where its larger end visits the home of its smaller end, or, if it does
@@ -200,11 +195,11 @@ def _compared(groups: DataFrame, size: int, threshold: float) -> DataFrame:
         rows = rows.combine_chunks()
         role = rows.column("role").to_numpy()
         ids, copies, homes = (rows.column(c).to_numpy() for c in ("id", "copies", "home"))
-        unit = _unit(_vectors(rows.column("embedding").chunk(0) if rows.num_rows else pa.array([], pa.list_(pa.float32())), size))
         at, to = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         empty = pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         if not len(at) or not len(to):
             return empty
+        unit = _unit(_vectors(rows.column("embedding").chunk(0), rows.column("size")[0].as_py()))
         near = unit[at] @ unit[to].T >= threshold
         near &= ids[at][:, None] != ids[to][None, :]
         if not near.any():
@@ -230,7 +225,22 @@ def _compared(groups: DataFrame, size: int, threshold: float) -> DataFrame:
         some = links > 0
         return pa.table({"id": pa.array(ids[some]), "links": pa.array(links[some]), "root": pa.array(root[some])})
 
-    return groups.groupBy("label", "cell", "home_part", "visit_part").applyInArrow(compare, "id long, links long, root long")
+    return groups.groupBy("label", "size", "cell", "home_part", "visit_part").applyInArrow(compare, "id long, links long, root long")
+
+
+def _placed_by_length(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """The classes with their home cell and visits: a grid for every length with enough vectors, one cell for the others."""
+    counts = classes.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels"))
+    frequent = counts.where((F.col("n") > GRID_ROWS) & (F.col("size") > 1)).orderBy("size").collect()  # each has many rows
+    one = F.lit(0).cast("long")
+    rest = classes.where(~F.col("size").isin([r["size"] for r in frequent])) if frequent else classes
+    placed = rest.withColumns({"home": one, "visits": F.array(one)})
+    for r in frequent:
+        own = classes.where(F.col("size") == r["size"])
+        grid = _trained(own, r["size"], r["n"], r["labels"])
+        visits = _visits_for(own, grid, r["size"], r["n"], threshold, recall)
+        placed = placed.unionByName(_placed(own, grid, r["size"], visits))
+    return stored(placed, "vector-cells")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -241,38 +251,37 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     multi-sequence order; how many is measured against brute force until the target recall is reached. Only
     vectors that meet in a cell of their label are compared, in double precision. Cells with more vectors than a block are cut
     into pairs of blocks, so a crowded cell is many tasks; a task returns one row per vector, never
-    its pairs. Vectors that cannot be compared (see ``comparable``) have no links. Repeated rows are copies; a NULL
-    vec_id counts as larger than all others; other columns are ignored; an empty table gives an empty result.
+    its pairs. Vectors of different lengths have no links with each other: every length has a grid of its own, or, with few
+    vectors, a single cell. Vectors of one component link by sign. Vectors that cannot be compared (see ``comparable``) have no
+    links. Repeated rows are copies; a NULL vec_id counts as larger than all others; other columns are ignored; an empty
+    table gives an empty result.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
-    usable, size = comparable(rows)
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    # all one-component vectors of a sign point the same way: one class
+    sign = F.transform("embedding", F.signum).cast(kind)
+    usable = comparable(rows).withColumn("embedding", F.when(F.size("embedding") == 1, sign).otherwise(F.col("embedding")))
     known = usable.groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("low"))
-    classes = stored(known.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
-    n, labels = classes.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
-    if not n or size < 2:
-        lone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-        if size < 2 and n:
-            raise ValueError("embeddings need two components at least")
-        return lone
-    grid = _trained(classes, size, n, labels)
-    visits = _visits_for(classes, grid, size, n, threshold, recall)
-    placed = stored(_placed(classes, grid, size, visits), "vector-cells")
-    homes = placed.groupBy("label", F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("h"))
-    guests = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count(F.lit(1)).alias("v"))
-    crowded = homes.join(guests, ["label", "cell"]).where((F.col("h") > BLOCK) | (F.col("v") > BLOCK))
-    crowded = stored(crowded.select("label", "cell", F.ceil(F.col("h") / BLOCK).alias("h_parts"), F.ceil(F.col("v") / BLOCK).alias("v_parts")), "crowded-cells")
+    numbered = known.withColumns({"id": F.monotonically_increasing_id(), "size": F.size("embedding")})
+    classes = stored(numbered, "vector-classes")
+    placed = _placed_by_length(classes, threshold, recall)
+    cell = ["label", "size", "cell"]
+    homes = placed.groupBy("label", "size", F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("h"))
+    guests = placed.select("label", "size", F.explode("visits").alias("cell")).groupBy(*cell).agg(F.count(F.lit(1)).alias("v"))
+    crowded = homes.join(guests, cell).where((F.col("h") > BLOCK) | (F.col("v") > BLOCK))
+    crowded = stored(crowded.select(*cell, F.ceil(F.col("h") / BLOCK).alias("h_parts"), F.ceil(F.col("v") / BLOCK).alias("v_parts")), "crowded-cells")
     crowded = F.broadcast(crowded) if is_small(crowded) else crowded
-    columns = ["id", "label", "copies", "home", "embedding"]
+    columns = ["id", "label", "size", "copies", "home", "embedding"]
     own = placed.select(*columns, "visits", F.col("home").alias("cell"), F.lit(0).alias("role"))
     guest = placed.select(*columns, F.lit(None).cast("array<bigint>").alias("visits"), F.explode("visits").alias("cell"), F.lit(1).alias("role"))
-    both = own.unionByName(guest.select(*own.columns)).join(crowded, ["label", "cell"], "left")
+    both = own.unionByName(guest.select(*own.columns)).join(crowded, cell, "left")
     h_parts, v_parts = F.coalesce("h_parts", F.lit(1)), F.coalesce("v_parts", F.lit(1))
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("role") == 0, h_parts).otherwise(v_parts))
     against = F.sequence(F.lit(0).cast("long"), F.when(F.col("role") == 0, v_parts).otherwise(h_parts) - 1)
     both = both.withColumn("mine", mine).withColumn("against", F.explode(against))
     both = both.withColumn("home_part", F.when(F.col("role") == 0, F.col("mine")).otherwise(F.col("against")))
     both = both.withColumn("visit_part", F.when(F.col("role") == 0, F.col("against")).otherwise(F.col("mine")))
-    found = stored(_compared(both.drop("mine", "against", "h_parts", "v_parts"), size, threshold), "vector-links")
+    found = stored(_compared(both.drop("mine", "against", "h_parts", "v_parts"), threshold), "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     member = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     described = placed.select("id", "label", "embedding", "copies", "low").join(links, "id", "left").join(member, "id", "left")
@@ -280,7 +289,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     least = described.groupBy("root").agg(F.min("low").alias("component_id"))
     described = described.join(least, "root").select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     described = described.select(F.col("label").alias("l"), F.col("embedding").alias("e"), "n_links", "component_id", F.lit(True).alias("linked"))
-    out = rows.join(described, (rows["label"] == described["l"]) & (rows["embedding"] == described["e"]), "left")
+    asked = rows.withColumn("direction", F.when(F.size("embedding") == 1, sign).otherwise(F.col("embedding")))
+    out = asked.join(described, (asked["label"] == described["l"]) & (asked["direction"] == described["e"]), "left")
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn(
         "kept", F.col("vec_id").eqNullSafe(F.col("component_id"))

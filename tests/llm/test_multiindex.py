@@ -14,7 +14,7 @@ def brute(rows):
             continue
         v = np.array(v, dtype=np.float32).astype(np.float64)
         if np.isfinite(v).all() and v.any():
-            usable.append((i, label, v / np.sqrt((v * v).sum())))
+            usable.append((i, (label, len(v)), v / np.sqrt((v * v).sum())))
     root = list(range(len(rows)))
 
     def find(x):
@@ -91,6 +91,32 @@ def test_odd_vectors(spark):
     assert multiindex.near_duplicates(frame.where("label is null")).collect()[0].n_links == 0
 
 
+@pytest.mark.parametrize("grid_rows", [20, 256])
+def test_several_lengths_in_one_label(spark, monkeypatch, grid_rows):
+    """Every length has its links: frequent ones through a grid, rare ones in a cell, single components by their sign."""
+    monkeypatch.setattr(multiindex, "GRID_ROWS", grid_rows)
+    random, rows = np.random.default_rng(8), []
+    for size, n in ((1, 40), (2, 60), (3, 30), (8, 90), (16, 5), (17, 2)):
+        vectors = random.normal(size=(n, size))
+        vectors[: n // 2] = vectors[n - n // 2 :] + 0.05 * random.normal(size=(n // 2, size))
+        rows += [(len(rows) + i, int(i % 5 == 0), [float(np.float32(x)) for x in v]) for i, v in enumerate(vectors)]
+    rows += [(1000 + i, 1, [1.0, 2.0, 4.0]) for i in range(3)]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in multiindex.near_duplicates(frame, recall=1.0).collect())
+    want = sorted(brute(rows))
+    if grid_rows == 256:
+        assert got == want
+    same = sum(a == b for a, b in zip(got, want, strict=True))
+    assert same >= 0.95 * len(rows) and [g for g in got if g[0] < 40] == [w for w in want if w[0] < 40]
+
+
+def test_one_component_only(spark):
+    rows = [(i, 1, [float(x)]) for i, x in enumerate([1, 2, -3, -0.5, 0, 7e-30])]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in multiindex.near_duplicates(frame).collect())
+    assert got == [(0, 2, 0), (1, 2, 0), (2, 1, 2), (3, 1, 2), (4, 0, 4), (5, 2, 0)]
+
+
 def test_visits_are_the_nearest_cells():
     random = np.random.default_rng(0)
     grid = multiindex.Grid(random.normal(size=(7, 3)), random.normal(size=(5, 3)))
