@@ -206,9 +206,14 @@ def languages(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p")["lang"].alias("lang_pred"), F.col("p")["score"].alias("score"))
 
 
-def identified(docs: DataFrame, least: float) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more."""
+def identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more; texts without a letter go.
+
+    Where no row has a language to learn from, nothing can be told apart and every text with a letter stays.
+    """
     model = fit(docs.where(~held_out("doc_id", *HELD_OUT)))
+    if model is None:
+        return docs.where(F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)))
     found = unused(docs, "predicted_language")
     marked = docs.withColumn(found, predicted(model))
     return marked.where((F.col(found)["lang"] != UNKNOWN) & (F.col(found)["score"] >= least)).drop(found)

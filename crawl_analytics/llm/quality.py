@@ -8,14 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import share, small_batches, unused
+from ..operators.joins import is_small
+from .common import share, small_batches, stored, unused
 
 TEXT_BUCKETS = 1 << 11
 LONGEST_GRAM = 3
 PAGE_BUCKETS = 160
 LABELLED_ROWS = 1500  # of each quality, about
-POOL_ROWS = 1500  # without a label, about
 ROUNDS = 4
 GROWTH = 150  # pseudo-labels of each quality that a view may hand over in a round
 SURE = 0.97
@@ -94,7 +95,7 @@ class Model:
 
 
 def _packed_views(rows: DataFrame, label: str) -> list:
-    """Feature vectors of a bounded sample of documents, made on the executors."""
+    """(pick, label, text, page): feature vectors of a bounded number of documents, one row per id, made on the executors."""
 
     def featured(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -110,11 +111,52 @@ def _packed_views(rows: DataFrame, label: str) -> list:
                 names=["pick", "label", "text", "page"],
             )
 
-    columns = ["pick", F.col(label).cast("double").alias("label"), "text", "source", "lang", "n_chars"]
-    found = rows.select(*columns).mapInArrow(featured, "pick double, label double, text binary, page binary")
+    # rows that repeat an id are one document, the smallest: combined on the map side
+    one = rows.groupBy("doc_id", F.col(label).cast("double").alias("label")).agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("d"))
+    columns = [share("doc_id", seed=6).alias("pick"), "label", "d.text", "d.source", "d.lang", "d.n_chars"]
+    found = one.select(*columns).mapInArrow(featured, "pick double, label double, text binary, page binary")
     return found.orderBy("pick", "label", "text").collect()
 
 
+def _matrices(found: list) -> list[np.ndarray]:
+    sizes = (TEXT_BUCKETS, PAGE_BUCKETS)
+    return [np.array([np.frombuffer(bytes(r[c]), "<f2") for r in found], np.float64).reshape(-1, n) for c, n in zip(("text", "page"), sizes, strict=True)]
+
+
+def _handed_over(free: DataFrame, views: list[tuple], taken: list[set[int]], growth: int) -> list:
+    """(view, quality, doc_id): the unlabelled documents each view is surest of, ``growth`` of each quality, for the other view.
+
+    Every unlabelled document is scored by both views; a task keeps its own first, a window over those takes the
+    first of all. ``taken`` holds what each view has been handed before. Ties go to the smaller id.
+    """
+    gone = [np.array(sorted(t), dtype=np.int64) for t in taken]
+
+    def surest(batches: Iterator) -> Iterator:
+        best: dict[tuple[int, int], list] = {(v, q): [] for v in (0, 1) for q in (0, 1)}
+        for batch in batches:
+            cells = [batch.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")]
+            ids = batch.column("doc_id").to_numpy()
+            features = _views(*cells)
+            for view, (w, b, slope, offset) in enumerate(views):
+                sure = _sigmoid(slope * (features[view].astype(np.float16).astype(np.float64) @ w + b) + offset)
+                free_ = ~np.isin(ids, gone[1 - view])
+                for quality, trust in ((1, sure), (0, 1 - sure)):
+                    at = np.flatnonzero(free_ & (trust >= SURE))
+                    held = dict(best[view, quality])  # one entry per id
+                    for i, t in zip(ids[at].tolist(), trust[at].tolist(), strict=True):
+                        held[i] = max(t, held.get(i, 0.0))
+                    best[view, quality] = sorted(held.items(), key=lambda e: (-e[1], e[0]))[:growth]
+        rows = [(v, q, i, t) for (v, q), mine in best.items() for i, t in mine]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["view", "quality", "doc_id", "trust"])
+
+    found = free.mapInArrow(surest, "view long, quality long, doc_id long, trust double")
+    found = found.groupBy("view", "quality", "doc_id").agg(F.max("trust").alias("trust"))
+    place = F.row_number().over(W.partitionBy("view", "quality").orderBy(F.desc("trust"), "doc_id"))
+    first = found.withColumn("place", place).where(F.col("place") <= growth)
+    return sorted((r["view"], r["quality"], r["doc_id"]) for r in first.collect())
+
+
 def _clean(docs: DataFrame) -> DataFrame:
     casts = {"doc_id": "long", "text": "string", "source": "string", "lang": "string", "n_chars": "long"}
     return docs.select(*[F.col(c).cast(t).alias(c) for c, t in casts.items()])
@@ -123,10 +165,11 @@ def _clean(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model | None:
     """Co-training (doc_id, quality) labels over the two views; None unless both qualities occur.
 
-    Both views learn from a bounded sample of the labelled documents of each quality. In every round each
-    view hands the pool documents it is most sure of, a few of each quality, to the other one's training set.
+    Both views learn from a bounded sample of the labelled documents of each quality. In every round both views score all
+    unlabelled documents in Spark, and each hands those it is most sure of, a few of each quality, to the other one's training set.
     At the end a quarter of the labelled sample, never trained on, calibrates each view to log odds.
-    Samples are chosen by hashes of the id, their sizes are parameters; the driver gets feature vectors, never texts.
+    The sample is chosen by a hash of the id, its size is a parameter; the driver gets feature vectors of the sample and of what is
+    handed over, never texts. Rows without a doc_id are scored at the end, but not handed over.
     """
     small_batches(docs.sparkSession)
     docs = _clean(docs)
@@ -138,37 +181,36 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model | Non
     pick = share("doc_id", seed=5)
     rate = F.when(F.col("quality") == 1, F.lit(min(1.0, LABELLED_ROWS / counts[1]))).otherwise(F.lit(min(1.0, LABELLED_ROWS / counts[0])))
     seeds = F.broadcast(known.where(pick < rate))  # about 2 * LABELLED_ROWS rows
-    rows = _packed_views(docs.join(seeds, "doc_id").withColumn("pick", share("doc_id", seed=6)), "quality")
-    total = docs.count()
-    near = share("doc_id", seed=7) < F.lit(min(1.0, POOL_ROWS / max(1, total)))
-    pool = docs.where("doc_id is not null").where(near).join(known.where(near), "doc_id", "left_anti")
-    loose = _packed_views(pool.withColumn("pick", share("doc_id", seed=6)).withColumn("none", F.lit(None).cast("double")), "none")
-
-    def matrices(found: list) -> list[np.ndarray]:
-        sizes = (TEXT_BUCKETS, PAGE_BUCKETS)
-        return [np.array([np.frombuffer(bytes(r[c]), "<f2") for r in found], np.float64).reshape(-1, n) for c, n in zip(("text", "page"), sizes, strict=True)]
-
+    rows = _packed_views(docs.join(seeds, "doc_id"), "quality")
     y = np.array([r["label"] for r in rows])
     held = np.array([r["pick"] < 0.25 for r in rows], dtype=bool)
     if len(set(y[~held].tolist())) < 2:
         return None
-    whole, free = matrices(rows), matrices(loose)
+    whole = _matrices(rows)
     own_x = [x[~held] for x in whole]
     own_y = [y[~held], y[~held]]
-    left = [np.ones(len(loose), bool), np.ones(len(loose), bool)]
+    ids = known.select("doc_id")
+    numbered = docs.where("doc_id is not null")
+    # with few labels no text moves; with many the unlabelled texts are written once
+    free = numbered.join(F.broadcast(ids), "doc_id", "left_anti") if is_small(ids) else stored(numbered.join(ids, "doc_id", "left_anti"), "unlabelled")
+    taken: list[set[int]] = [set(), set()]
     fitted = [_logistic(x, t) for x, t in zip(own_x, own_y, strict=True)]
-    for _ in range(rounds if len(loose) else 0):
+    for _ in range(rounds):
+        views = []
+        for x, (w, b) in zip(whole, fitted, strict=True):
+            views.append((w, b, *(_calibrated(x[held] @ w + b, y[held]) if held.any() else (1.0, 0.0))))
+        handed = _handed_over(free, views, taken, GROWTH)
+        if not handed:
+            break
+        # the label column carries view and quality, so that one job fetches all
+        wanted = docs.sparkSession.createDataFrame([(i, float(2 * v + q)) for v, q, i in handed], "doc_id long, kind double")
+        new = _packed_views(free.join(F.broadcast(wanted), "doc_id"), "kind")
+        kinds, features = np.array([int(r["label"]) for r in new]), _matrices(new)
         for view in (0, 1):
-            w, b = fitted[view]
-            slope, offset = _calibrated(whole[view][held] @ w + b, y[held]) if held.any() else (1.0, 0.0)
-            sure = _sigmoid(slope * (free[view] @ w + b) + offset)
-            other = 1 - view
-            for target, trust in ((1.0, sure), (0.0, 1 - sure)):
-                best = np.flatnonzero(left[other] & (trust >= SURE))
-                best = best[np.argsort(-trust[best], kind="stable")][:GROWTH]
-                own_x[other] = np.concatenate([own_x[other], free[other][best]])
-                own_y[other] = np.concatenate([own_y[other], np.full(len(best), target)])
-                left[other][best] = False
+            mine = kinds // 2 == view
+            own_x[1 - view] = np.concatenate([own_x[1 - view], features[1 - view][mine]])
+            own_y[1 - view] = np.concatenate([own_y[1 - view], (kinds[mine] % 2).astype(np.float64)])
+            taken[1 - view] |= {i for v, _, i in handed if v == view}
         fitted = [_logistic(x, t) for x, t in zip(own_x, own_y, strict=True)]
     views = []
     for x, (w, b) in zip(whole, fitted, strict=True):

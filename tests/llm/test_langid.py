@@ -58,3 +58,8 @@ def test_odd_documents(spark):
     assert {r.lang_pred for r in langid.languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = langid.identified(docs, 0.0)
     assert kept.columns == docs.columns and kept.where("text is null").count() == 0
+
+
+def test_without_languages_texts_with_letters_stay(spark):
+    docs = spark.createDataFrame([(1, "a", None), (2, "12 !", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.identified(docs).collect()) == [1, 4]

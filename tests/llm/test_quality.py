@@ -33,3 +33,24 @@ def test_odd_documents(spark):
     assert quality.qualities(no_documents(spark), labels).count() == 0
     rows = quality.qualities(docs, labels.where("quality = 1")).collect()
     assert {r.score for r in rows} == {0.5} and all(r.kept for r in rows)
+
+
+def test_one_round_of_the_exchange(spark, sf):
+    """What each view hands over is what scoring all unlabelled documents one by one says."""
+    import numpy as np
+
+    docs = quality._clean(spark.read.parquet(f"{sf}/documents.parquet")).unionByName(quality._clean(spark.read.parquet(f"{sf}/documents.parquet")).where("doc_id < 9"))
+    random = np.random.default_rng(3)
+    views = [(random.normal(size=n) * 3, 0.1, 1.5, -0.2) for n in (quality.TEXT_BUCKETS, quality.PAGE_BUCKETS)]
+    taken = [{1, 2, 3}, {4, 5}]
+    want = []
+    for view, (w, b, slope, offset) in enumerate(views):
+        trusts = {}
+        for r in docs.collect():
+            features = quality._views([r.text], [r.source], [r.lang], [r.n_chars])[view].astype(np.float16).astype(float)
+            trusts[r.doc_id] = float(quality._sigmoid(slope * (features @ w + b) + offset)[0])
+        for good in (1, 0):
+            sure = [(-(t if good else 1 - t), i) for i, t in trusts.items() if (t if good else 1 - t) >= quality.SURE and i not in taken[1 - view]]
+            want += [(view, good, i) for _, i in sorted(sure)[:7]]
+    assert len(want) > 10
+    assert quality._handed_over(docs.repartition(5), views, taken, 7) == sorted(want)
