@@ -8,12 +8,10 @@ from crawl_analytics.llm import langid, minhash, mixing, packing, quality
 from crawl_analytics.llm.common import stored, table
 from crawl_analytics.session import use_utc
 
-LEAST_LANGUAGE_SCORE = 0.505  # the first language leads the second by a hundredth at least
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the string kernel tells; texts without a letter or without a leading language go."""
-    return langid.identified(docs, LEAST_LANGUAGE_SCORE)
+    """Documents whose language the string kernel tells; texts without a letter go."""
+    return langid.identified(docs)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
