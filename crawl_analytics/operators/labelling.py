@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsontext, urls
+from ..session import new_run_dir
+from ..sources.lake import materialize
+from .automaton import literals_in
 from .joins import LOOKUP_CHARS, LOOKUP_ROWS, salted_join
 from .rules import request_type
 
 TRIPLE = ["url", "frame_url", "resource_type"]
-MOST_GRAMS = 200  # three-character keys that are looked for one by one; beyond that a URL's own are listed
+TEXT_CHARS = 500_000  # characters of literals that one automaton holds
+ANY_RULES = 64  # rules without any key that a URL meets under one block number
 
 
 def _prefixed(prefix: str, values: Column) -> Column:
@@ -22,8 +26,8 @@ def _source() -> Column:
     return urls.host(F.when(F.coalesce("frame_url", F.lit("")) == "", F.col("url")).otherwise(F.col("frame_url")))
 
 
-def _url_keys(kinds: set[str], grams: list[str] | None) -> Column:
-    """All index keys a URL has, limited to the kinds that occur in the rules; of the three-character keys to ``grams``."""
+def _url_keys(kinds: set[str], any_blocks: int) -> Column:
+    """The index keys a URL has besides pieces of text, limited to the kinds that occur in the rules."""
     found = []
     if "host" in kinds:
         found.append(urls.host_suffixes(urls.host(F.col("url"))))
@@ -31,18 +35,33 @@ def _url_keys(kinds: set[str], grams: list[str] | None) -> Column:
         found.append(F.regexp_extract_all("low", F.lit("[a-z0-9%]{2,}"), F.lit(0)))
     if "source" in kinds:
         found.append(_prefixed("s:", urls.host_suffixes(_source())))
-    if "chars" in kinds:
-        if grams is None:
-            # every run of three characters: whole runs from each of three offsets
-            found += [
-                _prefixed("g:", F.regexp_extract_all(F.expr(f"substring(low, {i})"), F.lit("(?s).{3}"), F.lit(0))) for i in (1, 2, 3)
-            ]
-        else:
-            known = F.array(*[F.lit(g) for g in grams])
-            found.append(F.filter(known, lambda g: F.contains(F.col("low"), F.substr(g, F.lit(3)))))
+    if "type" in kinds:
+        found.append(F.array(F.concat(F.lit("t:"), request_type(F.col("resource_type")))))
+    if "any" in kinds:
+        found.append(F.array(*[F.lit(f"u:{i}") for i in range(any_blocks)]))
     return F.array_distinct(F.concat(*found)) if found else F.array().cast("array<string>")
 
 
+def _keyed(known: DataFrame, rules: DataFrame, kinds: set[str], any_blocks: int, text_chars: int) -> DataFrame:
+    """``known`` with a row per index key. Pieces of text are searched by automata, one pass over the URLs for each.
+
+    A part of the literals, dealt by a hash of their first characters, makes one automaton, so what the driver and a worker
+    hold is bounded by ``TEXT_CHARS``, not by the lists.
+    """
+    parts = -(-text_chars // TEXT_CHARS) if "text" in kinds else 0
+    literals = rules.filter("key_kind = 'text'").select(F.substr(F.col("keys")[0], F.lit(3)).alias("literal")).distinct()
+    part = F.pmod(F.xxhash64(F.substring("literal", 1, 2)), F.lit(max(1, parts)))
+    own = _url_keys(kinds, any_blocks)
+    if parts == 1:  # the usual case: all keys in one pass
+        own = F.array_distinct(F.concat(own, literals_in(F.col("low"), [r["literal"] for r in literals.collect()], "g:")))
+    # explode_outer: an inner explode would evaluate the keys twice, once for a test of its own
+    keyed = known.withColumn("key", F.explode_outer(own))
+    for i in range(parts if parts > 1 else 0):
+        mine = [r["literal"] for r in literals.where(part == i).collect()]
+        keyed = keyed.unionByName(known.withColumn("key", F.explode_outer(literals_in(F.col("low"), mine, "g:"))))
+    return keyed
+
+
 def _rule_matches() -> Column:
     """Options and pattern of a rule against a request that shares an index key with it."""
     kind = request_type(F.col("resource_type"))
@@ -75,19 +94,19 @@ def blocking_lists(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """
     own_chars = F.length("raw") + F.length(F.coalesce("regex", F.lit(""))) + F.length(F.array_join(F.coalesce("domains_in", F.array().cast("array<string>")), ","))
     sizes = rules.groupBy("key_kind").agg(
-        F.sum(F.size("keys")).alias("n"),
-        F.sum(own_chars).alias("chars"),
-        F.slice(F.collect_set(F.when(F.col("key_kind") == "chars", F.col("keys")[0])), 1, MOST_GRAMS + 1).alias("grams"),
+        F.sum(F.size("keys")).alias("n"), F.sum(own_chars).alias("chars"), F.sum(F.length(F.col("keys")[0])).alias("key_chars")
     )
-    measured = {r["key_kind"]: r for r in sizes.collect()}  # one row per kind of key, five at most
+    measured = {r["key_kind"]: r for r in sizes.collect()}  # one row per kind of key, six at most
     small = sum(r["n"] for r in measured.values()) <= LOOKUP_ROWS and sum(r["chars"] for r in measured.values()) <= LOOKUP_CHARS
-    grams = sorted(measured["chars"]["grams"]) if "chars" in measured else []
+    any_blocks = -(-measured["any"]["n"] // ANY_RULES) if "any" in measured else 0
     known = requests.filter(F.col("url").isNotNull() & (F.col("url") != "")).select(*TRIPLE).distinct()
-    known = known.withColumn("low", F.lower("url"))
-    # explode_outer: an inner explode would evaluate the keys twice, once for a test of its own
-    keyed = known.withColumn("key", F.explode_outer(_url_keys(set(measured), grams if len(grams) <= MOST_GRAMS else None)))
-    # keys and rules are two tables, so that a rule with many keys stands once
-    index = rules.filter("key_kind <> 'any'").select("rule_id", F.explode("keys").alias("key"))
+    # narrow and read several times: stored once
+    known = materialize(known.withColumn("low", F.lower("url")), new_run_dir(requests.sparkSession, "request-triples"))
+    keyed = _keyed(known, rules, set(measured), any_blocks, measured["text"]["key_chars"] if "text" in measured else 0)
+    # keys and rules are two tables, so that a rule with many keys stands once; rules for any URL are dealt to numbered blocks
+    block = F.concat(F.lit("u:"), F.pmod("rule_id", F.lit(max(1, any_blocks))).cast("string"))
+    keys = F.when(F.col("key_kind") == "any", F.array(block)).otherwise(F.col("keys"))
+    index = rules.select("rule_id", F.explode(keys).alias("key"))
     bodies = rules.drop("keys", "key_kind")
     if small:
         pairs = keyed.join(F.broadcast(index), "key").join(F.broadcast(bodies), "rule_id")
@@ -95,12 +114,6 @@ def blocking_lists(requests: DataFrame, rules: DataFrame) -> DataFrame:
         pairs = salted_join(keyed, index, ["key"], "inner", spread=TRIPLE)
         pairs = salted_join(pairs, bodies, ["rule_id"], "inner", spread=TRIPLE)
     pairs = pairs.drop("key")
-    if "any" in measured:
-        # rules without any key meet every URL where it is
-        every = rules.filter("key_kind = 'any'").drop("keys", "key_kind").withColumn("one", F.lit(1))
-        few = measured["any"]["n"] <= LOOKUP_ROWS and measured["any"]["chars"] <= LOOKUP_CHARS
-        tested = known.withColumn("one", F.lit(1)).join(F.broadcast(every) if few else every, "one").drop("one")
-        pairs = pairs.unionByName(tested)
     hits = pairs.filter(_rule_matches())
     per_list = hits.groupBy(*TRIPLE, "list_ord", "list_name").agg(
         F.bool_or(~F.col("is_exception")).alias("hit"),

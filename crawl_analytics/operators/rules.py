@@ -125,8 +125,8 @@ def parse_rules(lines: DataFrame) -> DataFrame:
     """Rule table of (list_ord, list_name, line): comments, element rules and unusable rules drop out.
 
     Every rule gets index keys, at least one of which each matching URL has too: its
-    full host, its rarest whole word among all rules, source domains (``s:``), three
-    characters (``g:``) or ``*`` for anything; ``key_kind`` says which. A rule for several source
+    full host, its rarest whole word among all rules, source domains (``s:``), its longest piece of text without a wildcard
+    (``g:``), request types (``t:``) or ``*`` for anything; ``key_kind`` says which. A rule for several source
     domains has a key for each in ``keys``; the rule itself stands once, under ``rule_id``. Patterns without wildcards are kept as
     plain text with their anchors, others as a regular expression.
     """
@@ -201,14 +201,16 @@ def parse_rules(lines: DataFrame) -> DataFrame:
         F.when(F.col("host") != "", F.lit("host"))
         .when(F.col("word").isNotNull(), F.lit("word"))
         .when(F.col("domains_in").isNotNull(), F.lit("source"))
-        .when(F.length("literal") >= 3, F.lit("chars"))
+        .when(F.length("literal") > 0, F.lit("text"))
+        .when(F.col("types_in").isNotNull(), F.lit("type"))
         .otherwise(F.lit("any"))
     )
     keys = (
         F.when(F.col("key_kind") == "host", F.array("host"))
         .when(F.col("key_kind") == "word", F.array("word"))
         .when(F.col("key_kind") == "source", F.array_distinct(F.transform("domains_in", lambda d: F.concat(F.lit("s:"), d))))
-        .when(F.col("key_kind") == "chars", F.array(F.concat(F.lit("g:"), F.substring("literal", 1, 3))))
+        .when(F.col("key_kind") == "text", F.array(F.concat(F.lit("g:"), F.col("literal"))))
+        .when(F.col("key_kind") == "type", F.transform("types_in", lambda t: F.concat(F.lit("t:"), t)))
         .otherwise(F.array(F.lit("*")))
     )
     ready = keyed.withColumn("key_kind", kind)

@@ -154,10 +154,25 @@ def test_random_rules_equal_a_plain_loop(spark, monkeypatch):
     assert label(spark, lists, requests) == expected
     # the same through the way for rule tables that are too large to broadcast
     monkeypatch.setattr(labelling, "LOOKUP_ROWS", 0)
+    monkeypatch.setattr(labelling, "TEXT_CHARS", 5)  # several automata
+    monkeypatch.setattr(labelling, "ANY_RULES", 1)
     monkeypatch.setattr(labelling, "salted_join", lambda *a, **k: salted_join(*a, **{**k, "min_rows": 5}))
     assert label(spark, lists, requests) == expected
 
 
+def test_rules_without_a_key_meet_no_constant(spark):
+    """Rules for any URL, for types and for pieces of text: right answers, and no join on one value for all rows."""
+    lists = {"a": ["*$websocket", "-ad", "_x*y"], "b": ["/[0-9]{3}x/", "*$third-party"]}
+    requests = [("wss://p.org/", "https://p.org/", "websocket"), ("https://p.org/-ad", "https://p.org/", "script"), ("https://q.org/a_x1y", "https://p.org/", "image"), ("https://p.org/123x", "", "other")]
+    out = label(spark, lists, requests)
+    assert [out[r] for r in requests] == ['["a"]', '["a"]', '["a", "b"]', '["b"]']
+    frame = spark.createDataFrame(requests, REQUEST)
+    rules = rules_of(spark, lists)
+    assert {r.key_kind: r["count"] for r in rules.groupBy("key_kind").count().collect()} == {"type": 1, "text": 2, "any": 2}
+    plan = label_requests(frame, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "Join Cross" not in plan
+
+
 def test_labelling_twice_changes_nothing(spark):
     frame = spark.createDataFrame([("http://t.com/", "", "script"), ("http://u.com/", "", "image")], REQUEST)
     rules = rules_of(spark, {"l": ["||t.com^"]})
