@@ -19,7 +19,7 @@ from .plans.enrichment import enriched_tables
 from .schemas import REQUESTS, conform
 from .session import new_run_dir
 from .sources import lake, lists
-from .streaming import events, jobs
+from .streaming import commits, events, jobs, sessions
 
 TITLES = {
     "chromiumnocookies_e0": "Chromium, consent refused",
@@ -642,6 +642,34 @@ def stream_event_sink(fx: Fixture) -> DataFrame:
     return out.select("experiment_id", "data_type", "n")
 
 
+@query
+def stream_kept_sessions(fx: Fixture) -> DataFrame:
+    """The session kept per seed, chosen in the stream over several micro-batches."""
+    source, out, marks = (new_run_dir(fx.spark, n) for n in ("requests", "kept", "marks"))
+    conform(_raw_requests(fx), REQUESTS).repartition(3, "request_id").write.parquet(source)
+    stream = fx.spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(source)
+    _finish(sessions.start_session_choice(stream, out, marks, delay="31 days"))
+    return sessions.read_kept_sessions(fx.spark, out)
+
+
+@query
+def stream_committed_sink(fx: Fixture) -> DataFrame:
+    """Events in committed batches, read back and counted; a batch that broke before its commit is not seen."""
+    source, root, marks = (new_run_dir(fx.spark, n) for n in ("events", "lake", "marks"))
+    fx["browser_events"].repartition(2).write.parquet(source)
+    stream = fx.spark.readStream.schema("experiment string, worker_id string, data_type string, event string")
+    _finish(commits.start_committed_sink(stream.option("maxFilesPerTrigger", 1).parquet(source), root, marks))
+    lake.write_events(events.to_requests(fx["browser_events"]), f"{root}/batch=999", "requests")
+    parts = [
+        lake.read_raw(fx.spark, root, kind, committed=True).groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n")).withColumn("data_type", F.lit(kind))
+        for kind in events.KINDS
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("experiment_id", "data_type", "n")
+
+
 @query
 def stream_requests_dedup(fx: Fixture) -> DataFrame:
     """Redelivered requests dropped in the stream."""

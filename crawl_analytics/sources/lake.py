@@ -18,6 +18,7 @@ from .footers import groups_by_schema
 
 FILE_RECORDS = 1_000_000
 UNREADABLE = "unreadable"
+COMMITS = "_commits"  # Spark does not look into folders whose names begin so
 UNREADABLE_COLUMNS = "worker_id string, kind string, event string"
 ENRICHED = {
     "labeled_requests": "requests",
@@ -54,22 +55,34 @@ def read_or_empty(spark: SparkSession, paths: list[str], ddl: str, base: str | N
     return reduce(DataFrame.unionByName, found) if found else empty(spark, ddl)
 
 
-def read_raw(spark: SparkSession, root: str, data_type: str, experiments: list[str] | None = None) -> DataFrame:
+def commit_log(spark: SparkSession, root: str) -> DataFrame:
+    """(batch) numbers of the batches that a committing sink has written whole; a listing, nothing is opened."""
+    found = frames_of(spark.read.format("binaryFile").load, [f"{root}/{COMMITS}/batch=*/done"])
+    if not found:
+        return empty(spark, "batch bigint")
+    return found[0].select(F.regexp_extract("path", "batch=([0-9]+)/done$", 1).cast("bigint").alias("batch")).distinct()
+
+
+def read_raw(spark: SparkSession, root: str, data_type: str, experiments: list[str] | None = None, committed: bool = False) -> DataFrame:
     """All raw rows of one kind; the experiment comes from the path.
 
     Collectors infer types file by file, so a time may be a number in one file and text in the next, and columns
     may be missing, all NULL or unknown. Files are grouped by their own columns and types; each group is
     read as it is and brought to the declared columns. Extra columns are kept at the end; where files
     differ in their type, as text. The glob names the partitions, so other kinds are not even listed.
+    ``committed`` reads a lake of batches (``streaming.commits``): only those in its log.
     """
     ddl = BY_DATA_TYPE[data_type]
     names = [n for n, _ in columns(ddl)]
-    wanted = [f"{root}/experiment={e}/data_type={data_type}" for e in experiments or ["*"]]
+    wanted = [f"{_batches(root, committed)}/experiment={e}/data_type={data_type}" for e in experiments or ["*"]]
     groups = groups_by_schema(spark, wanted, frames_of, skip={"experiment_id"})
+    partitions = ("batch bigint, " if committed else "") + "experiment string, data_type string"
+    log = commit_log(spark, root) if committed else None
     parts = []
     for own, paths in groups:
-        reader = spark.read.schema(", ".join([*[f"`{n}` {t}" for n, t in own.items()], "experiment string, data_type string"]))
+        reader = spark.read.schema(", ".join([*[f"`{n}` {t}" for n, t in own.items()], partitions]))
         found = frames_of(lambda path, r=reader: r.option("basePath", root).parquet(path), wanted) if len(groups) == 1 else [reader.option("basePath", root).parquet(*paths)]
+        found = [rows.join(F.broadcast(log), "batch", "left_semi").drop("batch") for rows in found] if committed else found
         parts += [conform(rows.drop("data_type").withColumnRenamed("experiment", "experiment_id"), ddl) for rows in found]
     if not parts:
         return empty(spark, ddl)
@@ -85,19 +98,30 @@ def read_raw(spark: SparkSession, root: str, data_type: str, experiments: list[s
     return rows.select(*names, *sorted(set(rows.columns) - set(names)))
 
 
-def read_unreadable(spark: SparkSession, root: str) -> DataFrame:
+def _batches(root: str, committed: bool) -> str:
+    return f"{root}/batch=*" if committed else root
+
+
+def read_unreadable(spark: SparkSession, root: str, committed: bool = False) -> DataFrame:
     """Events the sink could not read: experiment_id, worker_id, kind, event."""
-    rows = read_or_empty(spark, [f"{root}/experiment=*/data_type={UNREADABLE}"], f"{UNREADABLE_COLUMNS}, experiment string, data_type string", root)
+    ddl = f"{UNREADABLE_COLUMNS}, {'batch bigint, ' if committed else ''}experiment string, data_type string"
+    rows = read_or_empty(spark, [f"{_batches(root, committed)}/experiment=*/data_type={UNREADABLE}"], ddl, root)
+    rows = rows.join(F.broadcast(commit_log(spark, root)), "batch", "left_semi") if committed else rows
     return rows.select(F.col("experiment").alias("experiment_id"), "worker_id", "kind", "event")
 
 
-def experiments_with_rows(spark: SparkSession, root: str, data_types: list[str], experiments: list[str] | None = None) -> DataFrame:
+def experiments_with_rows(
+    spark: SparkSession, root: str, data_types: list[str], experiments: list[str] | None = None, committed: bool = False
+) -> DataFrame:
     """Ids (id) of the experiments that have files of these kinds, from the listing; no file is opened."""
-    wanted = [f"{root}/experiment={e}/data_type={kind}" for kind in data_types for e in experiments or ["*"]]
+    wanted = [f"{_batches(root, committed)}/experiment={e}/data_type={kind}" for kind in data_types for e in experiments or ["*"]]
     found = frames_of(lambda path: spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path), wanted)
     if not found:
         return empty(spark, "id string")
     paths = reduce(DataFrame.unionByName, [rows.select("path") for rows in found])
+    if committed:
+        batch = F.regexp_extract("path", "/batch=([0-9]+)/", 1).cast("bigint")
+        paths = paths.withColumn("batch", batch).join(F.broadcast(commit_log(spark, root)), "batch", "left_semi")
     ids = paths.select(F.regexp_extract("path", "/experiment=([^/]+)/", 1).alias("id"))
     return ids.filter(F.col("id") != SYSTEM_EXPERIMENT).distinct()
 
