@@ -59,10 +59,11 @@ class Grams:
         return np.flatnonzero(seen)
 
 
-def _rows_times(matrix: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """Presence vectors of a batch times ``matrix``, one row per set, scaled by the root of the set's size."""
+def _rows_times(matrix: np.ndarray, sets: list[np.ndarray], place: np.ndarray | None = None) -> np.ndarray:
+    """Presence vectors of a batch times ``matrix``, one row per set, scaled by the root of the set's size; ``place`` says where a bucket's row is."""
     lengths = np.array([len(s) for s in sets])
-    parts = np.add.reduceat(matrix[np.concatenate(sets)], np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0)
+    buckets = np.concatenate(sets)
+    parts = np.add.reduceat(matrix[buckets if place is None else place[buckets]], np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0)
     return parts / np.sqrt(lengths)[:, None]
 
 
@@ -128,13 +129,15 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, training_rows: int = TRAINI
     narrow = spread[used]
 
     def kernel_rows(batches: Iterator) -> Iterator:
-        grams, matrix = Grams(), np.zeros((BUCKETS, narrow.shape[1]), dtype=np.float32)
-        matrix[used] = narrow
+        # rows of the buckets that landmarks have, and one of zeros for all others
+        grams, matrix = Grams(), np.concatenate([narrow, np.zeros((1, narrow.shape[1]), dtype=np.float32)])
+        place = np.full(BUCKETS, len(narrow), dtype=np.int32)
+        place[used] = np.arange(len(narrow))
         for batch in batches:
             for run in _blocks(texts := batch.column("text").to_pylist(), 1 << 17):  # a row of the matrix per n-gram
                 found = [(s, i) for i in run if (s := grams(texts[i])) is not None]
                 if found:
-                    rows = _rows_times(matrix, [s for s, _ in found]).astype("<f4")
+                    rows = _rows_times(matrix, [s for s, _ in found], place).astype("<f4")
                     langs = batch.column("lang").take(pa.array([i for _, i in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays([langs.cast(pa.string()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "row"])
 

@@ -21,6 +21,7 @@ ROUNDS = 4
 GROWTH = 150  # pseudo-labels of each quality that a view may hand over in a round
 SURE = 0.97
 KEEP_FROM = 0.5
+AT_ONCE = 256  # documents whose features are held at once
 
 
 def _text_features(text: str) -> np.ndarray:
@@ -133,7 +134,7 @@ def _handed_over(free: DataFrame, views: list[tuple], taken: list[set[int]], gro
 
     def surest(batches: Iterator) -> Iterator:
         best: dict[tuple[int, int], list] = {(v, q): [] for v in (0, 1) for q in (0, 1)}
-        for batch in batches:
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             cells = [batch.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")]
             ids = batch.column("doc_id").to_numpy()
             features = _views(*cells)
@@ -232,8 +233,8 @@ def scored(model: Model | None) -> Column:
     def score(texts: pa.Array, sources: pa.Array, langs: pa.Array, sizes: pa.Array) -> pa.Array:
         cells = [texts.to_pylist(), sources.to_pylist(), langs.to_pylist(), sizes.to_pylist()]
         found = []
-        for at in range(0, len(cells[0]), 512):
-            text, page = model.log_odds(_views(*[c[at : at + 512] for c in cells]))
+        for at in range(0, len(cells[0]), AT_ONCE):
+            text, page = model.log_odds(_views(*[c[at : at + AT_ONCE] for c in cells]))
             found.append(np.stack([_sigmoid(text + page + model.prior), _sigmoid(text + model.prior), _sigmoid(page + model.prior)]))
         values = np.concatenate(found, axis=1) if found else np.zeros((3, 0))
         return pa.StructArray.from_arrays([pa.array(v, pa.float64()) for v in values], names=["score", "text_score", "page_score"])
