@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import DOMAIN_PATTERN
+from .hosts import canonical_host
 
 # scheme, authority, path, query (with ?), fragment (with #); the scheme is optional
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://)?([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _HTTP = r"(?i)^https?:"
+_HOST = r"(?:\[[^\]]*\]|[^:@]*)"
 # characters a browser leaves alone in a path, query or fragment
 _PLAIN = r"[!#$%&'()*+,\-./0-9:;=?@A-Z\[\\\]^_a-z|~{}]"
 
@@ -40,24 +42,19 @@ def host_suffixes(name: Column) -> Column:
     return F.regexp_extract_all(name, F.lit(r"(?:^|(?<=\.))(?=(.+))"), F.lit(1))
 
 
-def site_of(name: Column) -> Column:
-    """Registrable domain by rule: two labels, or three below a common second level such as co.uk."""
-    two = F.regexp_extract(name, r"([^.]+\.[^.]+)$", 1)
-    three = F.regexp_extract(name, r"([^.]+\.(?:co|com|org|net|gov|ac|edu|or|ne|go)\.[a-z]{2})$", 1)
-    address = name.rlike(r"^[0-9.]+$")
-    return F.when(address | (two == ""), name).when(three != "", three).otherwise(two)
-
-
 def normalize_url(text: Column) -> Column:
     """Seed normalisation: https by default, lower-case scheme and host, no default port, root path.
 
-    Scope: host names and http(s) URLs; path, query and fragment are kept as they are.
+    Hosts get their canonical form (Punycode, plain addresses; one that can be none stays as it is). Scope: http(s) URLs;
+    path, query and fragment are kept as they are.
     """
     clean = F.trim(text)
     has_scheme = clean.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://")
     full = F.when(has_scheme, clean).otherwise(F.concat(F.lit("https://"), F.regexp_replace(clean, "^//", "")))
     scheme = F.lower(F.regexp_extract(full, _SPLIT, 1))
     authority = _authority(scheme, F.regexp_extract(full, _SPLIT, 2))
+    user, name = F.regexp_extract(authority, r"^(.*@)", 1), F.regexp_extract(authority, rf"^(?:.*@)?({_HOST})", 1)
+    authority = F.concat(user, F.coalesce(canonical_host(name), name), F.regexp_extract(authority, rf"^(?:.*@)?{_HOST}(.*)$", 1))
     path = F.regexp_extract(full, _SPLIT, 3)
     rest = F.concat(F.regexp_extract(full, _SPLIT, 4), F.regexp_extract(full, _SPLIT, 5))
     url = F.concat(scheme, F.lit("://"), authority, F.when(path == "", F.lit("/")).otherwise(path), rest)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import jsontext, urls
+from ..functions import hosts, jsontext, urls
 from ..session import new_run_dir
 from ..sources.lake import materialize
 from .automaton import literals_in
@@ -67,8 +69,7 @@ def _rule_matches() -> Column:
     kind = request_type(F.col("resource_type"))
     named = F.array_contains("types_in", kind)
     free = (kind != "document") & F.coalesce(~F.array_contains("types_out", kind), F.lit(True))
-    third = urls.site_of(urls.host(F.col("url"))) != urls.site_of(_source())
-    party = F.when(F.col("third_party").isNull(), F.lit(True)).otherwise(F.col("third_party") == third)
+    party = F.when(F.col("third_party").isNull(), F.lit(True)).otherwise(F.col("third_party") == F.col("third"))
     from_sites = urls.host_suffixes(_source())
     inside = F.when(F.col("domains_in").isNull(), F.lit(True)).otherwise(F.arrays_overlap("domains_in", from_sites))
     outside = F.when(F.col("domains_out").isNull(), F.lit(True)).otherwise(~F.arrays_overlap("domains_out", from_sites))
@@ -86,22 +87,27 @@ def _rule_matches() -> Column:
     return F.when(F.col("types_in").isNull(), free).otherwise(named) & pattern & party & inside & outside
 
 
-def blocking_lists(requests: DataFrame, rules: DataFrame) -> DataFrame:
+def blocking_lists(requests: DataFrame, rules: DataFrame, suffixes: Iterable[str] = hosts.SUFFIXES) -> DataFrame:
     """(url, frame_url, resource_type, lists) of every request that some list blocks.
 
     A list blocks when one of its rules matches and none of its exceptions does;
-    an important rule beats exceptions.
+    an important rule beats exceptions. A request is a third party's if its host and its source's have different registrable
+    domains by ``suffixes``; they are taken once per triple, and only where a rule asks.
     """
     own_chars = F.length("raw") + F.length(F.coalesce("regex", F.lit(""))) + F.length(F.array_join(F.coalesce("domains_in", F.array().cast("array<string>")), ","))
     sizes = rules.groupBy("key_kind").agg(
-        F.sum(F.size("keys")).alias("n"), F.sum(own_chars).alias("chars"), F.sum(F.length(F.col("keys")[0])).alias("key_chars")
+        F.sum(F.size("keys")).alias("n"), F.sum(own_chars).alias("chars"), F.sum(F.length(F.col("keys")[0])).alias("key_chars"),
+        F.count("third_party").alias("parties"),
     )
     measured = {r["key_kind"]: r for r in sizes.collect()}  # one row per kind of key, six at most
     small = sum(r["n"] for r in measured.values()) <= LOOKUP_ROWS and sum(r["chars"] for r in measured.values()) <= LOOKUP_CHARS
     any_blocks = -(-measured["any"]["n"] // ANY_RULES) if "any" in measured else 0
     known = requests.filter(F.col("url").isNotNull() & (F.col("url") != "")).select(*TRIPLE).distinct()
     # narrow and read several times: stored once
-    known = materialize(known.withColumn("low", F.lower("url")), new_run_dir(requests.sparkSession, "request-triples"))
+    third = F.lit(None).cast("boolean")
+    if any(r["parties"] for r in measured.values()):
+        third = hosts.registrable_domain(urls.host(F.col("url")), suffixes) != hosts.registrable_domain(_source(), suffixes)
+    known = materialize(known.withColumns({"low": F.lower("url"), "third": third}), new_run_dir(requests.sparkSession, "request-triples"))
     keyed = _keyed(known, rules, set(measured), any_blocks, measured["text"]["key_chars"] if "text" in measured else 0)
     # keys and rules are two tables, so that a rule with many keys stands once; rules for any URL are dealt to numbered blocks
     block = F.concat(F.lit("u:"), F.pmod("rule_id", F.lit(max(1, any_blocks))).cast("string"))
@@ -126,12 +132,12 @@ def blocking_lists(requests: DataFrame, rules: DataFrame) -> DataFrame:
     return named.select(*TRIPLE, F.col("l.list_name").alias("lists"))
 
 
-def label_requests(requests: DataFrame, rules: DataFrame, as_array: bool = False) -> DataFrame:
+def label_requests(requests: DataFrame, rules: DataFrame, as_array: bool = False, suffixes: Iterable[str] = hosts.SUFFIXES) -> DataFrame:
     """Requests with ``blocked_by``: JSON text of the list names in list order, ``[]`` for none.
 
     The work is done once per distinct (url, frame, type) and joined back.
     """
-    found = blocking_lists(requests, rules).select(*[F.coalesce(c, F.lit("\0")).alias(f"__{c}") for c in TRIPLE], "lists")
+    found = blocking_lists(requests, rules, suffixes).select(*[F.coalesce(c, F.lit("\0")).alias(f"__{c}") for c in TRIPLE], "lists")
     keyed = requests.select("*", *[F.coalesce(c, F.lit("\0")).alias(f"__{c}") for c in TRIPLE])
     keys = [f"__{c}" for c in TRIPLE]
     joined = salted_join(keyed, found, keys, "left", spread=[c for c in keyed.columns if c not in keys])

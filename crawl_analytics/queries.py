@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import FILTER_LISTS, Fixture
+from .functions.hosts import canonical_host, registrable_domain
 from .functions.urls import normalize_url
 from .operators import enrich, pages, status, tasks, workers
 from .operators.labelling import label_requests
@@ -509,6 +510,33 @@ def normalize_urls(fx: Fixture) -> DataFrame:
     return fx["seeds"].select("page_id", normalize_url(raw).alias("url"))
 
 
+@query
+def registrable_domains(fx: Fixture) -> DataFrame:
+    """The registrable domain of page hosts below plain, wildcard and exception suffixes."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
+    name, kind = F.split_part(host, F.lit("."), F.lit(1)), F.col("page_id") % 8
+    below = ["co.uk", "city.kobe.jp", "district.kobe.jp", "www.ck", "shop.ck", "github.io", "unknown.zz"]
+    made = host
+    for i, suffix in enumerate(below, 1):
+        made = F.when(kind == i, F.concat(F.lit("www."), name, F.lit(f".{suffix}"))).otherwise(made)
+    return fx["seeds"].select("page_id", made.alias("host")).withColumn("site", registrable_domain(F.col("host")))
+
+
+@query
+def canonical_hosts(fx: Fixture) -> DataFrame:
+    """Hosts with capitals, international letters, numbers for addresses, IPv6, or none at all."""
+    host, kind = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1), F.col("page_id") % 6
+    made = (
+        F.when(kind == 0, F.upper(host))
+        .when(kind == 1, F.concat(F.lit("B\u00fccher."), host, F.lit(".")))
+        .when(kind == 2, F.concat(F.lit("0x7f."), F.col("page_id").cast("string")))
+        .when(kind == 3, F.concat(F.lit("[2001:DB8:0:0:0:0:0:"), F.hex("page_id"), F.lit("]")))
+        .when(kind == 4, F.concat(host, F.lit("..bad")))
+        .otherwise((F.lit(3232235520) + F.col("page_id") % 256).cast("string"))
+    )
+    return fx["seeds"].select("page_id", made.alias("given")).withColumn("host", canonical_host(F.col("given")))
+
+
 @query
 def build_tasks(fx: Fixture) -> DataFrame:
     """T3, T4, T7."""
