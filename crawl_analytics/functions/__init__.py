@@ -1 +1 @@
-"""Column helpers: URLs, time, JSON text and markup."""
+"""Column helpers: URLs, hosts, time, JSON text and HTML elements."""

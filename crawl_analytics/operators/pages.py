@@ -11,17 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import ACCEPT_PHRASES, DESCRIPTION_CHARS
-from ..functions import markup, urls
+from ..functions import urls
+from ..functions.elements import elements
 from ..session import shared_dir
 from .joins import first_rows, salted_join
 
-_NAMED = "button|a|input"
-_BY_ROLE = r"""[a-z][a-z0-9]*(?=(?:[^>"']|"[^"]*"|'[^']*')*?\srole\s*=\s*["']?button\b)"""
-
-
-def _candidate(names: str) -> str:
-    """An opening tag, its attributes and, looking ahead, what stands before its closing tag."""
-    return rf"(?is)<({names})(?=[\s/>])" + markup.ATTRS + r">(?=(.*?)</\1\s*>|)"
+CANDIDATES, ROLES = ["button", "a", "input"], ["button"]
 
 
 def link_sets(pages: DataFrame) -> DataFrame:
@@ -29,8 +24,8 @@ def link_sets(pages: DataFrame) -> DataFrame:
 
     Narrow: every page is handled where it lies.
     """
-    anchors = markup.tags(markup.visible_markup(F.col("html")), "a")
-    hrefs = F.filter(F.transform(anchors, lambda a: markup.attr(a, "href")), lambda h: h.isNotNull())
+    anchors = F.filter(elements(F.col("html"), ["a"]), lambda e: F.map_contains_key(e["attrs"], "href"))
+    hrefs = F.transform(anchors, lambda e: e["attrs"]["href"])
     keep = [c for c in pages.columns if c != "html"]
     raw = pages.select(
         *keep, F.array_distinct(hrefs).alias("hrefs"), urls.base_parts(F.col("url")).alias("base"), urls.host(F.col("url")).alias("own")
@@ -52,44 +47,22 @@ def site_description(pages: DataFrame) -> DataFrame:
     With a ``crawl_depth`` column only depth 0 is read.
     """
     seeds = pages.filter("crawl_depth = 0") if "crawl_depth" in pages.columns else pages
-    metas = F.filter(
-        markup.tags(markup.visible_markup(F.col("html")), "meta"), lambda m: markup.attr(m, "name") == "description"
-    )
-    content = markup.attr(F.try_element_at(metas, F.lit(1)), "content")
+    metas = F.filter(elements(F.col("html"), ["meta"]), lambda e: e["attrs"]["name"] == "description")
+    content = F.try_element_at(metas, F.lit(1))["attrs"]["content"]
     text = F.substring(F.coalesce(content, F.lit("")), 1, DESCRIPTION_CHARS)
     return seeds.select(*[c for c in seeds.columns if c != "html"], text.alias("description"))
 
 
-def _consent_elements(shown: Column) -> Column:
-    """Tag, attributes and inner markup of every candidate element, in document order."""
-
-    def parts(group: int) -> Column:
-        # looking for roles in every tag is only worth it on pages that have them
-        usual = F.regexp_extract_all(shown, F.lit(_candidate(_NAMED)), F.lit(group))
-        roles = F.regexp_extract_all(shown, F.lit(_candidate(f"{_NAMED}|{_BY_ROLE}")), F.lit(group))
-        return F.when(shown.rlike(r"(?i)\srole\s*="), roles).otherwise(usual)
-
-    return F.arrays_zip(parts(1).alias("tag"), parts(2).alias("attrs"), parts(3).alias("inner"))
-
-
-def _clickable(tag: Column, attrs: Column) -> Column:
-    """What static markup tells: shown, enabled, right input type, link that goes nowhere."""
-    hidden = (
-        (markup.attr(attrs, "aria-hidden") == "true")
-        | markup.has_attr(attrs, "hidden")
-        | F.coalesce(markup.attr(attrs, "style"), F.lit("")).rlike(r"(?i)display\s*:\s*none")
-    )
-    disabled = markup.has_attr(attrs, "disabled") | (markup.attr(attrs, "aria-disabled") == "true")
-    href = F.trim(F.coalesce(markup.attr(attrs, "href"), F.lit("")))
+def _clickable(e: Column) -> Column:
+    """What static markup tells: shown with all around it, enabled, right input type, link that goes nowhere."""
+    attrs, tag = e["attrs"], e["name"]
+    disabled = F.map_contains_key(attrs, "disabled") | F.coalesce(attrs["aria-disabled"] == "true", F.lit(False))
+    href = F.trim(F.coalesce(attrs["href"], F.lit("")))
     stays = (href == "") | (href == "#") | href.startswith("javascript:")
-    link = stays & F.coalesce(markup.attr(attrs, "target") != "_blank", F.lit(True))
-    typed = F.lower(F.coalesce(markup.attr(attrs, "type"), F.lit(""))).isin("submit", "button")
+    link = stays & F.coalesce(attrs["target"] != "_blank", F.lit(True))
+    typed = F.lower(F.coalesce(attrs["type"], F.lit(""))).isin("submit", "button")
     # most candidates are links that lead elsewhere: they are out after one test
-    return (
-        F.when(tag == "a", link).when(tag == "input", typed).otherwise(F.lit(True))
-        & ~F.coalesce(hidden, F.lit(False))
-        & ~F.coalesce(disabled, F.lit(False))
-    )
+    return F.when(tag == "a", link).when(tag == "input", typed).otherwise(F.lit(True)) & ~e["hidden"] & ~disabled
 
 
 def clean_text(text: Column) -> Column:
@@ -97,13 +70,14 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\s ]+", " "))
 
 
-def _element_text(tag: Column, attrs: Column, inner: Column) -> Column:
+def _element_text(e: Column) -> Column:
     def filled(value: Column) -> Column:
         return F.when(F.trim(value) != "", value)
 
-    label, title = filled(markup.attr(attrs, "aria-label")), filled(markup.attr(attrs, "title"))
-    own = F.when(tag == "input", filled(markup.attr(attrs, "value"))).otherwise(filled(clean_text(markup.inner_text(inner))))
-    other = F.when(tag == "input", label).otherwise(F.coalesce(label, title))
+    attrs, is_input = e["attrs"], e["name"] == "input"
+    label, title = filled(attrs["aria-label"]), filled(attrs["title"])
+    own = F.when(is_input, filled(attrs["value"])).otherwise(filled(clean_text(e["text"])))
+    other = F.when(is_input, label).otherwise(F.coalesce(label, title))
     return clean_text(F.coalesce(own, other, F.lit("")))
 
 
@@ -116,19 +90,12 @@ def match_consent(pages: DataFrame, phrases: list[str] | None = None) -> DataFra
     wanted = ACCEPT_PHRASES if phrases is None else phrases
     listed = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(p).alias("phrase")) for i, p in enumerate(wanted)])
     keep = [c for c in pages.columns if c != "html"]
-    shown = pages.select(*keep, markup.visible_markup(F.col("html")).alias("shown"))
-    elements = shown.select(*keep, _consent_elements(F.col("shown")).alias("e"))
+    found = pages.select(*keep, elements(F.col("html"), CANDIDATES, ROLES).alias("e"))
     texts = F.transform(
         "e",
-        lambda e, i: F.struct(
-            i.alias("pos"),
-            F.lower(e["tag"]).alias("tag"),
-            F.when(_clickable(F.lower(e["tag"]), e["attrs"]), _element_text(F.lower(e["tag"]), e["attrs"], e["inner"]))
-            .otherwise(F.lit(""))
-            .alias("text"),
-        ),
+        lambda e: F.struct(e["pos"].alias("pos"), e["name"].alias("tag"), F.when(_clickable(e), _element_text(e)).otherwise(F.lit("")).alias("text")),
     )
-    named = elements.select(*keep, F.filter(texts, lambda t: t["text"] != "").alias("t"))
+    named = found.select(*keep, F.filter(texts, lambda t: t["text"] != "").alias("t"))
 
     def best(t: Column) -> Column:
         padded = F.concat(F.lit(" "), t["text"], F.lit(" "))
