@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -28,14 +29,6 @@ def _words(text: bytes) -> list[bytes]:
     return text.lower().split()  # bytes: exactly A-Z, exactly space and 0x09-0x0D
 
 
-def _node(words: list[bytes]) -> int:
-    """A signed hash of the words in order: copies share it."""
-    import xxhash
-
-    value = xxhash.xxh64_intdigest(b" ".join(words), 5)
-    return value - (1 << 64) if value >> 63 else value
-
-
 def _shingles(words: list[bytes]) -> np.ndarray:
     """The distinct hashes of five words in a row; fewer words are one shingle, no words none."""
     from xxhash import xxh64_intdigest as digest
@@ -63,35 +56,30 @@ def _bands(shingles: np.ndarray) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
+def _node() -> Column:
+    """A hash of the text's words in order, A-Z in lower case: copies share it."""
+    low = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.xxhash64(F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")))
+
+
 def _marked(docs: DataFrame) -> DataFrame:
     """(doc_id, node, size, bands): hash of the words, number of distinct shingles, band keys (none without words)."""
 
     def mark(batches: Iterator) -> Iterator:
         for batch in batches:
-            nodes, sizes, bands = [], [], []
+            sizes, bands = [], []
             for text in binary_texts(batch, "text"):
-                words = _words(text)
-                shingles = _shingles(words)
-                nodes.append(_node(words))
+                shingles = _shingles(_words(text))
                 sizes.append(len(shingles))
                 bands.append(_bands(shingles) if len(shingles) else [])
-            columns = [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            columns = [batch.column("doc_id"), batch.column("node"), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "size", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = docs.select("doc_id", _node().alias("node"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(mark, f"doc_id {kind}, node long, size long, bands array<long>")
 
 
-def _with_node(docs: DataFrame, into: str) -> DataFrame:
-    @F.arrow_udf("long")
-    def node(texts: pa.Array) -> pa.Array:
-        return pa.array([_node(_words(t or b"")) for t in texts.to_pylist()], pa.int64())
-
-    # never NULL, and said so: a filter for it would compute the hash a second time
-    return docs.withColumn(into, F.coalesce(node(F.col("text").cast("binary")), F.lit(0).cast("long")))
-
-
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the wanted nodes, stored: sorted distinct hashes, taken from one text of each node."""
 
@@ -100,8 +88,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [_shingles(_words(t)).view(np.int64) for t in binary_texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    node = unused(docs, "node")
-    texts = _with_node(docs.select("text"), node).withColumnRenamed(node, "node").join(wanted, "node", "left_semi")
+    texts = docs.select("text", _node().alias("node")).join(wanted, "node", "left_semi")
     sets = texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(cut, "node long, shingles array<long>")
     return stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
@@ -231,7 +218,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("low_id").isNull(), "low_id", "node")).alias("m"))
     keep = first.select(F.col("m.low_id").alias("__id"), F.col("m.node").alias("__node"))
     node, row = unused(docs, "node"), unused(docs, "row")
-    marked = _with_node(docs, node)
+    marked = docs.withColumn(node, _node())
     chosen = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__id"]) & (marked[node] == keep["__node"]), "left_semi")
     # of repeated rows the smallest, combined on the map side
     fixed = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant", "array", "struct")]
