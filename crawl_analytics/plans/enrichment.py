@@ -21,6 +21,9 @@ from ..sources.lake import copy_metadata, experiments_with_rows, materialize, re
 from ..sources.lists import chosen_lists, read_filter_lists
 
 
+KINDS = ("requests", "responses", "cookie_warning_consents", "site_metadata")
+
+
 def enriched_tables(
     requests: DataFrame,
     responses: DataFrame,
@@ -46,13 +49,22 @@ def enriched_tables(
     }
 
 
-def enrich(spark: SparkSession, root: str, out: str, filter_lists: str | None = None, experiments: list[str] | None = None, committed: bool = False) -> None:
+def enrich(
+    spark: SparkSession,
+    root: str,
+    out: str,
+    filter_lists: str | None = None,
+    experiments: list[str] | None = None,
+    committed: bool = False,
+    rules: DataFrame | None = None,
+) -> None:
     """Process all experiments in one go: the experiment is a key, not a loop.
 
     With ``experiments`` only these are read, and their partitions of the result are replaced; the others stay.
     Running the job again gives the same tables and documents. Experiments without a readable document
     or without raw files are left out. Kept sessions (for four tables), rules and single requests
-    (for the labels, read three times) are stored once, in the shared folder. ``committed`` reads a lake of committed batches.
+    (for the labels, read three times) are stored once, in the shared folder. ``committed`` reads a lake of committed batches;
+    ``rules`` may be a stored rule table of the lists.
     """
     documents = read_metadata(spark, root)
     if experiments is not None:
@@ -65,11 +77,11 @@ def enrich(spark: SparkSession, root: str, out: str, filter_lists: str | None =
             return rows.join(F.broadcast(ids), "experiment_id", "left_semi")
         return salted_join(rows, ids, ["experiment_id"], "left_semi")
 
-    kinds = ("requests", "responses", "cookie_warning_consents", "site_metadata")
-    raw = [known(read_raw(spark, root, kind, experiments, committed)) for kind in kinds]
-    present = experiments_with_rows(spark, root, list(kinds), experiments, committed)
+    raw = [known(read_raw(spark, root, kind, experiments, committed)) for kind in KINDS]
+    present = experiments_with_rows(spark, root, list(KINDS), experiments, committed)
     workers = read_workers(spark, root, present.join(ids.withColumnRenamed("experiment_id", "id"), "id", "left_semi"))
-    rules = materialize(parse_rules(read_filter_lists(spark, chosen_lists(filter_lists))), new_run_dir(spark, "rules"))
+    if rules is None:
+        rules = materialize(parse_rules(read_filter_lists(spark, chosen_lists(filter_lists))), new_run_dir(spark, "rules"))
     kept = materialize(kept_sessions(raw[0]), new_run_dir(spark, "kept-sessions"))
     single = materialize(dedup_requests(raw[0], kept), new_run_dir(spark, "single-requests"))
     write_enriched(enriched_tables(*raw, workers, rules, kept, single), out, keep_others=experiments is not None)

@@ -17,6 +17,7 @@ from .operators.rules import parse_rules
 from .plans import metrics, models, reports
 from .plans.enrichment import enrich as enrich_lake
 from .plans.enrichment import enriched_tables
+from .plans.increment import enrich_increment as increment
 from .schemas import REQUESTS, conform
 from .session import new_run_dir
 from .sources import lake, lists
@@ -836,19 +837,29 @@ def session_starts_null_time(fx: Fixture) -> DataFrame:
 
 def _raw_lake(fx: Fixture) -> tuple[str, str]:
     """The raw tables as files of a lake with documents, and filter lists as text files."""
-    root, folder = new_run_dir(fx.spark, "lake"), new_run_dir(fx.spark, "lists")
+    root = new_run_dir(fx.spark, "lake")
     lake.write_events(_raw_requests(fx), root, "requests")
     lake.write_events(fx["raw_responses"], root, "responses")
     lake.write_events(fx["raw_consents"], root, "cookie_warning_consents")
     lake.write_events(fx["raw_site_metadata"], root, "site_metadata")
     lake.write_workers(fx["raw_worker_metadata"], root)
+    _write_documents(fx, root)
+    return root, _filter_lists(fx)
+
+
+def _write_documents(fx: Fixture, root: str) -> None:
     params = F.struct("auto_accept_cookies", "browser_type").alias("params")
     created = F.lit(datetime(2024, 1, 1, 12, 30)).alias("timestamp")
     lake.write_metadata(fx["metadata"].select(F.col("exp_id").alias("id"), created, F.col("total_urls").cast("bigint").alias("total_urls"), params), root)
+
+
+def _filter_lists(fx: Fixture) -> str:
+    """The lists as text files, and one that is not there."""
+    folder = new_run_dir(fx.spark, "lists")
     paths = [f"{folder}/{name}.txt" for name in FILTER_LISTS]
     for path, lines in zip(paths, FILTER_LISTS.values(), strict=True):
         fx.spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
-    return root, ",".join([*paths, f"{folder}/not-there.txt"])
+    return ",".join([*paths, f"{folder}/not-there.txt"])
 
 
 def _contents(fx: Fixture, out: str) -> DataFrame:
@@ -891,6 +902,21 @@ def enrich_one_experiment(fx: Fixture) -> DataFrame:
     return _contents(fx, out)
 
 
+@query
+def enrich_increment(fx: Fixture) -> DataFrame:
+    """A first delivery, then a second for two experiments; the third one is not read again."""
+    root, out, filter_lists = new_run_dir(fx.spark, "lake"), new_run_dir(fx.spark, "enriched"), _filter_lists(fx)
+    kinds = {"requests": "raw_requests", "responses": "raw_responses", "cookie_warning_consents": "raw_consents", "site_metadata": "raw_site_metadata"}
+    lake.write_workers(fx["raw_worker_metadata"], root)
+    _write_documents(fx, root)
+    late = (F.col("experiment_id") != "firefoxwithcookies_e1") & (F.pmod(F.xxhash64("crawl_session_id"), F.lit(2)) == 0)
+    for delivery in (~late, late):
+        for kind, name in kinds.items():
+            lake.write_events(fx[name].drop("k").where(delivery), root, kind)
+        increment(fx.spark, root, out, filter_lists)
+    return _contents(fx, out)
+
+
 # -- checks of what has no SQL of its own ----------------------------------------------------------
 
 
@@ -944,9 +970,30 @@ def countries_csv(fx: Fixture) -> DataFrame:
 
 @query
 def listed_documents(fx: Fixture) -> DataFrame:
-    """Experiments found by listing the documents of a lake."""
-    root = _raw_lake(fx)[0]
-    return lake.list_experiments(lake.metadata_keys(fx.spark, root))
+    """Experiments found by listing documents, one for each customer's orders, and whether each can be read."""
+    root = new_run_dir(fx.spark, "lake")
+    ids = fx.source("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("total_urls"))
+    ids = ids.select(F.concat(F.lit("exp"), F.col("o_custkey").cast("string")).alias("id"), "total_urls", (F.col("o_custkey") % 5).alias("fault"))
+    params = F.struct(F.lit(True).alias("auto_accept_cookies"), F.lit("firefox").alias("browser_type")).alias("params")
+    whole = ids.where("fault > 1").select("id", F.lit(datetime(2024, 1, 1, 12, 30)).alias("timestamp"), "total_urls", params)
+    lake.write_metadata(whole, root)
+    # broken JSON, and a document without what an experiment needs
+    text = F.when(F.col("fault") == 0, F.concat(F.lit('{"id": "'), "id")).otherwise(F.to_json(F.struct("id", "total_urls")))
+    broken = ids.where("fault <= 1").select(text.alias("value"), F.col("id").alias("experiment"), F.lit("metadata").alias("document"))
+    broken.write.mode("append").partitionBy("experiment", "document").text(root)
+    listed = lake.list_experiments(lake.metadata_keys(fx.spark, root))
+    read = lake.read_metadata(fx.spark, root).select(F.col("exp_id").alias("id"), "total_urls")
+    return listed.join(read, "id", "left").select("id", "total_urls", F.col("total_urls").isNotNull().alias("is_readable"))
+
+
+@query
+def flush_files(fx: Fixture) -> DataFrame:
+    """K3: files of a flush hold at most a hundred records, as the footers' row counts tell."""
+    root = new_run_dir(fx.spark, "lake")
+    lake.write_events(_raw_requests(fx).coalesce(1), root, "requests", records_per_file=100)
+    rows = fx.spark.read.parquet(root).select("experiment", F.input_file_name().alias("file"))
+    sizes = rows.groupBy("experiment", "file").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("experiment").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("files"), F.max("n").alias("largest"))
 
 
 @query

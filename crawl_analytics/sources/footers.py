@@ -9,14 +9,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_run_dir
+
 
 def groups_by_schema(
     spark: SparkSession, paths: list[str], frames_of: Callable, skip: set[str] = frozenset()
 ) -> list[tuple[dict[str, str], list[str]]]:
     """[({column: Spark type}, [file])] of the Parquet files below ``paths``, one entry per set of columns and types.
 
-    Spark lists the files; tasks read the footers, nothing else. Columns that hold NULL only have no type and are left out. The driver
-    gets one row per group, with the file names that it needs to plan the scan anyway.
+    Spark lists the files; tasks read the footers, nothing else. Columns that hold NULL only have no type and are left out. With one
+    group no path is returned: it is everything. Else a folder whose files are of one group stands for them, and only
+    files of mixed folders are named.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
     found = frames_of(reader.load, paths)
@@ -75,6 +78,16 @@ def groups_by_schema(
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(shapes, pa.string())], names=["path", "shape"])
 
     files = reduce(DataFrame.unionByName, [rows.select("path") for rows in found])
-    shapes = files.mapInArrow(footers, "path string, shape string")
-    groups = shapes.groupBy("shape").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("shape")
-    return [(dict(json.loads(row["shape"])), row["paths"]) for row in groups.collect()]
+    path = new_run_dir(spark, "file-shapes")
+    files.mapInArrow(footers, "path string, shape string").write.parquet(path)
+    shapes = spark.read.schema("path string, shape string").parquet(path).withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    kinds = [r["shape"] for r in shapes.select("shape").distinct().collect()]
+    if len(kinds) == 1:
+        return [(dict(json.loads(kinds[0])), [])]
+    folders = shapes.groupBy("folder").agg(F.min("shape").alias("shape"), F.max("shape").alias("other"))
+    whole = folders.where("shape = other").select("shape", F.col("folder").alias("path"))
+    single = shapes.join(folders.where("shape != other").select("folder"), "folder", "left_semi").select("shape", "path")
+    named: dict[str, list[str]] = {}
+    for row in whole.unionByName(single).orderBy("shape", "path").collect():
+        named.setdefault(row["shape"], []).append(row["path"])
+    return [(dict(json.loads(shape)), paths) for shape, paths in named.items()]

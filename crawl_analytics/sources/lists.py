@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import warnings
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,18 +53,23 @@ def chosen_lists(choice: str | None = None) -> list[str]:
 def read_filter_lists(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(list_ord, list_name, line) of all lists that can be read; trimmed, without blank lines.
 
-    A list is opened while the plan is built; one that cannot be, for whatever cause, is skipped with a warning.
+    A list is opened while the plan is built; one that cannot be is skipped with a warning. If none of them can, that is an error:
+    such a run would label nothing. Lists are files: the default ones have to be fetched first.
     """
     out = empty(spark, "list_ord int, list_name string, line string")
     # of two lists with one name the later takes the place of the earlier
     named = {list_name(path): path for path in paths}
+    failed: list[str] = []
     for i, (name, path) in enumerate(named.items()):
         try:
             text = spark.read.text(path)
             text.head()  # some stores only fail when a file is opened
-        except Exception as error:  # noqa: BLE001
+        except (PySparkException, Py4JError) as error:
+            failed.append(path)
             warnings.warn(f"filter list {path} skipped: {str(error).splitlines()[0]}", stacklevel=2)
         else:
             lines = text.select(F.lit(i).alias("list_ord"), F.lit(name).alias("list_name"), F.trim("value").alias("line"))
             out = out.unionByName(lines.filter("line <> ''"))
+    if failed and len(failed) == len(named):
+        raise FileNotFoundError(f"no filter list can be read: {', '.join(failed)}")
     return out
