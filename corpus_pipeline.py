@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawl_analytics.llm import langid, minhash, mixing, packing, quality
+from crawl_analytics.llm import langid, mixing, packing, quality, simhash
 from crawl_analytics.llm.common import stored, table
 from crawl_analytics.session import use_utc
 
@@ -20,8 +20,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): that with the smallest id."""
-    return minhash.one_per_group(docs)
+    """One document of each group of near-duplicates (SimHash of three-word shingles, at most two bits apart): that with the smallest id."""
+    return simhash.one_per_group(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
