@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql.types import MapType, VariantType
 
 from .common import small_batches, stored, unused
 from .components import components
@@ -149,12 +149,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of every component the document with the smallest id; of repeated rows one."""
-    fp, number = unused(docs, "fp"), unused(docs, "copy_number")
-    narrow = stored(with_fingerprint(docs.select("doc_id", "text"), "fp").select("doc_id", "fp"), "doc-fingerprints")
-    keep = classes(narrow).select("component_id", "component_fp").distinct()
-    keep = keep.withColumnsRenamed({"component_id": "__id", "component_fp": "__fp"})
-    marked = with_fingerprint(docs, fp)
-    chosen = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__id"]) & (marked[fp] == keep["__fp"]), "left_semi")
-    number_in = F.row_number().over(W.partitionBy("doc_id", fp).orderBy("text"))
-    return chosen.withColumn(number, number_in).where(F.col(number) == 1).select(*docs.columns)
+    """The rows of ``docs`` that stay, with their columns: of every component one row, of the smallest id.
+
+    Where several rows have that id (or none has an id) the smallest fingerprint decides, then the text with the
+    smallest XXH64, then the remaining columns that can be ordered; repeated rows count once. Repeats are
+    combined on the map side, so texts move once, and Python sees them only for the fingerprint.
+    """
+    narrow = with_fingerprint(docs.select("doc_id", "text"), "fp").select("doc_id", "fp", F.xxhash64("text").alias("h"))
+    narrow = stored(narrow, "doc-fingerprints")
+    least = narrow.groupBy(F.col("doc_id").alias("component_id"), F.col("fp").alias("component_fp")).agg(F.min("h").alias("h"))
+    roots = classes(narrow).select("component_id", "component_fp").distinct()
+    same = least["component_id"].eqNullSafe(roots["component_id"]) & (least["component_fp"] == roots["component_fp"])
+    chosen = least.join(roots, same, "left_semi")
+    keys = lambda doc_id, h: (F.coalesce(doc_id, F.lit(0)).alias("__id"), F.isnull(doc_id).alias("__none"), F.col(h).alias("__h"))
+    ranks = [f.name for f in docs.schema.fields if f.name != "text" and not isinstance(f.dataType, (MapType, VariantType))]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("__row"), F.xxhash64("text").alias("__hash"))
+    first = F.min_by("__row", F.struct("__row.text", *[F.col(f"__row.`{c}`") for c in ranks]))
+    rows = rows.groupBy(*keys(F.col("__row.doc_id"), "__hash")).agg(first.alias("__row"))
+    # an inner join: a semi join would be pushed below the aggregation and bring all repeats of a row to one task
+    return rows.join(chosen.select(*keys(F.col("component_id"), "h")), ["__id", "__none", "__h"]).select("__row.*")

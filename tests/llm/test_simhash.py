@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import xxhash
 from cases import no_documents, odd_documents
+from pyspark.sql import functions as F
 
 from crawl_analytics.llm import components, queries, simhash
 
@@ -79,6 +80,28 @@ def test_one_per_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(groups)
 
 
+def test_one_of_planted_copies(spark):
+    """Exact copies, near copies, repeated rows and rows without an id, against all pairs; a column named like the function's own."""
+    random = np.random.default_rng(5)
+    rows = []
+    for group in range(30):
+        words = [f"w{random.integers(9000)}" for _ in range(1500)]
+        rows += [(len(rows) + k, " ".join(words[: 1500 - k] + ["last"] * k)) for k in range(3)]
+        rows += [(None, " ".join(words))] * (group % 3) + [(rows[-1])]
+    rows += [(None, "alone without an id")] * 500 + [(0, "another text under the first id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    docs = docs.withColumn("__row", F.lit(1)).withColumn("h", F.create_map(F.lit("k"), F.lit("v")))
+    kept = simhash.one_per_group(docs)
+    assert kept.schema == docs.schema
+    groups = {c for _, _, c in components_of(rows)}
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(groups) < 100 and all(r in rows for r in found)
+    # two components may have the same smallest id here: both keep a row
+    marks = {(c, f) for _, f, c in components_of(rows)}
+    assert {d for d, _ in found} == groups and len(found) == len(set(found)) <= len(marks)
+    assert "Window" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     random = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in random.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(100)] + [(5, 5), (None, 3)]
