@@ -15,13 +15,14 @@ from .operators import enrich, pages, status, tasks, workers
 from .operators.labelling import label_requests
 from .operators.rules import parse_rules
 from .plans import metrics, models, reports
+from .plans.cube import build_cube
 from .plans.enrichment import enrich as enrich_lake
 from .plans.enrichment import enriched_tables
 from .plans.increment import enrich_increment as increment
 from .schemas import REQUESTS, conform
 from .session import new_run_dir
 from .sources import lake, lists
-from .streaming import commits, events, jobs, sessions
+from .streaming import commits, compaction, events, jobs, sessions
 
 TITLES = {
     "chromiumnocookies_e0": "Chromium, consent refused",
@@ -699,6 +700,35 @@ def stream_committed_sink(fx: Fixture) -> DataFrame:
     return out.select("experiment_id", "data_type", "n")
 
 
+@query
+def compacted_lake(fx: Fixture) -> DataFrame:
+    """The batches of a stream merged into one; its rows and files, and whether readers see the same rows as before."""
+    source, root, marks = (new_run_dir(fx.spark, n) for n in ("events", "lake", "marks"))
+    fx["browser_events"].repartition(4).write.parquet(source)
+    stream = fx.spark.readStream.schema("experiment string, worker_id string, data_type string, event string")
+    _finish(commits.start_committed_sink(stream.option("maxFilesPerTrigger", 1).parquet(source), root, marks))
+    keys = ["experiment_id", "data_type"]
+
+    def contents(name: str) -> DataFrame:
+        parts = []
+        for kind in events.KINDS:
+            rows = lake.read_raw(fx.spark, root, kind, committed=True)
+            total = F.sum(F.xxhash64(F.to_json(F.struct(*rows.columns))).cast("decimal(38,0)")).alias("total")
+            parts.append(rows.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n"), total).withColumn("data_type", F.lit(kind)))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return _stored(fx, name, out)
+
+    before = contents("before")
+    compaction.compact(fx.spark, root)
+    after = contents("after").select(*keys, F.col("n").alias("n_after"), F.col("total").alias("total_after"))
+    files = compaction.batch_files(fx.spark, root, lake.commit_log(fx.spark, root)).withColumnRenamed("experiment", "experiment_id")
+    both = before.join(after, keys, "full").join(files.groupBy(*keys).agg(F.count(F.lit(1)).alias("files")), keys, "left")
+    same = (F.col("n") == F.col("n_after")) & (F.col("total") == F.col("total_after"))
+    return both.select(*keys, "n", "files", F.coalesce(same, F.lit(False)).alias("is_same"))
+
+
 @query
 def stream_requests_dedup(fx: Fixture) -> DataFrame:
     """Redelivered requests dropped in the stream."""
@@ -952,6 +982,23 @@ def metrics_approx_within(fx: Fixture) -> DataFrame:
     return exact.select("experiment_id", "exact", (F.abs(F.col("about") - F.col("exact")) <= 0.05 * F.col("exact")).alias("is_close"))
 
 
+@query
+def metrics_from_cube(fx: Fixture) -> DataFrame:
+    """Measures by resource type and browser, also of one page type, from a stored cube; its sketches within five percent."""
+    enriched = _stored(fx, "enriched", _enriched_weighted(fx))
+    dims = ["experiment_id", "request_resource_type", "request_page_type", "experiment_browser_type", "website_legal_zone"]
+    asked = ["request_resource_type", "experiment_browser_type"]
+    cube = build_cube(enriched, new_run_dir(fx.spark, "cube"), dims, [[*asked, "request_page_type"], ["experiment_id"]])
+    measures = [*_EXACT, "unique_domains_contacted"]
+    page = enriched.agg(F.max("request_page_type")).first()[0]
+    exact = enriched.groupBy(*asked).agg(F.count_distinct("request_requested_domain").alias("exact"))
+    everything = cube.query(asked, measures).withColumn("pages", F.lit("all"))
+    both = everything.unionByName(cube.query(asked, measures, {"request_page_type": page}).withColumn("pages", F.lit("one")))
+    found = both.join(exact, [both[c].eqNullSafe(exact[c]) for c in asked], "left")
+    near = F.abs(F.col("unique_domains_contacted") - F.col("exact")) <= 0.05 * F.col("exact")
+    return found.select("pages", *[both[c] for c in asked], *_EXACT, F.when(F.col("pages") == "all", near).alias("is_close"))
+
+
 @query
 def tranco_csv(fx: Fixture) -> DataFrame:
     """The ranked list through headerless CSV files."""

@@ -55,34 +55,46 @@ def read_or_empty(spark: SparkSession, paths: list[str], ddl: str, base: str | N
     return reduce(DataFrame.unionByName, found) if found else empty(spark, ddl)
 
 
-def commit_log(spark: SparkSession, root: str) -> DataFrame:
-    """(batch) numbers of the batches that a committing sink has written whole; a listing, nothing is opened."""
-    found = frames_of(spark.read.format("binaryFile").load, [f"{root}/{COMMITS}/batch=*/done"])
+def commit_entries(spark: SparkSession, root: str) -> DataFrame:
+    """(batch, low, high) of all entries of the log; a compacted batch replaces the batches from low to high."""
+    found = frames_of(spark.read.format("binaryFile").load, [f"{root}/{COMMITS}/batch=*/*"])
     if not found:
-        return empty(spark, "batch bigint")
-    return found[0].select(F.regexp_extract("path", "batch=([0-9]+)/done$", 1).cast("bigint").alias("batch")).distinct()
+        return empty(spark, "batch bigint, low bigint, high bigint")
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).try_cast("bigint")
+    entries = found[0].select(number("batch=([0-9]+)/").alias("batch"), number("/replaces-([0-9]+)-").alias("low"), number("/replaces-[0-9]+-([0-9]+)$").alias("high"))
+    return entries.distinct()
+
+
+def commit_log(spark: SparkSession, root: str) -> DataFrame:
+    """(batch) numbers of the batches that count: written whole, and not replaced by a compacted one; a listing, nothing is opened."""
+    entries = commit_entries(spark, root)
+    replaced = entries.where("low is not null").select(F.explode(F.sequence("low", "high")).alias("batch"))
+    return entries.select("batch").distinct().join(replaced, "batch", "left_anti")
 
 
-def read_raw(spark: SparkSession, root: str, data_type: str, experiments: list[str] | None = None, committed: bool = False) -> DataFrame:
+def read_raw(
+    spark: SparkSession, root: str, data_type: str, experiments: list[str] | None = None, committed: bool | DataFrame = False, system: bool = False
+) -> DataFrame:
     """All raw rows of one kind; the experiment comes from the path.
 
     Collectors infer types file by file, so a time may be a number in one file and text in the next, and columns
     may be missing, all NULL or unknown. Files are grouped by their own columns and types; each group is
     read as it is and brought to the declared columns. Extra columns are kept at the end; where files
     differ in their type, as text. The glob names the partitions, so other kinds are not even listed.
-    ``committed`` reads a lake of batches (``streaming.commits``): only those in its log.
+    ``committed`` reads a lake of batches (``streaming.commits``): only those in its log, or in the (batch) table given.
+    Rows of the ``system`` experiment are workers; of other kinds they are left out unless asked for.
     """
     ddl = BY_DATA_TYPE[data_type]
     names = [n for n, _ in columns(ddl)]
-    wanted = [f"{_batches(root, committed)}/experiment={e}/data_type={data_type}" for e in experiments or ["*"]]
+    log = _log_of(spark, root, committed)
+    wanted = [f"{_batches(root, log is not None)}/experiment={e}/data_type={data_type}" for e in experiments or ["*"]]
     groups = groups_by_schema(spark, wanted, frames_of, skip={"experiment_id"})
-    partitions = ("batch bigint, " if committed else "") + "experiment string, data_type string"
-    log = commit_log(spark, root) if committed else None
+    partitions = ("batch bigint, " if log is not None else "") + "experiment string, data_type string"
     parts = []
     for own, paths in groups:
         reader = spark.read.schema(", ".join([*[f"`{n}` {t}" for n, t in own.items()], partitions]))
         found = frames_of(lambda path, r=reader: r.option("basePath", root).parquet(path), wanted) if len(groups) == 1 else [reader.option("basePath", root).parquet(*paths)]
-        found = [rows.join(F.broadcast(log), "batch", "left_semi").drop("batch") for rows in found] if committed else found
+        found = [rows.join(F.broadcast(log), "batch", "left_semi").drop("batch") for rows in found] if log is not None else found
         parts += [conform(rows.drop("data_type").withColumnRenamed("experiment", "experiment_id"), ddl) for rows in found]
     if not parts:
         return empty(spark, ddl)
@@ -93,20 +105,27 @@ def read_raw(spark: SparkSession, root: str, data_type: str, experiments: list[s
     mixed = {n for n, found in kinds.items() if n not in names and len(found) > 1}
     parts = [rows.select(*[F.col(c).cast("string").alias(c) if c in mixed else F.col(c) for c in rows.columns]) for rows in parts]
     rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-    if data_type != "worker_metadata":
+    if data_type != "worker_metadata" and not system:
         rows = rows.filter(F.col("experiment_id") != SYSTEM_EXPERIMENT)
     return rows.select(*names, *sorted(set(rows.columns) - set(names)))
 
 
+def _log_of(spark: SparkSession, root: str, committed: bool | DataFrame) -> DataFrame | None:
+    if isinstance(committed, DataFrame):
+        return committed
+    return commit_log(spark, root) if committed else None
+
+
 def _batches(root: str, committed: bool) -> str:
     return f"{root}/batch=*" if committed else root
 
 
-def read_unreadable(spark: SparkSession, root: str, committed: bool = False) -> DataFrame:
+def read_unreadable(spark: SparkSession, root: str, committed: bool | DataFrame = False) -> DataFrame:
     """Events the sink could not read: experiment_id, worker_id, kind, event."""
-    ddl = f"{UNREADABLE_COLUMNS}, {'batch bigint, ' if committed else ''}experiment string, data_type string"
-    rows = read_or_empty(spark, [f"{_batches(root, committed)}/experiment=*/data_type={UNREADABLE}"], ddl, root)
-    rows = rows.join(F.broadcast(commit_log(spark, root)), "batch", "left_semi") if committed else rows
+    log = _log_of(spark, root, committed)
+    ddl = f"{UNREADABLE_COLUMNS}, {'batch bigint, ' if log is not None else ''}experiment string, data_type string"
+    rows = read_or_empty(spark, [f"{_batches(root, log is not None)}/experiment=*/data_type={UNREADABLE}"], ddl, root)
+    rows = rows.join(F.broadcast(log), "batch", "left_semi") if log is not None else rows
     return rows.select(F.col("experiment").alias("experiment_id"), "worker_id", "kind", "event")
 
 

@@ -20,9 +20,9 @@ def is_committed(spark: SparkSession, root: str, number: int) -> bool:
     return system.exists(path) and system.getFileStatus(path).getLen() > 0
 
 
-def commit(spark: SparkSession, root: str, number: int) -> None:
+def enter(spark: SparkSession, root: str, number: int, entry: str = "done") -> None:
     """Enter a batch into the log: one file of a byte, which is there or not (listings leave out empty ones)."""
-    system, path = _path(spark, f"{root}/{COMMITS}/batch={number}/done")
+    system, path = _path(spark, f"{root}/{COMMITS}/batch={number}/{entry}")
     out = system.create(path, True)
     out.write(1)
     out.close()
@@ -52,7 +52,7 @@ def write_batch(batch: DataFrame, root: str, number: int, records_per_file: int
         write_events(to_unreadable(batch), f"{root}/batch={number}", UNREADABLE, records_per_file)
     finally:
         batch.unpersist()
-    commit(spark, root, number)
+    enter(spark, root, number)
 
 
 def start_committed_sink(events: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, records_per_file: int = FILE_RECORDS) -> StreamingQuery:
@@ -72,7 +72,7 @@ def start_committed_sink(events: DataFrame, root: str, checkpoint: str, trigger:
 
 
 def drop_uncommitted(spark: SparkSession, root: str) -> list[int]:
-    """Remove the batches that are not in the log, while no sink runs; their numbers."""
+    """Remove the batches that broke or were replaced, while no sink, compaction or reader runs; their numbers."""
     system, path = _path(spark, root)
     found = [s.getPath().getName() for s in system.listStatus(path)]
     numbers = sorted(int(n.removeprefix("batch=")) for n in found if n.startswith("batch="))
