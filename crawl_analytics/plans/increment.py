@@ -11,7 +11,7 @@ from ..constants import SYSTEM_EXPERIMENT
 from ..operators.enrich import dedup_workers
 from ..operators.rules import parse_rules
 from ..session import new_run_dir
-from ..sources.lake import COMMITS, commit_log, copy_metadata, empty, experiments_with_rows, frames_of, materialize, read_metadata, read_workers, write_table
+from ..sources.lake import COMMITS, commit_log, copy_metadata, document_entries, empty, experiments_with_rows, frames_of, materialize, read_metadata, read_workers, write_table
 from ..sources.lists import chosen_lists, read_filter_lists
 from .enrichment import KINDS, enrich
 
@@ -21,13 +21,12 @@ RULES = "rules"  # the entry that stands for the filter lists
 
 
 def input_files(spark: SparkSession, root: str, committed: bool = False) -> DataFrame:
-    """(path, length, modified) of all files of the lake, documents included; a listing, nothing is opened."""
+    """(path, length, modified) of all files of the lake; a listing, no rows are opened. A written document is an entry of its own, told by its write."""
     at = f"{root}/batch=*" if committed else root
     shapes = [f"{at}/experiment=*/data_type=*", f"{root}/experiment=*/document=metadata", f"{root}/experiment=*/metadata.json"]
     found = frames_of(spark.read.format("binaryFile").option("recursiveFileLookup", True).load, shapes)
-    if not found:
-        return empty(spark, ENTRY)
-    files = reduce(DataFrame.unionByName, [f.select("path", "length", F.col("modificationTime").alias("modified")) for f in found])
+    written = document_entries(spark, root).select(F.concat("path", F.col("write").cast("string")).alias("path"), "length", F.lit(None).cast("timestamp").alias("modified"))
+    files = reduce(DataFrame.unionByName, [written, *[f.select("path", "length", F.col("modificationTime").alias("modified")) for f in found]])
     if committed:
         batch = F.regexp_extract("path", "/batch=([0-9]+)/", 1).try_cast("bigint")
         known = files.withColumn("batch", batch).join(F.broadcast(commit_log(spark, root)), "batch", "left_semi").drop("batch")

@@ -1026,8 +1026,7 @@ def listed_documents(fx: Fixture) -> DataFrame:
     lake.write_metadata(whole, root)
     # broken JSON, and a document without what an experiment needs
     text = F.when(F.col("fault") == 0, F.concat(F.lit('{"id": "'), "id")).otherwise(F.to_json(F.struct("id", "total_urls")))
-    broken = ids.where("fault <= 1").select(text.alias("value"), F.col("id").alias("experiment"), F.lit("metadata").alias("document"))
-    broken.write.mode("append").partitionBy("experiment", "document").text(root)
+    lake.write_documents(ids.where("fault <= 1").select(F.col("id").alias("experiment"), text.alias("value")), root)
     listed = lake.list_experiments(lake.metadata_keys(fx.spark, root))
     read = lake.read_metadata(fx.spark, root).select(F.col("exp_id").alias("id"), "total_urls")
     return listed.join(read, "id", "left").select("id", "total_urls", F.col("total_urls").isNotNull().alias("is_readable"))

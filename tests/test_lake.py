@@ -216,3 +216,20 @@ def test_writing_a_document_again_replaces_it(spark, tmp_path):
     assert [r.total_urls for r in lake.read_metadata(spark, str(tmp_path)).collect()] == [2]
     document(tmp_path, "one")  # an older description beside it
     assert lake.read_metadata(spark, str(tmp_path)).count() == 1
+
+
+def test_many_documents_share_files(spark, tmp_path):
+    """Files do not grow with the documents; a broken one is listed and not read; folders of their own count until written again."""
+    root = str(tmp_path)
+    ids = spark.range(0, 500, 1, 2).select(F.concat(F.lit("e"), "id").alias("id"), F.lit(datetime(2024, 1, 1)).alias("timestamp"), F.col("id").alias("total_urls"))
+    lake.write_metadata(ids.withColumn("params", F.struct(F.lit("firefox").alias("browser_type"))), root)
+    lake.write_documents(spark.createDataFrame([("broken", '{"id": "brok'), ("e7", "{}")], "experiment string, value string"), root)
+    assert len(list(tmp_path.rglob("*.parquet"))) < 10
+    for name in ("e8", "old"):
+        folder = tmp_path / f"experiment={name}" / "document=metadata"
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_text(json.dumps({"id": name, "timestamp": "2025-01-01T00:00:00", "total_urls": 99, "params": {"browser_type": "firefox"}}))
+    found = {r.exp_id: r.total_urls for r in lake.read_metadata(spark, root).collect()}
+    assert found == {f"e{i}": i for i in range(500) if i != 7} | {"old": 99}
+    listed = [r.id for r in lake.list_experiments(lake.metadata_keys(spark, root)).collect()]
+    assert listed == sorted([f"e{i}" for i in range(500)] + ["broken", "old"], reverse=True)
