@@ -655,6 +655,15 @@ def _finish(stream) -> None:
     stream.awaitTermination()
 
 
+def _deliveries(fx: Fixture, rows: DataFrame, batches: int) -> DataFrame:
+    """A stream of events that comes in so many micro-batches, each of a file per core at least, so that no task holds a batch."""
+    source, files = new_run_dir(fx.spark, "events"), max(1, fx.spark.sparkContext.defaultParallelism)
+    rows.repartition(batches * files).write.parquet(source)
+    found = len(fx.spark.read.schema(rows.schema).parquet(source).inputFiles())
+    stream = fx.spark.readStream.schema("experiment string, worker_id string, data_type string, event string")
+    return stream.option("maxFilesPerTrigger", -(-found // batches)).parquet(source)
+
+
 @query
 def stream_event_sink(fx: Fixture) -> DataFrame:
     """Events streamed into the raw lake, read back and counted."""
@@ -685,11 +694,11 @@ def stream_kept_sessions(fx: Fixture) -> DataFrame:
 @query
 def stream_committed_sink(fx: Fixture) -> DataFrame:
     """Events in committed batches, read back and counted; a batch that broke before its commit is not seen."""
-    source, root, marks = (new_run_dir(fx.spark, n) for n in ("events", "lake", "marks"))
-    fx["browser_events"].repartition(2).write.parquet(source)
-    stream = fx.spark.readStream.schema("experiment string, worker_id string, data_type string, event string")
-    _finish(commits.start_committed_sink(stream.option("maxFilesPerTrigger", 1).parquet(source), root, marks))
-    lake.write_events(events.to_requests(fx["browser_events"]), f"{root}/batch=999", "requests")
+    root, marks = (new_run_dir(fx.spark, n) for n in ("lake", "marks"))
+    _finish(commits.start_committed_sink(_deliveries(fx, fx["browser_events"], 2), root, marks))
+    # the projection is the work here: every core has a part, whatever partitions the joins of the fixture end in
+    broken = fx["browser_events"].where("data_type = 'requests'").repartition(fx.spark.sparkContext.defaultParallelism)
+    lake.write_events(events.to_requests(broken), f"{root}/batch=999", "requests")
     parts = [
         lake.read_raw(fx.spark, root, kind, committed=True).groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n")).withColumn("data_type", F.lit(kind))
         for kind in events.KINDS
@@ -703,10 +712,8 @@ def stream_committed_sink(fx: Fixture) -> DataFrame:
 @query
 def compacted_lake(fx: Fixture) -> DataFrame:
     """The batches of a stream merged into one; its rows and files, and whether readers see the same rows as before."""
-    source, root, marks = (new_run_dir(fx.spark, n) for n in ("events", "lake", "marks"))
-    fx["browser_events"].repartition(4).write.parquet(source)
-    stream = fx.spark.readStream.schema("experiment string, worker_id string, data_type string, event string")
-    _finish(commits.start_committed_sink(stream.option("maxFilesPerTrigger", 1).parquet(source), root, marks))
+    root, marks = (new_run_dir(fx.spark, n) for n in ("lake", "marks"))
+    _finish(commits.start_committed_sink(_deliveries(fx, fx["browser_events"], 4), root, marks))
     keys = ["experiment_id", "data_type"]
 
     def contents(name: str) -> DataFrame:

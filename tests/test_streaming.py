@@ -114,3 +114,16 @@ def test_time_and_headers_as_text(spark):
         event = {"crawl_session_id": "s", "timestamp": given, "headers": json.dumps({"a": "b"})}
         row = events.to_requests(spark.createDataFrame([("e", "w", "requests", json.dumps(event))], ENVELOPE)).first()
         assert (row.timestamp, row.headers) == (kept, json.dumps({"a": "b"}))
+
+
+def test_a_batch_is_many_files(spark):
+    """Micro-batches are as many as asked for and none of them is one file, which one task would have to read."""
+    from crawl_analytics.fixtures import Fixture
+    from crawl_analytics.queries import _deliveries
+    from crawl_analytics.session import new_run_dir
+
+    rows = spark.range(400).selectExpr("'e' AS experiment", "'w' AS worker_id", "'requests' AS data_type", "string(id) AS event")
+    stream, seen = _deliveries(Fixture(spark, "/nothing"), rows, 2), []
+    flush = lambda batch, _: seen.append((batch.count(), len(batch.select(F.input_file_name()).distinct().collect())))
+    stream.writeStream.foreachBatch(flush).option("checkpointLocation", new_run_dir(spark, "marks")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 2 and sum(n for n, _ in seen) == 400 and min(files for _, files in seen) > 1
