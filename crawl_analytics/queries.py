@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import FILTER_LISTS, Fixture
+from .functions import times
 from .functions.hosts import canonical_host, registrable_domain
 from .functions.urls import normalize_url
 from .operators import enrich, pages, status, tasks, workers
@@ -1043,7 +1044,9 @@ def listed_documents(fx: Fixture) -> DataFrame:
 def flush_files(fx: Fixture) -> DataFrame:
     """K3: files of a flush hold at most a hundred records, as the footers' row counts tell."""
     root = new_run_dir(fx.spark, "lake")
-    lake.write_events(_raw_requests(fx).coalesce(1), root, "requests", records_per_file=100)
+    rows = _stored(fx, "flushed", _raw_requests(fx))
+    order = F.coalesce(times.epoch_micros(F.col("timestamp")), F.lit(0))
+    lake.write_flushes(rows, root, "requests", order, ["request_id"], records_per_file=100)
     rows = fx.spark.read.parquet(root).select("experiment", F.input_file_name().alias("file"))
     sizes = rows.groupBy("experiment", "file").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy("experiment").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("files"), F.max("n").alias("largest"))

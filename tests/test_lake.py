@@ -233,3 +233,21 @@ def test_many_documents_share_files(spark, tmp_path):
     assert found == {f"e{i}": i for i in range(500) if i != 7} | {"old": 99}
     listed = [r.id for r in lake.list_experiments(lake.metadata_keys(spark, root)).collect()]
     assert listed == sorted([f"e{i}" for i in range(500)] + ["broken", "old"], reverse=True)
+
+
+def test_flushes_are_full_and_written_by_many_tasks(spark, tmp_path):
+    """Files are full but for one per experiment, also with equal times, repeats and rows without experiment or time."""
+    rows = spark.range(0, 2050, 1, 3).select(
+        F.when(F.col("id") % 3 == 0, "e1").when(F.col("id") % 3 == 1, "e2").alias("experiment_id"),
+        F.when(F.col("id") % 10 != 0, F.col("id") % 7).alias("time"),
+        (F.col("id") % 900).cast("string").alias("request_id"),
+    )
+    lake.write_flushes(rows, str(tmp_path), "requests", F.col("time"), ["request_id"], records_per_file=100)
+    files = spark.read.parquet(str(tmp_path)).groupBy("experiment", F.input_file_name().alias("file")).count().collect()
+    sizes = {}
+    for row in files:
+        sizes.setdefault(row["experiment"], []).append(row["count"])
+    assert {e: (sum(n), sorted(n)[0], sorted(n)[1], len(n)) for e, n in sizes.items()} == {
+        "e1": (684, 84, 100, 7), "e2": (683, 83, 100, 7), "default": (683, 83, 100, 7)
+    }
+    assert len({row["file"].rsplit("/", 1)[1].split("-")[1] for row in files}) > 1
