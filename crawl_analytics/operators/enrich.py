@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import first_rows, hot_buckets, is_small, latest_rows, salted_join
+from .joins import first_rows, group_by, hot_buckets, is_small, latest_rows, salted_join
 
 SESSION = ["experiment_id", "crawled_url", "crawl_session_id"]
 SEED = ["experiment_id", "crawled_url"]
@@ -20,7 +20,7 @@ def kept_sessions(requests: DataFrame) -> DataFrame:
     """The session kept for each (experiment, seed): most requests, then the smaller id."""
     counts = session_counts(requests)
     best = F.min(F.struct((-F.col("req_count")).alias("n"), F.col("crawl_session_id").alias("s")))
-    return counts.groupBy(*SEED).agg(best.alias("b")).select(
+    return group_by(counts, SEED).agg(best.alias("b")).select(
         *SEED, F.col("b.s").alias("keep_session"), (-F.col("b.n")).alias("req_count")
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 BUCKETS = 65536
@@ -14,6 +14,15 @@ LOOKUP_ROWS = 2_000_000
 LOOKUP_CHARS = 32_000_000
 
 
+def group_by(rows: DataFrame, keys: list[str]) -> GroupedData:
+    """``groupBy`` with a hash of the keys before them (``__hash`` in the result).
+
+    Minima of texts and structs are taken over sorted rows. A sort compares the first eight bytes of the first key and opens
+    both rows where these are equal; URLs and experiments all begin alike, hashes do not.
+    """
+    return rows.groupBy(F.xxhash64(*keys).alias("__hash"), *keys)
+
+
 def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the smallest by ``order`` with NULL last, ties settled by the remaining columns.
 
@@ -24,14 +33,14 @@ def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     if not order and not rest:
         return rows.distinct()
     placed = [part for i, c in enumerate(order) for part in (F.col(c).isNull().alias(f"__no_{i}"), F.col(c))]
-    best = rows.groupBy(*keys).agg(F.min(F.struct(*placed, *rest)).alias("__row"))
+    best = group_by(rows, keys).agg(F.min(F.struct(*placed, *rest)).alias("__row"))
     return best.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in rows.columns])
 
 
 def latest_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the largest by ``order``, ties settled by the remaining columns."""
     rest = [c for c in rows.columns if c not in keys and c not in order]
-    best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("__row"))
+    best = group_by(rows, keys).agg(F.max(F.struct(*order, *rest)).alias("__row"))
     return best.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in rows.columns])
 
 
@@ -80,21 +89,22 @@ def salted_join(
     rows of these buckets are repeated once per part. Salts come from the row's
     content, so a recomputed task sends every row to the same place again. ``hot``
     holds buckets found before, on a table with the same key frequencies and types;
-    ``hot_on`` says which part of the key they are buckets of.
+    ``hot_on`` says which part of the key they are buckets of. A hash of the key stands before it, as in ``group_by``.
     Works for inner, left, left_semi and left_anti.
     """
     kinds = {c: facts.schema[c].dataType for c in on}
     dim = dim.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in dim.columns])
     if hot is None:
         hot = hot_buckets(facts, [on], min_rows)[0]
+    whole = F.xxhash64(*on)
     if not hot:
-        return facts.join(dim, on, how)
+        return facts.withColumn("__hash", whole).join(dim.withColumn("__hash", whole), ["__hash", *on], how).drop("__hash")
     table = F.expr(f"map({', '.join(f'{b}, {n}' for b, n in sorted(hot.items()))})")
     parts = F.coalesce(F.try_element_at(table, _bucket(hot_on or on)), F.lit(1))
     salt = F.pmod(F.xxhash64(F.lit(7), *(spread or facts.columns)), parts).cast("int")
-    left = facts.withColumn("__salt", salt)
-    right = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return left.join(right, [*on, "__salt"], how).drop("__salt")
+    left = facts.withColumns({"__salt": salt, "__hash": whole})
+    right = dim.withColumns({"__salt": F.explode(F.sequence(F.lit(0), parts - 1)), "__hash": whole})
+    return left.join(right, ["__hash", *on, "__salt"], how).drop("__hash", "__salt")
 
 
 def is_small(lookup: DataFrame, max_rows: int | None = None, max_chars: int | None = None) -> bool:

@@ -135,11 +135,13 @@ def blocking_lists(requests: DataFrame, rules: DataFrame, suffixes: Iterable[str
 def label_requests(requests: DataFrame, rules: DataFrame, as_array: bool = False, suffixes: Iterable[str] = hosts.SUFFIXES) -> DataFrame:
     """Requests with ``blocked_by``: JSON text of the list names in list order, ``[]`` for none.
 
-    The work is done once per distinct (url, frame, type) and joined back.
+    The work is done once per distinct (url, frame, type) and joined back; the whole requests move, so NULL in the key is told by a mark
+    beside it and no text stands twice.
     """
-    found = blocking_lists(requests, rules, suffixes).select(*[F.coalesce(c, F.lit("\0")).alias(f"__{c}") for c in TRIPLE], "lists")
-    keyed = requests.select("*", *[F.coalesce(c, F.lit("\0")).alias(f"__{c}") for c in TRIPLE])
-    keys = [f"__{c}" for c in TRIPLE]
-    joined = salted_join(keyed, found, keys, "left", spread=[c for c in keyed.columns if c not in keys])
-    out = joined.select(*requests.columns, jsontext.json_list(F.col("lists")).alias("blocked_by"), "lists")
+    filled = {c: F.coalesce(c, F.lit("\0")) for c in TRIPLE}
+    found = blocking_lists(requests, rules, suffixes).select(*[filled[c].alias(c) for c in TRIPLE], "lists")
+    keyed = requests.withColumns({**{f"__no_{c}": F.col(c).isNull() for c in TRIPLE}, **filled})
+    joined = salted_join(keyed, found, TRIPLE, "left", spread=[c for c in keyed.columns if c not in TRIPLE])
+    own = [F.when(~F.col(f"__no_{c}"), F.col(c)).alias(c) if c in TRIPLE else F.col(c) for c in requests.columns]
+    out = joined.select(*own, jsontext.json_list(F.col("lists")).alias("blocked_by"), "lists")
     return out.withColumnRenamed("lists", "blocked_by_lists") if as_array else out.drop("lists")

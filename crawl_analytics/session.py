@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -13,6 +15,23 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+@contextmanager
+def open_writers(spark: SparkSession, files: int) -> Iterator[None]:
+    """Partitioned writes inside keep up to ``files`` files open per task, a partition each, instead of sorting all rows; with 0 they sort.
+
+    Rows of further partitions are sorted still. A setting made outside stands.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, files)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import open_writers
 from ..sources.lake import COMMITS, UNREADABLE, commit_entries, commit_log, empty, frames_of, read_raw, read_unreadable, write_events
 from .commits import abort, enter
 
@@ -57,6 +58,7 @@ def compact(spark: SparkSession, root: str, file_bytes: int = FILE_BYTES, again:
     for row in sizes.orderBy("data_type").collect():  # one row per kind of event
         kind, files = row["data_type"], max(1, math.ceil(row["length"] / file_bytes))
         rows = read_unreadable(spark, root, log) if kind == UNREADABLE else read_raw(spark, root, kind, committed=log, system=True)
-        write_events(_sorted(rows, files), f"{root}/batch={number}", kind)
+        with open_writers(spark, 0):  # sorted rows need no other sort and stay in order
+            write_events(_sorted(rows, files), f"{root}/batch={number}", kind)
     enter(spark, root, number, f"replaces-{span['low']}-{span['high']}")
     return number

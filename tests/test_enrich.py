@@ -134,6 +134,24 @@ def test_a_ranked_list_of_a_million_is_a_lookup(spark):
     assert is_small(spark.range(1_000_000).selectExpr("concat('site', id, '.example') domain", "id rank"))
 
 
+def test_rows_are_sorted_by_a_hash_first(spark):
+    """Keys that begin alike, NULL, NaN and both zeros: the same rows, but sorts that tell keys by their first eight bytes."""
+    nan = float("nan")
+    data = [("https://a.example/x", 0.0, 3, "p"), ("https://a.example/x", -0.0, 2, "q"), ("https://a.example/y", nan, 5, "r"), (None, nan, 4, "s"), (None, nan, 1, "t")]
+    rows = spark.createDataFrame(data, "url string, part double, n int, who string")
+    least, most = first_rows(rows, ["url", "part"], ["n"]), joins.latest_rows(rows, ["url", "part"], ["n"])
+    assert sorted(r.who for r in least.collect()) == ["q", "r", "t"] and sorted(r.who for r in most.collect()) == ["p", "r", "s"]
+    assert least.columns == rows.columns == most.columns
+    dim = spark.createDataFrame([("https://a.example/x", 0.0, 1), (None, nan, 2)], "url string, part double, found int")
+    joined = salted_join(rows, dim.hint("merge"), ["url", "part"], "left", hot={})
+    assert sorted((r.who, r.found) for r in joined.collect()) == [("p", 1), ("q", 1), ("r", None), ("s", None), ("t", None)]
+    assert joined.columns == [*rows.columns, "found"]
+    kept = enrich.kept_sessions(site_rows(spark))
+    for frame in (least, most, joined, kept):
+        sorts = [line.split("Sort [")[1] for line in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line]
+        assert sorts and all(line.startswith(("__hash", "_groupingexpression")) for line in sorts), sorts
+
+
 def test_rows_without_a_time_come_last(spark):
     rows = spark.createDataFrame([("a", None, 1), ("a", "5", 2), ("b", None, 3)], "k string, timestamp string, v int")
     assert {(r.k, r.v) for r in first_rows(rows, ["k"], ["timestamp"]).collect()} == {("a", 2), ("b", 3)}

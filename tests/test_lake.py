@@ -251,3 +251,18 @@ def test_flushes_are_full_and_written_by_many_tasks(spark, tmp_path):
         "e1": (684, 84, 100, 7), "e2": (683, 83, 100, 7), "default": (683, 83, 100, 7)
     }
     assert len({row["file"].rsplit("/", 1)[1].split("-")[1] for row in files}) > 1
+
+
+def test_more_experiments_than_open_files(spark, tmp_path):
+    """One task writes far more partitions than it holds files open: every row once, full files, and the session as before."""
+    rows = spark.range(0, 2000, 1, 1).select(F.concat(F.lit("e"), F.col("id") % 25).alias("experiment_id"), F.col("id").cast("string").alias("request_id"))
+    seen, name = [], "spark.sql.maxConcurrentOutputFileWriters"
+    lake.write_events(rows, str(tmp_path / "lake"), "requests", records_per_file=30)
+    found = spark.read.parquet(str(tmp_path / "lake")).groupBy("experiment", F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.count_distinct("request_id").alias("d"))
+    for row in found.collect():
+        assert row.n == row.d
+        seen.append((row.experiment, row.n))
+    assert sorted(seen) == sorted((f"e{i}", n) for i in range(25) for n in (20, 30, 30))
+    lake.write_table(rows, str(tmp_path / "table"), ["experiment_id"])
+    assert sorted(r.request_id for r in spark.read.parquet(str(tmp_path / "table")).collect()) == sorted(str(i) for i in range(2000))
+    assert spark.conf.get(name, None) is None

@@ -206,3 +206,14 @@ def test_a_rule_with_many_domains_stands_once(spark):
         rules = rules_of(spark, {"l": [f"*x$domain={domains}", "||t.com^"]})
         sizes.append(sum(len(str(r)) for r in rules.collect()))
     assert rules.count() == 2 and sizes[1] < 6 * sizes[0]
+
+
+def test_requests_to_label_hold_no_text_twice(spark):
+    """NULL, empty and one-byte keys come back as they were, and the joined rows carry the three key columns once."""
+    columns = "request_id string, url string, frame_url string, resource_type string"
+    data = [("1", "https://ads.example/x", None, "image"), ("2", None, None, None), ("3", "\0", "\0", "\0"), ("4", "https://ok.example/", "", None)]
+    lines = spark.createDataFrame([(0, "easylist", "||ads.example^")], "list_ord int, list_name string, line string")
+    out = label_requests(spark.createDataFrame(data, columns), parse_rules(lines))
+    assert sorted(tuple(r) for r in out.select("request_id", "url", "frame_url", "resource_type").collect()) == sorted(data)
+    assert {r.request_id: r.blocked_by for r in out.collect()} == {"1": '["easylist"]', "2": "[]", "3": "[]", "4": "[]"}
+    assert not {"__url", "__frame_url", "__resource_type"} & set(re.findall(r"__\w+", out._jdf.queryExecution().analyzed().toString()))
