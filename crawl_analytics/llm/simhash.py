@@ -107,9 +107,11 @@ def near_links(fingerprints: DataFrame) -> DataFrame:
     is at home at the one anchor within the radius and visits all anchors within radius + 1
     (17 a half at most), so that the other one of such a pair visits its home. Only homes meet visitors,
     at one of 2^27 anchors a half; the smaller one of a pair is taken at home.
+    Spark sizes both sides by ``fingerprints``, as if Python returned a row for a row, and would broadcast the up to 34
+    visits of each from the driver; so the join is a shuffle join by hint.
     """
-    home = _replicated(fingerprints, False).withColumnRenamed("fp", "a")
-    visit = _replicated(fingerprints, True).withColumnRenamed("fp", "b")
+    home = _replicated(fingerprints, False).withColumnRenamed("fp", "a").hint("merge")
+    visit = _replicated(fingerprints, True).withColumnRenamed("fp", "b").hint("merge")
     near = F.expr(f"a < b and bit_count(a ^ b) <= {LIMIT}")
     return home.join(visit, (home["anchor"] == visit["anchor"]) & near).select("a", "b")
 

@@ -7,6 +7,7 @@ from cases import no_documents, odd_documents
 from pyspark.sql import functions as F
 
 from crawl_analytics.llm import components, queries, simhash
+from crawl_analytics.llm.common import stored
 
 
 def fingerprint(text) -> int:
@@ -71,6 +72,15 @@ def test_anchors_meet_all_pairs(spark):
     assert {tuple(r) for r in found} == want
 
 
+def test_visits_are_not_broadcast(spark):
+    """The stored fingerprints are a small table, their visits are not, and Spark sizes these by the table."""
+    marks = spark.range(500).select(F.explode(F.array(F.xxhash64("id"), F.xxhash64("id").bitwiseXOR(F.lit(5)))).alias("fp"))
+    links = simhash.near_links(stored(marks, "marks"))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert links.distinct().count() == 500
+
+
 def test_one_per_group(spark):
     docs = odd_documents(spark, ("fp", "copy_number"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
