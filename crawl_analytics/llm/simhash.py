@@ -143,11 +143,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one row after the map-side combine. Two documents are linked if their fingerprints differ
     in at most two bits. NULL and empty texts have fingerprint zero and are linked like any other.
     A NULL doc_id counts as larger than all others. Other columns are ignored, an empty table gives an empty result.
+    The last join is a shuffle join by hint: copies compress to a byte a row, so Spark would take a table of many for small.
     """
     fp = unused(docs, "fp")
     narrow = with_fingerprint(docs.select("doc_id", "text"), fp).select("doc_id", F.col(fp).alias("fp"))
     narrow = stored(narrow, "doc-fingerprints")
-    return narrow.join(classes(narrow), "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    return narrow.hint("merge").join(classes(narrow), "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:

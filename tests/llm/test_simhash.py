@@ -81,6 +81,15 @@ def test_visits_are_not_broadcast(spark):
     assert links.distinct().count() == 500
 
 
+def test_documents_are_not_broadcast(spark):
+    """The last join: documents and their fingerprints compress well and would be taken for a small table."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3).alias("text"))
+    found = simhash.near_duplicates(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"\w+Join", plan)[0] == "SortMergeJoin"
+    assert order(found.collect()) == order(components_of([(r.doc_id, r.text) for r in docs.collect()]))
+
+
 def test_one_per_group(spark):
     docs = odd_documents(spark, ("fp", "copy_number"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
